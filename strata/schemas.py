@@ -1,0 +1,25 @@
+"""Table contracts (see SURVEY 1.4)."""
+
+from pyspark.sql import types as T
+
+CORPUS = T.StructType(
+    [
+        T.StructField("doc_id", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
+        T.StructField("chapter_id", T.StringType()),
+        T.StructField("chunk_index", T.IntegerType()),
+        T.StructField("doc_kind", T.StringType()),
+        T.StructField("chapter_title", T.StringType()),
+        T.StructField("text_tokens", T.ArrayType(T.StringType())),
+    ]
+)
+QUERIES = T.StructType(
+    [
+        T.StructField("query_id", T.LongType(), False),
+        T.StructField("query_text", T.StringType(), False),
+        T.StructField("query_vector", T.ArrayType(T.FloatType())),
+    ]
+)
+# What one line of a corpus file may hold.
+CORPUS_FILE_FIELDS = ["doc_id", "text", "chapter_id", "chunk_index", "doc_kind", "chapter_title"]
