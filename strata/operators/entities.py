@@ -16,7 +16,7 @@ _SCAN_NAMES = 500
 
 
 def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -> DataFrame:
-    """(character, doc_id, text columns...) for every text that contains the name.
+    """``docs`` columns but the text, plus ``character``, for every text that contains the name.
 
     A short list is tested row by row (the list is one scalar subquery). A long
     one meets the texts by an equi-join on two-character starts, and only the
@@ -26,7 +26,12 @@ def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -
     if size.rows <= scan_names and fits(docs.sparkSession, size):
         listed = docs.withColumn("_names", names.agg(F.collect_set("character")).scalar())
         found = F.filter("_names", lambda n: F.contains(F.col("text"), n))
-        return listed.withColumn("character", F.explode(found)).drop("_names")
+        listed = listed.withColumn("_found", found).drop("_names", "text")
+        return (
+            listed.withColumn("character", F.explode_outer("_found"))
+            .drop("_found")
+            .filter("character is not null")
+        )
     keyed = names.withColumn("_start", F.left("character", F.lit(2)))
     starts = F.array_distinct(
         F.concat(
@@ -36,7 +41,7 @@ def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -
     )
     rows = docs.withColumn("_start", F.explode(starts))
     met = rows.join(hint_if(keyed, fits(docs.sparkSession, size, 2)), "_start")
-    return met.filter(F.contains("text", "character")).drop("_start")
+    return met.filter(F.contains("text", "character")).drop("_start", "text")
 
 
 def entity_profiles(corpus: DataFrame, names: DataFrame, max_chars: int = K.PROFILE_CHARS) -> DataFrame:
@@ -51,9 +56,7 @@ def entity_profiles(corpus: DataFrame, names: DataFrame, max_chars: int = K.PROF
     docs = corpus.select(
         "doc_id", X.strip(F.coalesce("text", F.lit(""))).alias("text"), "chapter_id", "chunk_index"
     ).filter("text <> ''")
-    found = mentions(docs, names).select(
-        "character", "doc_id", "chapter_id", "chunk_index", F.length("text").cast("long").alias("chars")
-    )
+    found = mentions(docs.withColumn("chars", F.length("text").cast("long")), names)
     order = ["chapter_id", "chunk_index", "doc_id"]
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_width(corpus.sparkSession)))
 

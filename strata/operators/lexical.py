@@ -64,17 +64,22 @@ class Index:
 
 
 def doc_tokens(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> DataFrame:
-    """(doc_id, toks); a field that already holds a token array is taken as it is."""
+    """(doc_id, toks, dl); a field that already holds a token array is taken as it is."""
     kind = corpus.schema[field].dataType.typeName()
     toks = F.col(field) if kind == "array" else tokens(F.col(field), analyzer)
-    return corpus.select("doc_id", toks.alias("toks"))
+    return corpus.select("doc_id", toks.alias("toks")).withColumn("dl", F.size("toks"))
 
 
 def build_postings(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> DataFrame:
-    """(doc_id, term, tf, dl). On a corpus partitioned by document: no shuffle."""
+    """(doc_id, term, tf, dl). On a corpus partitioned by document: no shuffle.
+
+    The outer explode keeps the optimizer from testing ``size(tokens) > 0`` down
+    in the scan, which would tokenise every text twice.
+    """
     return (
         doc_tokens(corpus, field, analyzer)
-        .select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        .select("doc_id", "dl", F.explode_outer("toks").alias("term"))
+        .filter("term is not null")
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("doc_id", "term", "tf", "dl")
@@ -84,7 +89,7 @@ def build_postings(corpus: DataFrame, field: str = "text", analyzer: str = "stan
 def build_index(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> Index:
     """D1 for a corpus partitioned by document."""
     postings = build_postings(corpus, field, analyzer)
-    doc_len = doc_tokens(corpus, field, analyzer).select("doc_id", F.size("toks").alias("dl"))
+    doc_len = doc_tokens(corpus, field, analyzer).select("doc_id", "dl")
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(postings, doc_len, stats)
 
@@ -145,39 +150,33 @@ def weigh_terms(
     Document frequencies are counted for the query terms only; the number of
     documents and their total length come in the same pass as one pseudo-term.
     """
-    vocabulary = terms.select("term").unionByName(
-        docs.sparkSession.range(1).select(F.lit(_ALL_DOCS).alias("term"))
-    ).distinct()
-    toks = doc_tokens(docs, field, analyzer).filter(F.size("toks") > 0)
-    seen = toks.select(
-        F.size("toks").alias("dl"),
-        F.explode(F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS))).alias("term"),
-    )
+    looked_up = terms.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
+    vocabulary = looked_up.select("term").distinct()
+    once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
+    seen = doc_tokens(docs, field, analyzer).select("dl", F.explode_outer(once).alias("term"))
     stats = (
         seen.join(hint_if(vocabulary, small), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
     )
-    totals = stats.filter(F.col("term") == _ALL_DOCS).select(
-        F.struct(
-            F.col("df").alias("n_docs"), (F.col("total_dl") / F.col("df")).alias("avgdl")
-        ).alias("t")
-    )
+    word = F.col("term") != _ALL_DOCS
     by_slot = (
-        terms.join(stats.filter(F.col("term") != _ALL_DOCS).select("term", "df"), "term")
+        looked_up.join(stats, "term")
         .groupBy("query_id", "slot", "qtf")
-        .agg(F.max("df").alias("df"), F.collect_list(F.struct("term", F.col("df").alias("term_df"))).alias("m"))
+        .agg(
+            F.max(F.when(word, F.col("df"))).alias("df"),
+            F.max(F.when(~word, F.col("df"))).alias("n_docs"),
+            F.max(F.when(~word, F.col("total_dl") / F.col("df"))).alias("avgdl"),
+            F.collect_set(F.when(word, F.struct("term", F.col("df").alias("term_df")))).alias("m"),
+        )
     )
-    weighed = by_slot.withColumn("t", totals.scalar())
-    return weighed.select(
+    return by_slot.select(
         "query_id",
         "slot",
-        F.col("qtf") * S.idf(F.col("t.n_docs"), F.col("df")).alias("w"),
-        F.col("t.avgdl").alias("avgdl"),
+        (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"),
+        "avgdl",
         F.explode("m").alias("m"),
-    ).toDF("query_id", "slot", "weight", "avgdl", "m").select(
-        "query_id", "slot", "weight", "avgdl", "m.term", "m.term_df"
-    )
+    ).select("query_id", "slot", "weight", "avgdl", "m.term", "m.term_df")
 
 
 HOT_TERM_DOCS = 1_000_000

@@ -1,26 +1,37 @@
-"""Nearest neighbours by cosine (C7, C8) over cells.
-
-Vectors are grouped around ``n_cells`` centroids. A query is joined only with
-cells that can hold one of its k nearest vectors: for the exact search these
-follow from the angle between query and centroid and the widest angle inside
-the cell (triangle inequality), for the approximate search they are the
-``nprobe`` nearest cells. So both searches are one equi-join on the cell, the
-pairs are never shuffled, and each task keeps its own top k per query before
-anything moves.
+"""Nearest neighbours by cosine.
+
+Exact search for queries that fit a broadcast: the vectors stay in their scan
+partitions; each task multiplies its Arrow batches with the query matrix, keeps
+a running top k per query and gives out only that.
+
+Larger query tables, and the approximate search, go through cells: vectors are
+grouped around centroids, a query visits only cells that can hold one of its k
+nearest (exact: bounds from the triangle inequality; approximate: the
+``nprobe`` nearest cells), and both sides meet by an equi-join on (cell, shard).
+A large cell is cut into shards, so no task holds more than SHARD_ROWS vectors.
+Pairs of query and vector exist only inside the matrix product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.vector import clamp01, dot, keep, unit
-from strata.sizing import fits, measure, shuffle_width
+from strata.constants import SCORE_DECIMALS
+from strata.functions.vector import as_double, keep, unit
+from strata.sizing import Size, fits, measure, shuffle_width
 
 N_CELLS = 16
-SHARD_ROWS = 50_000
+SHARD_ROWS = 8192
+BLOCK_QUERIES = 2048
 # Angles this close may belong to cosines that are equal after rounding.
 _SLACK = 2e-4
 # Spark cuts row_number() <= k to k rows per task before the shuffle up to this k.
@@ -34,8 +45,7 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int, spread: str) ->
     taken per (key, hash of ``spread``), so that a hot key is ranked by many tasks.
     """
     if k > _PARTIAL_LIMIT:
-        width = shuffle_width(df.sparkSession)
-        salt = F.pmod(F.xxhash64(spread), F.lit(width))
+        salt = F.pmod(F.xxhash64(spread), F.lit(shuffle_width(df.sparkSession)))
         early = Window.partitionBy(key, salt).orderBy(*order)
         df = df.withColumn("_early", F.row_number().over(early)).filter(F.col("_early") <= k)
         df = df.drop("_early")
@@ -43,141 +53,226 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int, spread: str) ->
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _units(docs: DataFrame, vector: str = "vector", id_col: str = "doc_id") -> DataFrame:
-    return docs.select(id_col, unit(F.col(vector)).alias("u")).filter(F.col("u").isNotNull())
-
-
-def _nearest(u: Column, centroids: Column) -> Column:
-    """(cos, cell) of the nearest centroid; centroids is array<struct<cell, c>>."""
-    scored = F.transform(
-        centroids, lambda e: F.struct(dot(u, e["c"]).alias("cos"), (-e["cell"]).alias("neg_cell"))
-    )
-    return F.array_max(scored)
-
+# --- helpers inside tasks -----------------------------------------------------
 
-def _centroid_array(centroids: DataFrame) -> Column:
-    """All centroids as one scalar subquery: at most n_cells vectors."""
-    return centroids.agg(F.array_sort(F.collect_list(F.struct("cell", F.col("centroid").alias("c"))))).scalar()
 
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
-def assign_cells(docs: DataFrame, centroids: DataFrame, vector: str = "vector", id_col: str = "doc_id") -> DataFrame:
-    """(id, u, cell, cos): each vector with its nearest centroid, row by row."""
-    placed = _units(docs, vector, id_col).withColumn("_all", _centroid_array(centroids))
-    placed = placed.withColumn("_best", _nearest(F.col("u"), F.col("_all")))
-    return placed.select(
-        id_col, "u", (-F.col("_best.neg_cell")).alias("cell"), F.col("_best.cos").alias("cos")
-    )
 
+def _stack(column: pa.Array) -> np.ndarray:
+    """Arrow list column -> float64 matrix; all vectors must have one width."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = len(flat) // max(1, len(column))
+    if len(column) and not (np.diff(column.offsets.to_numpy()) == width).all():
+        raise ValueError("vectors of different width")
+    return flat.reshape(len(column), width)
 
-def seed_centroids(docs: DataFrame, n_cells: int = N_CELLS, vector: str = "vector", id_col: str = "doc_id") -> DataFrame:
-    """Centroids picked by hash order of the ids: no training, one pass."""
-    picked = _units(docs, vector, id_col).orderBy(F.xxhash64(id_col), id_col).limit(n_cells)
-    return picked.select(
-        (F.row_number().over(Window.orderBy(F.xxhash64(id_col), id_col)) - 1).alias("cell"),
-        F.col("u").alias("centroid"),
-    )
 
+def _cosines(docs: np.ndarray, queries: np.ndarray, clamped: bool) -> np.ndarray:
+    if docs.shape[1] != queries.shape[1]:
+        raise ValueError(f"query width {queries.shape[1]}, stored width {docs.shape[1]}")
+    cos = np.round(docs @ queries.T, SCORE_DECIMALS) + 0.0
+    return np.clip(cos, 0.0, 1.0) if clamped else cos
 
-def kmeans_centroids(
-    docs: DataFrame, n_cells: int = N_CELLS, vector: str = "vector", id_col: str = "doc_id", seed: int = 42
-) -> DataFrame:
-    """Centroids trained by MLlib; the model is n_cells vectors whatever the corpus."""
-    points = _units(docs, vector, id_col).select(array_to_vector("u").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=2).fit(points)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centers = docs.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
-    return centers.select("cell", unit(F.col("centroid")).alias("centroid")).filter("centroid is not null")
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by (score descending, id)."""
+    if len(scores) > k:
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = scores >= floor
+        scores, ids = scores[near], ids[near]
+    order = np.lexsort((ids.astype(str), -scores))[:k]
+    return scores[order], ids[order]
 
-def cell_stats(placed: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cell, centroid, n, min_cos): what routing needs, one row per cell."""
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("min_cos"))
-    return stats.join(centroids, "cell")
 
+# --- exact search in place ----------------------------------------------------
 
-def _angle(cos: Column) -> Column:
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos)))
 
+def _searchable(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, vector) of rows whose vector has a direction."""
+    return docs.select(id_col, F.col(vector).alias("vector")).filter(
+        F.exists("vector", lambda x: x != 0)
+    )
 
-def route_queries(queries: DataFrame, cells: DataFrame, k: int, nprobe: int | None = None) -> DataFrame:
-    """(query_id, q, cell, shards): the cells each query has to look into.
 
-    Exact (``nprobe`` None): every member of a cell lies within the cell's
-    radius of the centroid, which bounds its cosine from below and above. The
-    lower bounds of the best cells that together hold k vectors give a floor
-    for the k-th best cosine; cells whose upper bound is under it are left out.
+def _scan_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, clamped: bool) -> DataFrame:
+    """(query_id, id, cos): k candidates per query and task. ``queries`` was measured."""
+    asked = _searchable(queries, "query_id", "query_vector").collect()
+    id_type = docs.schema[id_col].dataType.simpleString()
+    qid_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qid_type}, {id_col} {id_type}, cos double"
+    if not asked:
+        return docs.sparkSession.createDataFrame([], schema)
+    matrix = _unit_rows(np.array([r["vector"] for r in asked], dtype=np.float64))
+    side = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], matrix))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = side.value
+        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            cos = _cosines(_unit_rows(_stack(batch.column(1))), q, clamped)
+            for j, old in enumerate(held):
+                scores, names = cos[:, j], ids
+                if old is not None:
+                    scores = np.concatenate([old[0], scores])
+                    names = np.concatenate([old[1], names])
+                held[j] = _best(scores, names, k)
+        for query_id, best in zip(query_ids, held, strict=True):
+            if best is not None:
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": [query_id] * len(best[0]), id_col: list(best[1]), "cos": best[0]}
+                )
+
+    return _searchable(docs, id_col, "vector").mapInArrow(search, schema)
+
+
+# --- cells ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centroids, at most ``n_cells`` of them, held like a trained model."""
+
+    centroids: np.ndarray
+
+
+def seed_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id") -> Cells:
+    """Centroids picked by hash order of the ids: one pass, no training."""
+    picked = _searchable(docs, id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_cells)
+    rows = [r["vector"] for r in picked.collect()]
+    return Cells(_unit_rows(np.array(rows, dtype=np.float64)))
+
+
+def kmeans_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id", seed: int = 42) -> Cells:
+    """Centroids trained by MLlib on unit vectors."""
+    points = _searchable(docs, id_col, "vector").select(
+        array_to_vector(unit(as_double(F.col("vector")))).alias("features")
+    )
+    centers = np.array(KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=2).fit(points).clusterCenters())
+    return Cells(_unit_rows(centers[np.linalg.norm(centers, axis=1) > 0]))
+
+
+def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataFrame:
+    """(id, vector, cell, cos): every vector with its nearest centroid. Stored with
+    ``partitionBy("cell")`` this is the index; a search reads only its cells."""
+    side = docs.sparkSession.sparkContext.broadcast(cells.centroids)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cos = _unit_rows(_stack(batch.column(1))) @ side.value.T
+                cell = cos.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(cell.astype(np.int32)),
+                        pa.array(cos[np.arange(len(cell)), cell]),
+                    ],
+                    names=[id_col, "vector", "cell", "cos"],
+                )
+
+    source = _searchable(docs, id_col, "vector")
+    kinds = [source.schema[c].dataType.simpleString() for c in (id_col, "vector")]
+    return source.mapInArrow(place, f"{id_col} {kinds[0]}, vector {kinds[1]}, cell int, cos double")
+
+
+def _angle(cos: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cos, -1.0, 1.0))
+
+
+def cells_to_visit(
+    q: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, k: int, nprobe: int | None
+) -> list[np.ndarray]:
+    """Cells each query has to look into.
+
+    Exact (``nprobe`` None): a vector of a cell is at most the cell's radius
+    away from the centroid. The cells whose farthest possible vector is nearest
+    and that together hold k vectors give a limit for the k-th best angle;
+    cells whose nearest possible vector is beyond it are left out. Cosines are
+    cut at 0, so a limit of a right angle or more leaves nothing out.
     """
-    table = cells.agg(
-        F.collect_list(F.struct("cell", "centroid", "n", "min_cos"))
-    ).scalar()
-    q = _units(queries, "query_vector", "query_id").withColumnRenamed("u", "q")
-    q = q.withColumn("_cells", table)
-    seen = F.transform(
-        "_cells",
-        lambda c: F.struct(
-            c["cell"].alias("cell"),
-            c["n"].alias("n"),
-            _angle(dot(F.col("q"), c["centroid"])).alias("angle"),
-            _angle(c["min_cos"]).alias("radius"),
-        ),
+    angle = _angle(q @ centroids.T)
+    visits = []
+    for row in angle:
+        if nprobe is not None:
+            visits.append(np.argsort(row, kind="stable")[:nprobe])
+            continue
+        farthest = np.minimum(np.pi, row + radius)
+        order = np.argsort(farthest, kind="stable")
+        enough = np.searchsorted(np.cumsum(n[order]), k)
+        limit = farthest[order[enough]] if enough < len(order) else np.pi
+        if limit >= np.pi / 2 - _SLACK:
+            limit = np.pi
+        visits.append(np.flatnonzero((row - radius <= limit + _SLACK) & (n > 0)))
+    return visits
+
+
+def _cell_search(
+    placed: DataFrame, queries: DataFrame, cells: Cells, size: Size, k: int, nprobe: int | None,
+    id_col: str, clamped: bool,
+) -> DataFrame:
+    """(query_id, id, cos): k candidates per query, cell and shard."""
+    spark = placed.sparkSession
+    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cos").alias("min_cos")
+    ).collect()}
+    count = len(cells.centroids)
+    n = np.array([stats[c]["n"] if c in stats else 0 for c in range(count)])
+    radius = _angle(np.array([stats[c]["min_cos"] if c in stats else 1.0 for c in range(count)]))
+    shards = np.maximum(1, -(-n // SHARD_ROWS))
+    blocks = max(1, -(-size.rows // BLOCK_QUERIES))
+    side = spark.sparkContext.broadcast((cells.centroids, n, radius, shards))
+    qid_type = queries.schema["query_id"].dataType.simpleString()
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, n_, radius_, shards_ = side.value
+        for pdf in batches:
+            if len(pdf):
+                q = _unit_rows(np.array(pdf["vector"].tolist(), dtype=np.float64))
+                where = cells_to_visit(q, centroids, n_, radius_, k, nprobe)
+                rows = [
+                    (pdf["query_id"].iloc[i], pdf["vector"].iloc[i], int(c), s)
+                    for i, found in enumerate(where)
+                    for c in found
+                    for s in range(shards_[c])
+                ]
+                yield pd.DataFrame(rows, columns=["query_id", "q", "cell", "shard"])
+
+    asked = _searchable(queries, "query_id", "query_vector")
+    kind = asked.schema["vector"].dataType.simpleString()
+    routed = asked.mapInPandas(route, f"query_id {qid_type}, q {kind}, cell int, shard int").withColumn(
+        "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     )
-    q = q.withColumn("_seen", seen).drop("_cells")
-    if nprobe is not None:
-        near = F.slice(
-            F.array_sort(F.transform("_seen", lambda c: F.struct(c["angle"], c["cell"], c["n"]))),
-            F.lit(1),
-            F.lit(nprobe),
-        )
-    else:
-        floors = F.array_sort(
-            F.transform(
-                "_seen",
-                lambda c: F.struct(
-                    F.least(F.lit(3.141592653589793), c["angle"] + c["radius"]).alias("widest"), c["n"].alias("n")
-                ),
-            )
-        )
-        start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(3.141592653589793).alias("widest"))
-        floor = F.aggregate(
-            floors,
-            start,
-            lambda s, c: F.when(s["held"] >= k, s).otherwise(
-                F.struct((s["held"] + c["n"]).alias("held"), c["widest"].alias("widest"))
-            ),
-        )
-        q = q.withColumn("_floor", F.when(floor["held"] >= k, floor["widest"]).otherwise(3.141592653589793))
-        # Scores are cut to [0, 1], so a floor beyond a right angle excludes nothing.
-        open_floor = F.col("_floor") >= 1.5707
-        near = F.filter(
-            "_seen", lambda c: open_floor | (c["angle"] - c["radius"] <= F.col("_floor") + _SLACK)
-        )
-    hits = q.select("query_id", "q", F.explode(near).alias("c"))
-    return hits.select(
-        "query_id",
-        "q",
-        F.col("c.cell").alias("cell"),
-        F.greatest(F.lit(1), F.ceil(F.col("c.n") / SHARD_ROWS)).cast("int").alias("shards"),
+    of_cell = F.get(F.lit([int(s) for s in shards]), F.col("cell"))
+    docs = placed.drop("cos").withColumn("shard", F.pmod(F.xxhash64(id_col), of_cell).cast("int"))
+    docs = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], id_col: [], "cos": []}
+        if len(left) and len(right):
+            u = _unit_rows(np.array(left["vector"].tolist(), dtype=np.float64))
+            q = _unit_rows(np.array(right["q"].tolist(), dtype=np.float64))
+            cos, ids = _cosines(u, q, clamped), left[id_col].to_numpy(dtype=object)
+            for j, query_id in enumerate(right["query_id"]):
+                scores, names = _best(cos[:, j], ids, k)
+                out["query_id"] += [query_id] * len(scores)
+                out[id_col] += list(names)
+                out["cos"] += list(scores)
+        return pd.DataFrame(out)
+
+    key = ["cell", "shard", "block"]
+    id_type = placed.schema[id_col].dataType.simpleString()
+    return docs.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(
+        meet, f"query_id {qid_type}, {id_col} {id_type}, cos double"
     )
 
 
-def search_cells(placed: DataFrame, routed: DataFrame, small: bool, id_col: str = "doc_id") -> DataFrame:
-    """(query_id, id, cos, sim) of all pairs that meet in a cell, by an equi-join.
-
-    A small query side is broadcast, so the vectors stay where they are.
-    Otherwise both sides are shuffled, and a large cell is cut into shards of
-    about SHARD_ROWS vectors, which its queries visit one by one.
-    """
-    if small:
-        pairs = placed.join(F.broadcast(routed), "cell")
-    else:
-        cut = routed.select("cell", "shards").distinct()  # at most one row per cell
-        docs = placed.join(F.broadcast(cut), "cell").withColumn(
-            "shard", F.pmod(F.xxhash64(id_col), F.col("shards")).cast("int")
-        )
-        asked = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        pairs = docs.drop("shards").join(asked.drop("shards"), ["cell", "shard"])
-    scored = pairs.select("query_id", id_col, keep(dot(F.col("u"), F.col("q"))).alias("cos"))
-    return scored.withColumn("sim", clamp01(F.col("cos")))
+# --- search ----------------------------------------------------------------------
 
 
 def knn(
@@ -185,28 +280,28 @@ def knn(
     queries: DataFrame,
     k: int,
     nprobe: int | None = None,
-    centroids: DataFrame | None = None,
-    n_cells: int = N_CELLS,
+    cells: Cells | None = None,
     id_col: str = "doc_id",
-    small: bool | None = None,
+    size: Size | None = None,
     clamped: bool = False,
 ) -> DataFrame:
     """(query_id, id, rank, cos, sim, score): the k nearest vectors of each query.
 
-    ``score`` is (1 + cos) / 2, ``sim`` the cosine cut to [0, 1]; the order is
-    by cosine (by ``sim`` when ``clamped``), then id.
+    ``score`` is (1 + cos) / 2, ``sim`` the cosine cut to [0, 1]. Order: cosine
+    (``sim`` when ``clamped``, then ``cos`` holds the cut value too), then id.
     """
-    if centroids is None:
-        centroids = seed_centroids(docs, n_cells, id_col=id_col)
-    placed = assign_cells(docs, centroids, id_col=id_col)
-    cells = cell_stats(placed, centroids)
-    if small is None:
-        small = fits(docs.sparkSession, measure(queries.select("query_id", "query_vector")), n_cells)
-    routed = route_queries(queries, cells, k, nprobe)
-    scored = search_cells(placed, routed, small, id_col)
-    order = [F.col("sim" if clamped else "cos").desc(), F.col(id_col)]
-    best = top_k(scored, "query_id", order, k, id_col)
-    return best.withColumn("score", keep((1 + F.col("cos")) / 2))
+    if size is None:
+        size = measure(queries.select("query_id", "query_vector"))
+    if nprobe is None and cells is None and fits(docs.sparkSession, size):
+        found = _scan_search(docs, queries, k, id_col, clamped)
+    else:
+        cells = cells or seed_cells(docs, id_col=id_col)
+        placed = assign_cells(docs, cells, id_col)
+        found = _cell_search(placed, queries, cells, size, k, nprobe, id_col, clamped)
+    best = top_k(found, "query_id", [F.col("cos").desc(), F.col(id_col)], k, id_col)
+    return best.withColumn(
+        "sim", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cos")))
+    ).withColumn("score", keep((1 + F.col("cos")) / 2))
 
 
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from strata import constants as K
 from strata.operators import context as C
 from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
+from strata.storage import settle
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,11 @@ def context_units(
     alpha: float = K.CHAPTER_ALPHA,
     use_summaries: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(units with ``ref``, chapters of the chosen ids): E1 to E4."""
+    """(units with ``ref``, chapters of the chosen ids): E1 to E4.
+
+    The hit list is short and read by several steps, so it is settled first.
+    """
+    hits = settle(hits)
     chosen = C.score_chapters(hits, top_k, alpha)
     wanted = chosen.select("chapter_id").distinct()
     chapters = opening_volumes(assemble_chapters(corpus, wanted))
@@ -44,7 +49,7 @@ def build_answers(
 ) -> Answers:
     """E1 to E9 for every query of ``queries``."""
     units, chapters = context_units(corpus, hits, **selection)
-    packed = C.pack_context(units, max_chars)
+    packed = settle(C.pack_context(units, max_chars))
     contexts = C.join_blocks(queries, packed)
     contexts = C.empty_context_answer(C.build_messages(contexts, system_prompt))
     return Answers(C.enrich_sources(packed.drop("block"), chapters), contexts)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import constants as K
+from strata.functions.text import strip
 from strata.operators.fusion import fuse_rrf, fuse_weighted
 from strata.operators.hits import attach_documents, format_hits
 from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector
-from strata.operators.neighbors import knn, top_k
+from strata.operators.neighbors import Cells, knn, top_k
 from strata.operators.rerank import rerank_by_density, rerank_flag
 from strata.sizing import Size, fits, hint_if, measure
 
@@ -42,7 +43,7 @@ class SearchOptions:
 def checked_queries(queries: DataFrame) -> DataFrame:
     """Queries with a blank text fail the job that reads them."""
     message = F.concat(F.lit("blank query "), F.col("query_id").cast("string"))
-    text = F.when(F.trim("query_text") == "", F.raise_error(message).cast("string")).otherwise(
+    text = F.when(strip(F.col("query_text")) == "", F.raise_error(message).cast("string")).otherwise(
         F.col("query_text")
     )
     return queries.withColumn("query_text", text)
@@ -53,7 +54,7 @@ def hybrid_hits(
     queries: DataFrame,
     options: SearchOptions = SearchOptions(),
     synonyms: DataFrame | None = None,
-    centroids: DataFrame | None = None,
+    cells: Cells | None = None,
     partitioned: bool = False,
 ) -> DataFrame:
     """(query_id, doc_id, rank, score, query_text, text, chapter_id, chunk_index).
@@ -81,8 +82,8 @@ def hybrid_hits(
         queries,
         most,
         nprobe=o.nprobe,
-        centroids=centroids,
-        small=fits(spark, size, 16),
+        cells=cells,
+        size=size,
         clamped=o.mode == "weighted",
     )
     if o.mode == "weighted":

@@ -51,6 +51,13 @@ def hint_if(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table of few files over the cores before heavy work on its rows;
+    a table with enough files stays as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session: the salt width for hot keys."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from strata.functions.text import tokens
 from strata.operators.corpus import merge_doc_kinds
 from strata.operators.summaries import summary_rows
+from strata.sizing import widen
 
 CHAPTER_DOCS = 20
 ENDS = ".!?"
 TITLE = r"([^\n.!?]{1,60}[.!?])"
 
 
+_WIDE = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(df, _WIDE[name]) if name in _WIDE else df
 
 
 def chapter_of(doc_id):
