@@ -101,6 +101,7 @@ W2V_EPOCHS = 8
 W2V_SEED = 42
 ANALOGY_TOP = 15
 
-# Scores are kept to this many decimals, so that equal documents tie
-# whatever the order in which a distributed sum was taken.
+# Cosines, BM25 sums and logarithms are kept to this many decimals, so that equal
+# documents tie whatever the order in which a distributed sum was taken. What is
+# computed from them (weighted sums, blends) is not rounded again.
 SCORE_DECIMALS = 9

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.functions.text import count_of, strip
+from strata.functions.vector import keep
 
 KEYWORD_MODES = ("raw", "saturation", "log1p")
 
@@ -34,7 +35,7 @@ def normalize_keyword(
     if mode == "saturation":
         return kw / (kw + kw_sat)
     if mode == "log1p":
-        return F.least(F.lit(1.0), F.log1p(kw) / kw_log_cap)
+        return F.least(F.lit(1.0), keep(F.log1p(kw)) / kw_log_cap)
     raise ValueError(f"keyword mode must be one of {KEYWORD_MODES}")
 
 
@@ -45,7 +46,7 @@ def term_density(query: Column, text: Column) -> Column:
         (needle != "") & (F.length(text) > 0), count_of(needle, text)
     ).otherwise(0)
     dense = tf / (F.greatest(F.length(text), F.lit(1)) / 200.0)
-    return F.when(tf > 0, F.log1p(tf) + F.least(dense, F.lit(4.0))).otherwise(0.0)
+    return F.when(tf > 0, keep(F.log1p(tf)) + F.least(dense, F.lit(4.0))).otherwise(0.0)
 
 
 def auto_rerank(query: Column, max_chars: int = K.AUTO_RERANK_CHARS) -> Column:
@@ -55,4 +56,4 @@ def auto_rerank(query: Column, max_chars: int = K.AUTO_RERANK_CHARS) -> Column:
 
 
 def chapter_score(max_score: Column, hits: Column, alpha: float) -> Column:
-    return max_score * (1 + alpha * F.log1p(hits))
+    return max_score * (1 + alpha * keep(F.log1p(hits)))

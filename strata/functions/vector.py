@@ -37,7 +37,7 @@ def unit(v: Column) -> Column:
 
 
 def keep(score: Column) -> Column:
-    """A score at the precision in which results are compared."""
+    """A measured value at the precision in which documents are compared."""
     return F.round(score, K.SCORE_DECIMALS)
 
 

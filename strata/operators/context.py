@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strata import constants as K
 from strata.functions import text as X
 from strata.functions.score import chapter_score
-from strata.functions.vector import keep
 
 UNIT_COLUMNS = [
     "query_id", "kind", "text", "chapter_id", "title", "score", "hit_count", "rank",
@@ -35,7 +34,7 @@ def score_chapters(hits: DataFrame, chapter_k: int = K.CONTEXT_TOP_K, alpha: flo
         best.alias("best"),
         F.min("rank").alias("first"),
     )
-    scored = grouped.withColumn("score", keep(chapter_score(F.col("top"), F.col("hit_count"), alpha)))
+    scored = grouped.withColumn("score", chapter_score(F.col("top"), F.col("hit_count"), alpha))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "first")
     return (
         scored.withColumn("slot", F.row_number().over(order))

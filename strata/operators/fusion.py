@@ -50,7 +50,7 @@ def fuse_weighted(
         raise ValueError("one weight must be positive")
     order = [F.col("score").desc(), F.col("doc_id")]
     kw_norm = normalize_keyword(F.col("kw"), mode, kw_sat, kw_log_cap)
-    score = keep(vector_weight * F.col("sim") + keyword_weight * kw_norm)
+    score = vector_weight * F.col("sim") + keyword_weight * kw_norm
     columns = ["query_id", "doc_id", "sim", "kw", "score"]
     # Cut the keyword hits to k per query where they are; only then mix in the
     # neighbours. A neighbour that is also a keyword hit scores at least as much there.
@@ -71,6 +71,6 @@ def fuse_rrf(keyword: DataFrame, nearest: DataFrame, k: int, constant: int = K.R
     columns = ["query_id", "doc_id", "rank"]
     legs = keyword.select(*columns).unionByName(nearest.select(*columns))
     fused = legs.groupBy("query_id", "doc_id").agg(
-        keep(F.sum(1.0 / (constant + F.col("rank")))).alias("score")
+        F.sum(1.0 / (constant + F.col("rank"))).alias("score")
     )
     return top_k(fused, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "doc_id")

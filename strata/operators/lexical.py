@@ -103,9 +103,13 @@ def write_index(index: Index, path: str) -> None:
 # --- query side -------------------------------------------------------------
 
 
+def query_tokens(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
+    return queries.select("query_id", F.explode(tokens(F.col("query_text"), analyzer)).alias("term"))
+
+
 def query_terms(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
     """(query_id, slot, term, qtf): one slot per distinct query token."""
-    toks = queries.select("query_id", F.explode(tokens(F.col("query_text"), analyzer)).alias("term"))
+    toks = query_tokens(queries, analyzer)
     counted = toks.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     return counted.select("query_id", F.col("term").alias("slot"), "term", "qtf")
 
@@ -151,7 +155,7 @@ def weigh_terms(
     documents and their total length come in the same pass as one pseudo-term.
     """
     looked_up = terms.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
-    vocabulary = looked_up.select("term").distinct()
+    vocabulary = looked_up.select("term")
     once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
     seen = doc_tokens(docs, field, analyzer).select("dl", F.explode_outer(once).alias("term"))
     stats = (
@@ -161,7 +165,7 @@ def weigh_terms(
     )
     word = F.col("term") != _ALL_DOCS
     by_slot = (
-        looked_up.join(stats, "term")
+        stats.join(hint_if(looked_up, small), "term")
         .groupBy("query_id", "slot", "qtf")
         .agg(
             F.max(F.when(word, F.col("df"))).alias("df"),
@@ -221,7 +225,9 @@ def bm25_match(
     if synonyms is not None:
         terms = expand_synonyms(terms, synonyms, analyzer)
     if small is None:
-        small = fits(docs.sparkSession, measure(terms), copies=2)
+        # Without synonyms the raw tokens bound the terms and need no shuffle to measure.
+        side = terms if synonyms is not None else query_tokens(queries, analyzer)
+        small = fits(docs.sparkSession, measure(side), copies=4)
     weighed = weigh_terms(docs, terms, small, field, analyzer)
     postings = build_postings(docs, field, analyzer)
     hit = _match(postings, weighed, small)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.constants import SCORE_DECIMALS
-from strata.functions.vector import as_double, keep, unit
+from strata.functions.vector import as_double, unit
 from strata.sizing import Size, fits, measure, shuffle_width
 
 N_CELLS = 16
@@ -301,7 +301,7 @@ def knn(
     best = top_k(found, "query_id", [F.col("cos").desc(), F.col(id_col)], k, id_col)
     return best.withColumn(
         "sim", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cos")))
-    ).withColumn("score", keep((1 + F.col("cos")) / 2))
+    ).withColumn("score", (1 + F.col("cos")) / 2)
 
 
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:

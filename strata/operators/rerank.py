@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strata import constants as K
 from strata.functions.score import auto_rerank, term_density
 from strata.functions.text import strip
-from strata.functions.vector import keep
 
 
 def rerank_flag(query: Column, explicit: bool | None = None) -> Column:
@@ -33,7 +32,7 @@ def rerank_by_density(
     """
     density = term_density(F.col("query_text"), F.coalesce(F.col(field), F.lit("")))
     base = F.coalesce(F.col("score"), F.lit(0.0))
-    combined = keep(F.when(base > 0, base * (1 + blend * density)).otherwise(density))
+    combined = F.when(base > 0, base * (1 + blend * density)).otherwise(density)
     active = strip(F.col("query_text")) != ""
     if flag is not None:
         active = active & F.col(flag)

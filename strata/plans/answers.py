@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from strata import constants as K
 from strata.operators import context as C
 from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
+from strata.operators.hits import enrich_hits, wanted_chapters
 from strata.storage import settle
 
 
@@ -39,6 +40,13 @@ def context_units(
     return C.order_units(C.fill_orphans(hits, units, top_k)), chapters
 
 
+def hits_with_chapters(corpus: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits with their chapter as a struct, the distinct chapters)."""
+    hits = settle(hits)
+    chapters = opening_volumes(assemble_chapters(corpus, wanted_chapters(hits)))
+    return enrich_hits(hits, chapters), chapters
+
+
 def build_answers(
     corpus: DataFrame,
     queries: DataFrame,

@@ -88,7 +88,7 @@ bm AS (
   GROUP BY query_id, doc_id)"""
 BM_TOP = """SELECT * FROM (
   SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, doc_id) AS rank,
-    round(kw, 6) AS score FROM bm) WHERE rank <= 10"""
+    kw AS score FROM bm) WHERE rank <= 10"""
 COS = "round(list_cosine_similarity(vector, query_vector), 9)"
 CHUNK = "(doc_kind = 'chunk' OR doc_kind IS NULL)"
 
@@ -98,7 +98,7 @@ def norm(mode: str, sat: float = 15.0) -> str:
     return {
         "raw": kw,
         "saturation": f"{kw} / ({kw} + {sat})",
-        "log1p": f"least(1.0, ln(1 + {kw}) / 10.0)",
+        "log1p": f"least(1.0, round(ln(1 + {kw}), 9) / 10.0)",
     }[mode]
 
 
@@ -106,7 +106,7 @@ def weighted(mode: str = "saturation", wv: float = 0.7, wk: float = 0.3, sat: fl
     return f"""{name} AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT q.query_id, q.query_text, c.doc_id, c.text, c.chapter_id, c.chunk_index,
-      round({wv} * least(1.0, greatest(0.0, {COS})) + {wk} * {norm(mode, sat)}, 9) AS score
+      {wv} * least(1.0, greatest(0.0, {COS})) + {wk} * ({norm(mode, sat)}) AS score
     FROM queries q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = c.doc_id
     WHERE vector IS NOT NULL AND {CHUNK}))"""
 
@@ -120,22 +120,22 @@ vleg AS (
   FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND {CHUNK}),
 fused AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT query_id, doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 9) AS score
+    SELECT query_id, doc_id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score
     FROM (SELECT * FROM kwleg WHERE r <= 50) a FULL JOIN (SELECT * FROM vleg WHERE r <= {k_near}) b
     USING (query_id, doc_id)))"""
 
 
 DENSITY = f"""(CASE WHEN len(string_split(text, {trim('query_text')})) > 1
-  THEN ln(len(string_split(text, {trim('query_text')})))
+  THEN round(ln(len(string_split(text, {trim('query_text')}))), 9)
     + least((len(string_split(text, {trim('query_text')})) - 1) / (length(text) / 200.0), 4.0)
   ELSE 0 END)"""
 
 
 def reranked(active: str) -> str:
-    return f"""SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (
+    return f"""SELECT query_id, doc_id, rank, score FROM (
   SELECT query_id, doc_id, new_score AS score, row_number() OVER (
       PARTITION BY query_id ORDER BY CASE WHEN active THEN new_score END DESC, rank) AS rank
-  FROM (SELECT *, CASE WHEN active THEN round(CASE WHEN score > 0 THEN score * (1 + 0.35 * d) ELSE d END, 9)
+  FROM (SELECT *, CASE WHEN active THEN CASE WHEN score > 0 THEN score * (1 + 0.35 * d) ELSE d END
       ELSE score END AS new_score
     FROM (SELECT *, {active} AS active, {DENSITY} AS d FROM fused) WHERE rank <= CASE WHEN active THEN 50 ELSE 10 END)
 ) WHERE rank <= 10"""
@@ -161,7 +161,7 @@ LOOKUP = f"""lookup AS (
 def chapter_scores(hits: str, k: int) -> str:
     return f"""chosen AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) AS slot FROM (
-    SELECT query_id, chapter_id, round(max(score) * (1 + 0.3 * ln(1 + count(*))), 9) AS score,
+    SELECT query_id, chapter_id, max(score) * (1 + 0.3 * round(ln(1 + count(*)), 9)) AS score,
       count(*) AS hit_count, first(doc_id ORDER BY score DESC, rank) AS best_doc,
       first(rank ORDER BY score DESC, rank) AS best_rank, first(chunk_index ORDER BY score DESC, rank) AS best_index,
       first(text ORDER BY score DESC, rank) AS best_text, min(rank) AS first_rank
@@ -176,8 +176,8 @@ picked AS (
       WHEN hit_count >= 2 AND full_text <> '' THEN 'chapter' ELSE 'chunk' END AS kind,
     CASE WHEN l.summary IS NOT NULL THEN l.summary WHEN hit_count >= 2 AND full_text <> '' THEN full_text
       ELSE {trim('best_text')} END AS text, c.chapter_id,
-    CASE WHEN l.summary IS NOT NULL THEN nullif(l.title, '')
-      WHEN hit_count >= 2 AND full_text <> '' THEN nullif(h.title, '') END AS title,
+    CASE WHEN l.summary IS NOT NULL THEN nullif({trim('l.title')}, '')
+      WHEN hit_count >= 2 AND full_text <> '' THEN nullif({trim('h.title')}, '') END AS title,
     score, hit_count, best_rank AS rank,
     CASE WHEN l.summary IS NULL AND hit_count < 2 THEN best_index END AS chunk_index,
     CASE WHEN l.summary IS NULL AND hit_count < 2 THEN best_doc END AS doc_id, slot
@@ -197,7 +197,7 @@ units AS (
   FROM both_units WHERE text <> '')"""
 
 
-UNIT_OUT = """SELECT query_id, ref, kind, text, chapter_id, title, round(score, 6) AS score, hit_count, rank,
+UNIT_OUT = """SELECT query_id, ref, kind, text, chapter_id, title, score, hit_count, rank,
   chunk_index, doc_id FROM units"""
 
 
@@ -312,7 +312,7 @@ ln AS (SELECT book_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM ra
 
 _HEX = "('0x' || substr(md5(t), {0}, {1}))::BIGINT"
 UPSERT = """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'v2 ' || text
-  WHEN doc_id % 3 = 0 THEN upper(text) ELSE text END AS text FROM documents"""
+  WHEN doc_id % 3 = 0 THEN text || ' (rev)' ELSE text END AS text FROM documents"""
 
 
 def dims(key: str, vector: str, source: str) -> str:
@@ -419,17 +419,17 @@ v AS (SELECT query_id, list(x ORDER BY dim) AS qv FROM (SELECT query_id, dim, su
   GROUP BY 1 HAVING max(abs(x)) > 0),
 full3 AS (SELECT query_id FROM parts WHERE dim = 1 GROUP BY 1 HAVING count(*) = 3)
 SELECT * FROM (SELECT query_id, vec_id::VARCHAR AS doc_id,
-  row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id::VARCHAR) AS rank, round((1 + cos) / 2, 6) AS score
+  row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id::VARCHAR) AS rank, (1 + cos) / 2 AS score
   FROM (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) AS cos
     FROM v JOIN full3 USING (query_id) CROSS JOIN embeddings)) WHERE rank <= 10""",
     "knn_top10": f"""WITH {QUERIES}
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank,
-  round((1 + cos) / 2, 6) AS score, round(least(1, greatest(0, cos)), 6) AS sim
+  (1 + cos) / 2 AS score, least(1.0, greatest(0.0, cos)) AS sim
   FROM (SELECT query_id, vec_id::VARCHAR AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], query_vector), 9) AS cos
     FROM queries CROSS JOIN embeddings)) WHERE rank <= 10""",
     "knn_filtered": f"""WITH {CORPUS}, {QUERIES}
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank,
-  round((1 + cos) / 2, 6) AS score FROM (SELECT query_id, doc_id, {COS} AS cos
+  (1 + cos) / 2 AS score FROM (SELECT query_id, doc_id, {COS} AS cos
     FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND {CHUNK})) WHERE rank <= 5""",
     "postings_stats": f"""WITH {CORPUS}, {TF}
 SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS max_tf, sum(dl) AS dl_sum FROM tf JOIN dl USING (doc_id) GROUP BY term""",
@@ -449,13 +449,13 @@ bm AS (SELECT query_id, doc_id, round(sum(qtf * {PART}), 9) AS kw
   FROM per JOIN sl USING (query_id, slot) JOIN dl USING (doc_id), st GROUP BY 1, 2)
 {BM_TOP}""",
     "hybrid_weighted_raw": f"""WITH {BASE}, {weighted('raw')}
-SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fused WHERE rank <= 10""",
+SELECT query_id, doc_id, rank, score FROM fused WHERE rank <= 10""",
     "hybrid_weighted_saturation": f"""WITH {BASE}, {weighted()}
-SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fused WHERE rank <= 10""",
+SELECT query_id, doc_id, rank, score FROM fused WHERE rank <= 10""",
     "hybrid_weighted_log1p": f"""WITH {BASE}, {weighted('log1p', 0.85, 0.15, 25.0)}
-SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fused WHERE rank <= 10""",
+SELECT query_id, doc_id, rank, score FROM fused WHERE rank <= 10""",
     "hybrid_rrf": f"""WITH {BASE}, {rrf(10)}
-SELECT query_id, doc_id, rank, round(score, 6) AS score FROM fused WHERE rank <= 10""",
+SELECT query_id, doc_id, rank, score FROM fused WHERE rank <= 10""",
     "hybrid_rerank": f"""WITH {CORPUS}, {SHORT}, {BM}, {weighted()}
 {reranked(f"length({trim('query_text')}) <= 4 AND NOT contains(query_text, ' ')")}""",
     "hybrid_rrf_rerank": f"""WITH {CORPUS}, {SHORT}, {BM}, {rrf(50).replace("fused AS (", "fused0 AS (", 1)},
@@ -467,7 +467,7 @@ SELECT *, {trim('query_text')} <> '' AND length({trim('query_text')}) <= 4
   AND {trim('query_text')} NOT LIKE '% %' AND NOT contains({trim('query_text')}, chr(9)) AS rerank
 FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM queries)""",
     "hits_formatted": f"""WITH {HITS}
-SELECT query_id, doc_id, rank, round(score, 6) AS score, text, text_truncated, chapter_id, chunk_index FROM hits""",
+SELECT query_id, doc_id, rank, score, text, text_truncated, chapter_id, chunk_index FROM hits""",
     "hit_counts": f"""WITH {BASE} SELECT query_id, count(doc_id) AS total, least(count(doc_id), 10) AS returned
 FROM queries LEFT JOIN bm USING (query_id) GROUP BY query_id""",
     "hits_collapsed": f"""WITH {LOOSE}, g AS (
@@ -475,7 +475,7 @@ FROM queries LEFT JOIN bm USING (query_id) GROUP BY query_id""",
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, rank) AS pos,
     count(*) OVER (PARTITION BY query_id, key) AS merged_from, min(rank) OVER (PARTITION BY query_id, key) AS first_rank FROM g)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chapter_id IS NULL, first_rank) AS rank,
-  chapter_id, merged_from, round(score, 6) AS score FROM b WHERE pos = 1""",
+  chapter_id, merged_from, score FROM b WHERE pos = 1""",
     "collapse_report": f"""WITH {LOOSE}
 SELECT query_id, count(*) AS raw_count, count(DISTINCT coalesce(chapter_id, 'hit ' || rank)) AS deduped_count,
   count(*) - count(DISTINCT coalesce(chapter_id, 'hit ' || rank)) AS removed_count FROM loose GROUP BY query_id""",
@@ -491,21 +491,21 @@ FROM o GROUP BY chapter_id""",
 SELECT query_id, rank, doc_id, chapter_number, title, chunk_count, length(full_text) AS chars
 FROM loose LEFT JOIN chapters USING (chapter_id)""",
     "chapter_scores": f"""WITH {LOOSE}, {chapter_scores('loose', 5)}
-SELECT query_id, chapter_id, round(score, 6) AS score, hit_count, best_doc, slot FROM chosen""",
+SELECT query_id, chapter_id, score, hit_count, best_doc, slot FROM chosen""",
     "context_units_ordered": f"WITH {HITS}, {units('hits', 5)} {UNIT_OUT}",
     "context_orphans": f"""WITH {LOOSE}, few AS (
   SELECT * EXCLUDE (chapter_id), CASE WHEN rank <= 3 THEN chapter_id END AS chapter_id FROM loose),
 {units('few', 6, False)} {UNIT_OUT}""",
     "context_sources": f"""WITH RECURSIVE {context(12000)}
-SELECT query_id, ref, doc_id, rank, round(score, 6) AS score, p.chapter_id, chunk_index, kind AS source_kind,
-  CASE WHEN coalesce(full_text, '') <> '' THEN coalesce(nullif(c.title, ''), p.title) ELSE p.title END AS chapter_title,
+SELECT query_id, ref, doc_id, rank, score, p.chapter_id, chunk_index, kind AS source_kind,
+  CASE WHEN coalesce(full_text, '') <> '' THEN coalesce(nullif({trim('c.title')}, ''), p.title) ELSE p.title END AS chapter_title,
   hit_count, text, text_for_llm, text_truncated, length(text) AS text_total_chars,
   CASE WHEN kind = 'chunk' THEN {preview('text', 240)} ELSE {preview('text', 4000)} END AS text_preview,
   chunk_count AS chapter_chunks
 FROM packed p LEFT JOIN chapters c ON c.chapter_id = p.chapter_id""",
     "contexts": f"{joined(4000, 5)} SELECT query_id, context, n_sources FROM ctx",
     "context_hits": f"""WITH RECURSIVE {HITS}, {hit_blocks(6000)}
-SELECT query_id, rank AS ref, doc_id, rank, round(score, 6) AS score, chapter_id, chunk_index,
+SELECT query_id, rank AS ref, doc_id, rank, score, chapter_id, chunk_index,
   {preview('text', 240)} AS text_preview, block FROM hpacked""",
     "messages": f"""{joined(12000, 3)}
 SELECT query_id, 0 AS pos, 'system' AS role, {lit(K.SYSTEM_PROMPT)} AS content FROM ctx
@@ -552,4 +552,4 @@ cosines AS (SELECT b.item_id AS query_id, m.character, round(coalesce(sum(qs.x *
   FROM benchmark b JOIN n qn ON qn.k = 'q' || b.item_id || ' ' CROSS JOIN (SELECT DISTINCT character FROM c) m JOIN n en ON en.k = m.character
   JOIN s qs ON qs.k = qn.k LEFT JOIN s es ON es.k = en.k AND es.dim = qs.dim GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, character, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, character) AS rank,
-  round((1 + cos) / 2, 6) AS score FROM cosines) WHERE rank <= 5"""
+  (1 + cos) / 2 AS score FROM cosines) WHERE rank <= 5"""

@@ -22,7 +22,7 @@ from strata.operators import summaries as SU
 from strata.operators import vectors as V
 from strata.operators import words as WD
 from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
-from strata.plans.answers import build_answers, context_units
+from strata.plans.answers import build_answers, context_units, hits_with_chapters
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources import corpus_files, sinks, term_files
 from strata.storage import fresh_dir
@@ -39,7 +39,7 @@ def query(fn: Query) -> Query:
 
 
 def r6(col: Column | str) -> Column:
-    """Rounded for comparison (plus 0.0: no negative zero)."""
+    """Rounded for comparison (plus 0.0: no negative zero); scores already are."""
     col = F.col(col) if isinstance(col, str) else col
     return F.round(col.cast("double"), 6) + F.lit(0.0)
 
@@ -123,7 +123,7 @@ def _ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         batch(0, F.lit(True), F.col("text"))
-        .unionByName(batch(1, n % 3 == 0, F.upper("text")))
+        .unionByName(batch(1, n % 3 == 0, F.concat("text", F.lit(" (rev)"))))
         .unionByName(batch(2, n % 5 == 0, F.concat(F.lit("v2 "), "text")))
     )
 
@@ -286,7 +286,8 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embedding_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4."""
-    return dims(V.parse_embedding_responses(_responses(spark, sf_dir)), "response_id", "pos")
+    vectors = V.parse_embedding_responses(_responses(spark, sf_dir))
+    return dims(vectors.withColumn("vector", F.col("vector").cast("array<float>")), "response_id", "pos")
 
 
 @query
@@ -310,14 +311,14 @@ def vector_expr_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = T.vectors(spark, sf_dir)
     sums, _ = V.vector_expression(_expression_terms(spark, sf_dir), v.withColumnRenamed("doc_id", "term"))
     q = sums.select(F.col("expr_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return N.knn_exact(v, q, 10).select("query_id", "doc_id", "rank", r6("score").alias("score"))
+    return N.knn_exact(v, q, 10).select("query_id", "doc_id", "rank", F.col("score"))
 
 
 @query
 def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6, C7."""
     found = N.knn_exact(T.vectors(spark, sf_dir), T.queries(spark, sf_dir), 10)
-    return found.select("query_id", "doc_id", "rank", r6("score").alias("score"), r6("sim").alias("sim"))
+    return found.select("query_id", "doc_id", "rank", F.col("score"), F.col("sim"))
 
 
 @query
@@ -325,7 +326,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C7 with D4 and D6 before the search."""
     docs = L.has_vector(L.chunks_only(T.corpus(spark, sf_dir)))
     found = N.knn_exact(docs, T.queries(spark, sf_dir), 5)
-    return found.select("query_id", "doc_id", "rank", r6("score").alias("score"))
+    return found.select("query_id", "doc_id", "rank", F.col("score"))
 
 
 @query
@@ -333,7 +334,7 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C7 through cells, the way of query tables too large to broadcast."""
     v = T.vectors(spark, sf_dir)
     found = N.knn_exact(v, T.queries(spark, sf_dir), 10, cells=N.seed_cells(v))
-    return found.select("query_id", "doc_id", "rank", r6("score").alias("score"))
+    return found.select("query_id", "doc_id", "rank", F.col("score"))
 
 
 @query
@@ -358,7 +359,7 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _top_bm25(matches: DataFrame) -> DataFrame:
     best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
-    return best.select("query_id", "doc_id", "rank", r6("kw").alias("score"))
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
 
 
 @query
@@ -388,7 +389,7 @@ def _search(spark: SparkSession, sf_dir: str, queries=T.queries, **options) -> D
 
 
 def _ranks(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", "doc_id", "rank", r6("score").alias("score"))
+    return hits.select("query_id", "doc_id", "rank", F.col("score"))
 
 
 @query
@@ -449,7 +450,7 @@ def _loose_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hits_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D15."""
-    return _hits(spark, sf_dir).withColumn("score", r6("score"))
+    return _hits(spark, sf_dir)
 
 
 @query
@@ -465,7 +466,7 @@ def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D16."""
     rows = H.collapse_by_chapter(_loose_hits(spark, sf_dir))
-    return rows.select("query_id", "doc_id", "rank", "chapter_id", "merged_from", r6("score").alias("score"))
+    return rows.select("query_id", "doc_id", "rank", "chapter_id", "merged_from", F.col("score"))
 
 
 @query
@@ -493,9 +494,7 @@ def summaries_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hits_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D19."""
-    hits = _loose_hits(spark, sf_dir)
-    chapters = opening_volumes(assemble_chapters(T.corpus(spark, sf_dir), H.wanted_chapters(hits)))
-    rows = H.enrich_hits(hits, chapters)
+    rows, _ = hits_with_chapters(T.corpus(spark, sf_dir), _loose_hits(spark, sf_dir))
     return rows.select(
         "query_id", "rank", "doc_id",
         F.col("chapter.chapter_number").alias("chapter_number"),
@@ -513,13 +512,13 @@ def chapter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1."""
     rows = C.score_chapters(_loose_hits(spark, sf_dir), 5)
     return rows.select(
-        "query_id", "chapter_id", r6("score").alias("score"), "hit_count", F.col("best.doc_id").alias("best_doc"), "slot"
+        "query_id", "chapter_id", F.col("score"), "hit_count", F.col("best.doc_id").alias("best_doc"), "slot"
     )
 
 
 def _flat_units(units: DataFrame) -> DataFrame:
     return units.select(
-        "query_id", "ref", "kind", "text", "chapter_id", "title", r6("score").alias("score"),
+        "query_id", "ref", "kind", "text", "chapter_id", "title", F.col("score"),
         "hit_count", "rank", "chunk_index", "doc_id",
     )
 
@@ -549,7 +548,7 @@ def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5, E7."""
     rows = _answers(spark, sf_dir, top_k=5).sources
     return rows.select(
-        "query_id", "ref", "doc_id", "rank", r6("score").alias("score"), "chapter_id", "chunk_index", "source_kind",
+        "query_id", "ref", "doc_id", "rank", F.col("score"), "chapter_id", "chunk_index", "source_kind",
         "chapter_title", "hit_count", "text", "text_for_llm", "text_truncated", "text_total_chars", "text_preview",
         F.col("chapter.chunk_count").alias("chapter_chunks"),
     )
@@ -565,7 +564,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6."""
     rows = C.pack_context_hits(_hits(spark, sf_dir), 6000)
-    return rows.withColumn("score", r6("score"))
+    return rows
 
 
 @query
@@ -589,6 +588,7 @@ def empty_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E10 over assembled chapters."""
     rows = opening_volumes(assemble_chapters(T.corpus(spark, sf_dir)))
+    # chapters with a summary are done
     work = SU.summary_worklist(
         rows.select(F.col("chapter_id").alias("doc_id"), F.col("full_text").alias("text")),
         T.summaries(spark, sf_dir).select("chapter_id"),
@@ -617,7 +617,7 @@ def entity_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = EN.entity_table(EN.entity_profiles(T.documents(spark, sf_dir), T.names(spark, sf_dir), 2000))
     b = T.table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
     q = V.hashing_embed(b, "query_id", output="query_vector")
-    return EN.entity_neighbors(entities, q, 5).withColumn("score", r6("score"))
+    return EN.entity_neighbors(entities, q, 5)
 
 
 @query
