@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata import constants as K
+from strata.constants import SCORE_DECIMALS
 from strata.functions.score import normalize_keyword
 from strata.functions.vector import clamp01, dot, keep, unit
-from strata.operators.neighbors import top_k
+from strata.operators.neighbors import (
+    Running,
+    cosines,
+    query_matrix,
+    searchable,
+    slices,
+    stack,
+    top_k,
+    unit_rows,
+)
 from strata.sizing import hint_if
 
 
@@ -63,6 +78,61 @@ def fuse_weighted(
     return top_k(both, "query_id", order, k, "doc_id")
 
 
+def fuse_weighted_scan(
+    matches: DataFrame,
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int,
+    vector_weight: float = K.CLI_DEFAULTS["vector_weight"],
+    keyword_weight: float = K.CLI_DEFAULTS["keyword_weight"],
+    mode: str = "saturation",
+    kw_sat: float = K.CLI_DEFAULTS["kw_sat"],
+    kw_log_cap: float = K.KW_LOG_CAP,
+) -> DataFrame:
+    """D8 as it is defined, for a query table that fits a broadcast: every document
+    with a vector is scored for every query, in place.
+
+    A document's keyword scores come to its vector as one short list (both are
+    partitioned by document, so nothing moves); a task turns a batch into a
+    matrix of scores and keeps a running top ``k`` per query.
+    """
+    normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, doc_id string, score double"
+    asked = query_matrix(queries)
+    if asked is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    side = docs.sparkSession.sparkContext.broadcast(asked)
+    scale = {
+        "raw": lambda kw: kw,
+        "saturation": lambda kw: kw / (kw + kw_sat),
+        "log1p": lambda kw: np.minimum(1.0, np.round(np.log1p(kw), SCORE_DECIMALS) / kw_log_cap),
+    }[mode]
+    lists = matches.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "kw")).alias("m"))
+    lists = lists.select("doc_id", F.col("m.query_id").alias("of"), F.col("m.kw").alias("kw"))
+    rows = searchable(docs, "doc_id", "vector").join(lists, "doc_id", "left")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = side.value
+        places = pd.Index(query_ids)
+        best = Running(query_ids, k)
+        for batch in batches:
+            for part in slices(batch, len(query_ids)):
+                ids, vectors, of, kw = part.columns
+                score = vector_weight * cosines(unit_rows(stack(vectors)), q, True)
+                lengths = of.value_lengths().fill_null(0).to_numpy()
+                row = np.repeat(np.arange(len(ids)), lengths)
+                column = places.get_indexer(of.flatten().to_numpy(zero_copy_only=False))
+                value = np.maximum(0.0, kw.flatten().to_numpy(zero_copy_only=False))
+                known = column >= 0
+                score[row[known], column[known]] += keyword_weight * scale(value[known])
+                best.add(score, ids.to_numpy(zero_copy_only=False))
+        yield from best.batches("doc_id", "score")
+
+    found = rows.mapInArrow(search, schema)
+    return top_k(found, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "doc_id")
+
+
 def fuse_rrf(keyword: DataFrame, nearest: DataFrame, k: int, constant: int = K.RRF_CONSTANT) -> DataFrame:
     """Reciprocal ranks summed over two ranked legs, top ``k``.
 

@@ -70,17 +70,24 @@ def doc_tokens(corpus: DataFrame, field: str = "text", analyzer: str = "standard
     return corpus.select("doc_id", toks.alias("toks")).withColumn("dl", F.size("toks"))
 
 
-def build_postings(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> DataFrame:
+def build_postings(
+    corpus: DataFrame, field: str = "text", analyzer: str = "standard", vocabulary: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, term, tf, dl). On a corpus partitioned by document: no shuffle.
 
+    ``vocabulary`` (term; small) keeps only its terms, before they are counted.
     The outer explode keeps the optimizer from testing ``size(tokens) > 0`` down
     in the scan, which would tokenise every text twice.
     """
-    return (
+    toks = (
         doc_tokens(corpus, field, analyzer)
         .select("doc_id", "dl", F.explode_outer("toks").alias("term"))
         .filter("term is not null")
-        .groupBy("doc_id", "dl", "term")
+    )
+    if vocabulary is not None:
+        toks = toks.join(F.broadcast(vocabulary), "term", "left_semi")
+    return (
+        toks.groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("doc_id", "term", "tf", "dl")
     )
@@ -215,11 +222,13 @@ def bm25_match(
     analyzer: str = "standard",
     synonyms: DataFrame | None = None,
     small: bool | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, kw) for every document sharing a query term.
 
     ``docs`` is the corpus (partitioned by document, see :func:`by_document`);
-    statistics are over all its rows, whatever is filtered afterwards.
+    statistics are over all its rows, scores are given for the rows of ``among``
+    (a filtered ``docs``) only.
     """
     terms = query_terms(queries, analyzer)
     if synonyms is not None:
@@ -229,7 +238,8 @@ def bm25_match(
         side = terms if synonyms is not None else query_tokens(queries, analyzer)
         small = fits(docs.sparkSession, measure(side), copies=4)
     weighed = weigh_terms(docs, terms, small, field, analyzer)
-    postings = build_postings(docs, field, analyzer)
+    scored = docs if among is None else among
+    postings = build_postings(scored, field, analyzer, terms.select("term") if small else None)
     hit = _match(postings, weighed, small)
     if synonyms is not None:
         hit = hit.groupBy("query_id", "doc_id", "slot", "weight", "avgdl", "dl").agg(

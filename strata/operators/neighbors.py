@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +33,7 @@ from strata.sizing import Size, fits, measure, shuffle_width
 N_CELLS = 16
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
+MATRIX_CELLS = 4_000_000  # scores held at once in a task
 # Angles this close may belong to cosines that are equal after rounding.
 _SLACK = 2e-4
 # Spark cuts row_number() <= k to k rows per task before the shuffle up to this k.
@@ -56,26 +58,33 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int, spread: str) ->
 # --- helpers inside tasks -----------------------------------------------------
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _stack(column: pa.Array) -> np.ndarray:
+def stack(column: pa.Array) -> np.ndarray:
     """Arrow list column -> float64 matrix; all vectors must have one width."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = len(flat) // max(1, len(column))
-    if len(column) and not (np.diff(column.offsets.to_numpy()) == width).all():
+    if len(column) and not (pa.compute.list_value_length(column).to_numpy() == width).all():
         raise ValueError("vectors of different width")
     return flat.reshape(len(column), width)
 
 
-def _cosines(docs: np.ndarray, queries: np.ndarray, clamped: bool) -> np.ndarray:
+def cosines(docs: np.ndarray, queries: np.ndarray, clamped: bool) -> np.ndarray:
     if docs.shape[1] != queries.shape[1]:
         raise ValueError(f"query width {queries.shape[1]}, stored width {docs.shape[1]}")
     cos = np.round(docs @ queries.T, SCORE_DECIMALS) + 0.0
     return np.clip(cos, 0.0, 1.0) if clamped else cos
 
 
+def slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose score matrix stays small."""
+    step = max(1, MATRIX_CELLS // max(1, n_queries))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by (score descending, id)."""
     if len(scores) > k:
@@ -86,10 +95,47 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
+class Running:
+    """The k best (score, id) seen so far for each of some queries."""
+
+    def __init__(self, query_ids: list, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` has one row per id and one column per query."""
+        for j, old in enumerate(self.held):
+            column, names = scores[:, j], ids
+            if old is not None:
+                if len(old[0]) == self.k:
+                    near = column >= old[0][-1]
+                    if not near.any():
+                        continue
+                    column, names = column[near], ids[near]
+                column = np.concatenate([old[0], column])
+                names = np.concatenate([old[1], names])
+            self.held[j] = _best(column, names, self.k)
+
+    def batches(self, id_col: str, score_col: str) -> Iterator[pa.RecordBatch]:
+        for query_id, best in zip(self.query_ids, self.held, strict=True):
+            if best is not None:
+                rows = {"query_id": [query_id] * len(best[0]), id_col: list(best[1]), score_col: best[0]}
+                yield pa.RecordBatch.from_pydict(rows)
+
+
+def query_matrix(queries: DataFrame) -> tuple[list, np.ndarray] | None:
+    """Ids and unit vectors of a query table that was measured to fit a broadcast."""
+    rows = searchable(queries, "query_id", "query_vector").collect()
+    if not rows:
+        return None
+    vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
+    return [r["query_id"] for r in rows], unit_rows(vectors)
+
+
 # --- exact search in place ----------------------------------------------------
 
 
-def _searchable(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
+def searchable(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, vector) of rows whose vector has a direction."""
     return docs.select(id_col, F.col(vector).alias("vector")).filter(
         F.exists("vector", lambda x: x != 0)
@@ -98,36 +144,24 @@ def _searchable(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 def _scan_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, clamped: bool) -> DataFrame:
     """(query_id, id, cos): k candidates per query and task. ``queries`` was measured."""
-    asked = _searchable(queries, "query_id", "query_vector").collect()
+    asked = query_matrix(queries)
     id_type = docs.schema[id_col].dataType.simpleString()
     qid_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_type}, {id_col} {id_type}, cos double"
-    if not asked:
+    if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
-    matrix = _unit_rows(np.array([r["vector"] for r in asked], dtype=np.float64))
-    side = docs.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], matrix))
+    side = docs.sparkSession.sparkContext.broadcast(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = side.value
-        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        best = Running(query_ids, k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cos = _cosines(_unit_rows(_stack(batch.column(1))), q, clamped)
-            for j, old in enumerate(held):
-                scores, names = cos[:, j], ids
-                if old is not None:
-                    scores = np.concatenate([old[0], scores])
-                    names = np.concatenate([old[1], names])
-                held[j] = _best(scores, names, k)
-        for query_id, best in zip(query_ids, held, strict=True):
-            if best is not None:
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": [query_id] * len(best[0]), id_col: list(best[1]), "cos": best[0]}
-                )
+            for part in slices(batch, len(query_ids)):
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                best.add(cosines(unit_rows(stack(part.column(1))), q, clamped), ids)
+        yield from best.batches(id_col, "cos")
 
-    return _searchable(docs, id_col, "vector").mapInArrow(search, schema)
+    return searchable(docs, id_col, "vector").mapInArrow(search, schema)
 
 
 # --- cells ----------------------------------------------------------------------
@@ -142,18 +176,18 @@ class Cells:
 
 def seed_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id") -> Cells:
     """Centroids picked by hash order of the ids: one pass, no training."""
-    picked = _searchable(docs, id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_cells)
+    picked = searchable(docs, id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_cells)
     rows = [r["vector"] for r in picked.collect()]
-    return Cells(_unit_rows(np.array(rows, dtype=np.float64)))
+    return Cells(unit_rows(np.array(rows, dtype=np.float64)))
 
 
 def kmeans_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id", seed: int = 42) -> Cells:
     """Centroids trained by MLlib on unit vectors."""
-    points = _searchable(docs, id_col, "vector").select(
+    points = searchable(docs, id_col, "vector").select(
         array_to_vector(unit(as_double(F.col("vector")))).alias("features")
     )
     centers = np.array(KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=2).fit(points).clusterCenters())
-    return Cells(_unit_rows(centers[np.linalg.norm(centers, axis=1) > 0]))
+    return Cells(unit_rows(centers[np.linalg.norm(centers, axis=1) > 0]))
 
 
 def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataFrame:
@@ -164,7 +198,7 @@ def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataF
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cos = _unit_rows(_stack(batch.column(1))) @ side.value.T
+                cos = unit_rows(stack(batch.column(1))) @ side.value.T
                 cell = cos.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -176,7 +210,7 @@ def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataF
                     names=[id_col, "vector", "cell", "cos"],
                 )
 
-    source = _searchable(docs, id_col, "vector")
+    source = searchable(docs, id_col, "vector")
     kinds = [source.schema[c].dataType.simpleString() for c in (id_col, "vector")]
     return source.mapInArrow(place, f"{id_col} {kinds[0]}, vector {kinds[1]}, cell int, cos double")
 
@@ -233,7 +267,7 @@ def _cell_search(
         centroids, n_, radius_, shards_ = side.value
         for pdf in batches:
             if len(pdf):
-                q = _unit_rows(np.array(pdf["vector"].tolist(), dtype=np.float64))
+                q = unit_rows(np.array(pdf["vector"].tolist(), dtype=np.float64))
                 where = cells_to_visit(q, centroids, n_, radius_, k, nprobe)
                 rows = [
                     (pdf["query_id"].iloc[i], pdf["vector"].iloc[i], int(c), s)
@@ -243,7 +277,7 @@ def _cell_search(
                 ]
                 yield pd.DataFrame(rows, columns=["query_id", "q", "cell", "shard"])
 
-    asked = _searchable(queries, "query_id", "query_vector")
+    asked = searchable(queries, "query_id", "query_vector")
     kind = asked.schema["vector"].dataType.simpleString()
     routed = asked.mapInPandas(route, f"query_id {qid_type}, q {kind}, cell int, shard int").withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
@@ -255,9 +289,9 @@ def _cell_search(
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], id_col: [], "cos": []}
         if len(left) and len(right):
-            u = _unit_rows(np.array(left["vector"].tolist(), dtype=np.float64))
-            q = _unit_rows(np.array(right["q"].tolist(), dtype=np.float64))
-            cos, ids = _cosines(u, q, clamped), left[id_col].to_numpy(dtype=object)
+            u = unit_rows(np.array(left["vector"].tolist(), dtype=np.float64))
+            q = unit_rows(np.array(right["q"].tolist(), dtype=np.float64))
+            cos, ids = cosines(u, q, clamped), left[id_col].to_numpy(dtype=object)
             for j, query_id in enumerate(right["query_id"]):
                 scores, names = _best(cos[:, j], ids, k)
                 out["query_id"] += [query_id] * len(scores)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.functions.text import strip
-from strata.operators.fusion import fuse_rrf, fuse_weighted
+from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.hits import attach_documents, format_hits
 from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector
 from strata.operators.neighbors import Cells, knn, top_k
@@ -74,33 +74,32 @@ def hybrid_hits(
     fetch = F.when(F.col("_rerank"), max(o.k, o.rerank_pool)).otherwise(o.k)
     flags = asked.select("query_id", "query_text", "_rerank", fetch.alias("_fetch"))
 
+    chunks = chunks_only(docs)
+    eligible = has_vector(chunks) if o.mode == "weighted" else chunks
     matches = bm25_match(
-        docs, queries, field=o.match_field, analyzer=o.analyzer, synonyms=synonyms
+        docs, queries, field=o.match_field, analyzer=o.analyzer, synonyms=synonyms, among=eligible
     )
-    nearest = knn(
-        has_vector(chunks_only(corpus)),
-        queries,
-        most,
-        nprobe=o.nprobe,
-        cells=cells,
-        size=size,
-        clamped=o.mode == "weighted",
-    )
-    if o.mode == "weighted":
-        eligible = has_vector(chunks_only(docs))
-        fused = fuse_weighted(
-            matches, nearest, eligible, queries, most, small,
-            o.vector_weight, o.keyword_weight, o.keyword_norm, o.kw_sat, o.kw_log_cap,
+
+    def nearest_chunks() -> DataFrame:
+        return knn(
+            has_vector(chunks_only(corpus)), queries, most, nprobe=o.nprobe, cells=cells, size=size,
+            clamped=o.mode == "weighted",
         )
+
+    if o.mode == "weighted":
+        blend = (o.vector_weight, o.keyword_weight, o.keyword_norm, o.kw_sat, o.kw_log_cap)
+        if small and o.nprobe is None:
+            fused = fuse_weighted_scan(matches, eligible, queries, most, *blend)
+        else:
+            fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
     elif o.mode == "rrf":
         window = max(o.rrf_window, most)
-        chunks = matches.join(chunks_only(docs).select("doc_id"), "doc_id", "left_semi")
-        keyword = top_k(chunks, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
+        keyword = top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
         limits = hint_if(flags.select("query_id", "_fetch"), small)
         keyword = keyword.join(limits, "query_id").filter(
             F.col("rank") <= F.greatest(F.lit(o.rrf_window), F.col("_fetch"))
         )
-        nearest = nearest.join(limits, "query_id").filter(F.col("rank") <= F.col("_fetch"))
+        nearest = nearest_chunks().join(limits, "query_id").filter(F.col("rank") <= F.col("_fetch"))
         fused = fuse_rrf(keyword, nearest, most, o.rrf_constant)
     else:
         raise ValueError("mode must be weighted or rrf")
