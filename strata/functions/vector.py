@@ -42,7 +42,7 @@ def keep(score: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def cosine_clamped(a: Column, b: Column) -> Column:

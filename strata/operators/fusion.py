@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata import constants as K
 from strata.constants import SCORE_DECIMALS
@@ -17,6 +18,7 @@ from strata.functions.vector import clamp01, dot, keep, unit
 from strata.operators.neighbors import (
     Running,
     cosines,
+    found_schema,
     query_matrix,
     searchable,
     slices,
@@ -97,8 +99,8 @@ def fuse_weighted_scan(
     matrix of scores and keeps a running top ``k`` per query.
     """
     normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, doc_id string, score double"
+    schema = found_schema(queries, docs, "doc_id", "score")
+    arrow = to_arrow_schema(schema)
     asked = query_matrix(queries)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -127,7 +129,7 @@ def fuse_weighted_scan(
                 known = column >= 0
                 score[row[known], column[known]] += keyword_weight * scale(value[known])
                 best.add(score, ids.to_numpy(zero_copy_only=False))
-        yield from best.batches("doc_id", "score")
+        yield from best.batches(arrow)
 
     found = rows.mapInArrow(search, schema)
     return top_k(found, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "doc_id")

@@ -25,6 +25,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata.constants import SCORE_DECIMALS
 from strata.functions.vector import as_double, unit
@@ -116,11 +118,24 @@ class Running:
                 names = np.concatenate([old[1], names])
             self.held[j] = _best(column, names, self.k)
 
-    def batches(self, id_col: str, score_col: str) -> Iterator[pa.RecordBatch]:
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for query_id, best in zip(self.query_ids, self.held, strict=True):
             if best is not None:
-                rows = {"query_id": [query_id] * len(best[0]), id_col: list(best[1]), score_col: best[0]}
-                yield pa.RecordBatch.from_pydict(rows)
+                columns = [[query_id] * len(best[0]), list(best[1]), best[0]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+                )
+
+
+def found_schema(queries: DataFrame, docs: DataFrame, id_col: str, score: str) -> T.StructType:
+    """(query_id, id, score) with the types of both sides."""
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField(id_col, docs.schema[id_col].dataType),
+            T.StructField(score, T.DoubleType()),
+        ]
+    )
 
 
 def query_matrix(queries: DataFrame) -> tuple[list, np.ndarray] | None:
@@ -145,9 +160,8 @@ def searchable(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
 def _scan_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, clamped: bool) -> DataFrame:
     """(query_id, id, cos): k candidates per query and task. ``queries`` was measured."""
     asked = query_matrix(queries)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    qid_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {qid_type}, {id_col} {id_type}, cos double"
+    schema = found_schema(queries, docs, id_col, "cos")
+    arrow = to_arrow_schema(schema)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
     side = docs.sparkSession.sparkContext.broadcast(asked)
@@ -159,7 +173,7 @@ def _scan_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, clamp
             for part in slices(batch, len(query_ids)):
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 best.add(cosines(unit_rows(stack(part.column(1))), q, clamped), ids)
-        yield from best.batches(id_col, "cos")
+        yield from best.batches(arrow)
 
     return searchable(docs, id_col, "vector").mapInArrow(search, schema)
 
@@ -297,12 +311,11 @@ def _cell_search(
                 out["query_id"] += [query_id] * len(scores)
                 out[id_col] += list(names)
                 out["cos"] += list(scores)
-        return pd.DataFrame(out)
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
 
     key = ["cell", "shard", "block"]
-    id_type = placed.schema[id_col].dataType.simpleString()
     return docs.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(
-        meet, f"query_id {qid_type}, {id_col} {id_type}, cos double"
+        meet, found_schema(queries, placed, id_col, "cos")
     )
 
 

@@ -76,8 +76,11 @@ def hybrid_hits(
 
     chunks = chunks_only(docs)
     eligible = has_vector(chunks) if o.mode == "weighted" else chunks
+    # A token row takes at most 40 times the bytes of its text; measured only when that may not fit.
+    few_terms = True if synonyms is None and fits(spark, size, copies=40) else None
     matches = bm25_match(
-        docs, queries, field=o.match_field, analyzer=o.analyzer, synonyms=synonyms, among=eligible
+        docs, queries, field=o.match_field, analyzer=o.analyzer, synonyms=synonyms, small=few_terms,
+        among=eligible,
     )
 
     def nearest_chunks() -> DataFrame:
