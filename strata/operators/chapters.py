@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata import constants as K
 from strata.functions import text as X
 from strata.operators.lexical import chunks_only, summaries_only
+from strata.storage import settle
 
 # A chapter heavier than this comes in several rows ("volumes").
 VOLUME_CHARS = 16_000_000
@@ -137,14 +138,20 @@ def assemble_chapters(
     One row per chapter with all its parts in order. A chapter beyond
     ``volume_chars`` comes as consecutive volumes; joined by a line feed they
     are the whole text. ``wanted`` (chapter_id) restricts the chapters.
+
+    The weights of the chapters are measured first; only when one is too heavy
+    are such chapters taken out and assembled in pieces.
     """
     parts = _parts(corpus, wanted)
     weights = parts.groupBy("chapter_id").agg(
         F.sum(F.length("text") + _ROW_CHARS).alias("weight"), F.count("chunk_index").alias("n_indexed")
     )
-    heavy = weights.filter(F.col("weight") > volume_chars)
-    light = parts.join(heavy, "chapter_id", "left_anti")
-    rows = _one_row(light).unionByName(_in_volumes(parts, heavy, volume_chars))
+    heavy = settle(weights.filter(F.col("weight") > volume_chars))
+    if heavy.isEmpty():
+        rows = _one_row(parts)
+    else:
+        light = parts.join(heavy, "chapter_id", "left_anti")
+        rows = _one_row(light).unionByName(_in_volumes(parts, heavy, volume_chars))
     return rows.select(
         "chapter_id",
         X.chapter_number(F.col("chapter_id")).alias("chapter_number"),

@@ -115,10 +115,9 @@ def query_tokens(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
 
 
 def query_terms(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
-    """(query_id, slot, term, qtf): one slot per distinct query token."""
-    toks = query_tokens(queries, analyzer)
-    counted = toks.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return counted.select("query_id", F.col("term").alias("slot"), "term", "qtf")
+    """(query_id, slot, qtf): one slot per distinct query token."""
+    toks = query_tokens(queries, analyzer).withColumnRenamed("term", "slot")
+    return toks.groupBy("query_id", "slot").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def synonym_members(rules: DataFrame, analyzer: str = "standard") -> DataFrame:
@@ -139,78 +138,71 @@ def synonym_members(rules: DataFrame, analyzer: str = "standard") -> DataFrame:
     return pairs("both", "both").unionByName(pairs("from", "to")).distinct()
 
 
-def expand_synonyms(terms: DataFrame, rules: DataFrame, analyzer: str = "standard") -> DataFrame:
-    """D3: query terms with the members of their rules; the slot stays the query
-    token, so that all members of one slot are scored as one term. The stored
-    text is never expanded."""
-    members = synonym_members(rules, analyzer)
-    found = terms.join(members, "term", "left")
-    return found.select(
-        "query_id", "slot", F.coalesce("member", "term").alias("term"), "qtf"
-    ).distinct()
+def expand_synonyms(slots: DataFrame, rules: DataFrame, analyzer: str = "standard") -> DataFrame:
+    """D3: (slot, term): the members of each query token's rules, or the token itself.
+
+    All members of a slot are scored as one term. The stored text is never expanded.
+    """
+    members = synonym_members(rules, analyzer).withColumnRenamed("term", "slot")
+    found = slots.join(members, "slot", "left")
+    return found.select("slot", F.coalesce("member", "slot").alias("term")).distinct()
 
 
 # --- BM25 -------------------------------------------------------------------
 
 
-def weigh_terms(
-    docs: DataFrame, terms: DataFrame, small: bool, field: str = "text", analyzer: str = "standard"
+def slot_stats(
+    docs: DataFrame, members: DataFrame, small: bool, field: str = "text", analyzer: str = "standard"
 ) -> DataFrame:
-    """``terms`` plus ``idf`` and ``avgdl``, from statistics over all of ``docs``.
+    """(slot, df, n_docs, avgdl) over all of ``docs``; a slot's df is the largest of its members.
 
     Document frequencies are counted for the query terms only; the number of
     documents and their total length come in the same pass as one pseudo-term.
     """
-    looked_up = terms.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
-    vocabulary = looked_up.select("term")
+    looked_up = members.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
     once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
     seen = doc_tokens(docs, field, analyzer).select("dl", F.explode_outer(once).alias("term"))
     stats = (
-        seen.join(hint_if(vocabulary, small), "term", "left_semi")
+        seen.join(hint_if(looked_up.select("term"), small), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
     )
     word = F.col("term") != _ALL_DOCS
     by_slot = (
         stats.join(hint_if(looked_up, small), "term")
-        .groupBy("query_id", "slot", "qtf")
+        .groupBy("slot")
         .agg(
             F.max(F.when(word, F.col("df"))).alias("df"),
             F.max(F.when(~word, F.col("df"))).alias("n_docs"),
             F.max(F.when(~word, F.col("total_dl") / F.col("df"))).alias("avgdl"),
-            F.collect_set(F.when(word, F.struct("term", F.col("df").alias("term_df")))).alias("m"),
         )
     )
-    return by_slot.select(
-        "query_id",
-        "slot",
-        (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"),
-        "avgdl",
-        F.explode("m").alias("m"),
-    ).select("query_id", "slot", "weight", "avgdl", "m.term", "m.term_df")
+    return by_slot.filter("df is not null")
 
 
-HOT_TERM_DOCS = 1_000_000
+HOT_KEY_DOCS = 1_000_000
 
 
-def _match(postings: DataFrame, weighed: DataFrame, small: bool) -> DataFrame:
-    """Postings joined with the query terms they contain.
+def _meet(rows: DataFrame, side: DataFrame, key: str, small: bool) -> DataFrame:
+    """Document rows joined with the query-side rows of the same ``key``.
 
-    Broadcast for a small query side. Otherwise a shuffle on the term, where the
-    postings of a frequent term are cut into shards by document hash, about
-    HOT_TERM_DOCS postings each, and its query rows are repeated per shard.
+    Broadcast for a small query side. Otherwise a shuffle on the key, where the
+    rows of a frequent key (``df`` of the query side) are cut into shards by
+    document hash, about HOT_KEY_DOCS rows each, and its query rows are repeated
+    per shard.
     """
     if small:
-        return postings.join(F.broadcast(weighed.drop("term_df")), "term")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("term_df") / HOT_TERM_DOCS)).cast("int")
-    asked = weighed.withColumn("shards", shards)
-    hot = asked.filter("shards > 1").select("term", "shards").distinct()
-    cut = postings.join(hot, "term", "left").withColumn(
-        "shard",
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"), F.lit(0)),
+        return rows.join(F.broadcast(side.drop("df")), key)
+    shards = F.greatest(F.lit(1), F.ceil(F.col("df") / HOT_KEY_DOCS)).cast("int")
+    asked = side.withColumn("shards", shards)
+    hot = asked.filter("shards > 1").groupBy(key).agg(F.max("shards").alias("cut"))
+    spread = rows.join(hot, key, "left").withColumn(
+        "shard", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int"), F.lit(0))
     )
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    return cut.drop("shards").join(asked.drop("shards", "term_df"), ["term", "shard"])
+    of_key = asked.join(hot, key, "left").withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.coalesce("cut", F.lit(1)) - 1))
+    )
+    return spread.drop("cut").join(of_key.drop("cut", "shards", "df"), [key, "shard"]).drop("shard")
 
 
 def bm25_match(
@@ -228,22 +220,35 @@ def bm25_match(
 
     ``docs`` is the corpus (partitioned by document, see :func:`by_document`);
     statistics are over all its rows, scores are given for the rows of ``among``
-    (a filtered ``docs``) only.
+    (a filtered ``docs``) only. With synonyms the members of a slot are first
+    added up per document, whatever the number of queries that use the slot.
     """
     terms = query_terms(queries, analyzer)
-    if synonyms is not None:
-        terms = expand_synonyms(terms, synonyms, analyzer)
+    slots = query_tokens(queries, analyzer).select(F.col("term").alias("slot")).distinct()
+    if synonyms is None:
+        members = slots.withColumn("term", F.col("slot"))
+    else:
+        members = expand_synonyms(slots, synonyms, analyzer)
     if small is None:
-        # Without synonyms the raw tokens bound the terms and need no shuffle to measure.
-        side = terms if synonyms is not None else query_tokens(queries, analyzer)
-        small = fits(docs.sparkSession, measure(side), copies=4)
-    weighed = weigh_terms(docs, terms, small, field, analyzer)
+        # Raw tokens bound the terms and need no shuffle to measure.
+        small = fits(docs.sparkSession, measure(query_tokens(queries, analyzer)), copies=4)
+        if synonyms is not None:
+            small = small and fits(docs.sparkSession, measure(members), copies=4)
+    stats = slot_stats(docs, members, small, field, analyzer)
+    weighed = terms.join(stats, "slot").select(
+        "query_id", "slot", (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "df"
+    )
     scored = docs if among is None else among
-    postings = build_postings(scored, field, analyzer, terms.select("term") if small else None)
-    hit = _match(postings, weighed, small)
-    if synonyms is not None:
-        hit = hit.groupBy("query_id", "doc_id", "slot", "weight", "avgdl", "dl").agg(
-            F.sum("tf").alias("tf")
+    postings = build_postings(scored, field, analyzer, members.select("term") if small else None)
+    if synonyms is None:
+        postings = postings.withColumnRenamed("term", "slot")
+    else:
+        sized = members if small else members.join(stats.select("slot", "df"), "slot")
+        postings = (
+            _meet(postings, sized, "term", small)
+            .groupBy("doc_id", "dl", "slot")
+            .agg(F.sum("tf").alias("tf"))
         )
+    hit = _meet(postings, weighed, "slot", small)
     part = S.bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return hit.groupBy("query_id", "doc_id").agg(keep(F.sum(part)).alias("kw"))

@@ -29,12 +29,13 @@ def context_units(
 ) -> tuple[DataFrame, DataFrame]:
     """(units with ``ref``, chapters of the chosen ids): E1 to E4.
 
-    The hit list is short and read by several steps, so it is settled first.
+    What several steps read is settled: the hit list, the chosen chapters and
+    their texts, which are assembled once.
     """
     hits = settle(hits)
-    chosen = C.score_chapters(hits, top_k, alpha)
+    chosen = settle(C.score_chapters(hits, top_k, alpha))
     wanted = chosen.select("chapter_id").distinct()
-    chapters = opening_volumes(assemble_chapters(corpus, wanted))
+    chapters = settle(opening_volumes(assemble_chapters(corpus, wanted)))
     summaries = lookup_summaries(corpus, wanted) if use_summaries else None
     units = C.select_context_units(chosen, summaries, chapters, multi_hit_threshold)
     return C.order_units(C.fill_orphans(hits, units, top_k)), chapters
@@ -43,7 +44,8 @@ def context_units(
 def hits_with_chapters(corpus: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with their chapter as a struct, the distinct chapters)."""
     hits = settle(hits)
-    chapters = opening_volumes(assemble_chapters(corpus, wanted_chapters(hits)))
+    wanted = settle(wanted_chapters(hits))
+    chapters = settle(opening_volumes(assemble_chapters(corpus, wanted)))
     return enrich_hits(hits, chapters), chapters
 
 

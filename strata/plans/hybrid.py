@@ -39,6 +39,12 @@ class SearchOptions:
     analyzer: str = "standard"
     nprobe: int | None = None  # None: exact vector leg
 
+    def __post_init__(self) -> None:
+        if self.mode not in ("weighted", "rrf"):
+            raise ValueError("mode must be weighted or rrf")
+        if min(self.k, self.rerank_pool, self.rrf_window) < 1:
+            raise ValueError("k, rerank_pool and rrf_window must be at least 1")
+
 
 def checked_queries(queries: DataFrame) -> DataFrame:
     """Queries with a blank text fail the job that reads them."""
@@ -95,7 +101,7 @@ def hybrid_hits(
             fused = fuse_weighted_scan(matches, eligible, queries, most, *blend)
         else:
             fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
-    elif o.mode == "rrf":
+    else:
         window = max(o.rrf_window, most)
         keyword = top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
         limits = hint_if(flags.select("query_id", "_fetch"), small)
@@ -104,8 +110,6 @@ def hybrid_hits(
         )
         nearest = nearest_chunks().join(limits, "query_id").filter(F.col("rank") <= F.col("_fetch"))
         fused = fuse_rrf(keyword, nearest, most, o.rrf_constant)
-    else:
-        raise ValueError("mode must be weighted or rrf")
 
     hits = fused.select("query_id", "doc_id", "rank", "score").join(hint_if(flags, small), "query_id")
     hits = hits.filter(F.col("rank") <= F.col("_fetch")).drop("_fetch")

@@ -122,7 +122,7 @@ def test_bm25_matches_the_loop_both_ways(texts, monkeypatch):
     docs, queries, raw, asked = texts
     want = loop_bm25(raw, asked)
     assert matched(L.bm25_match(docs, queries)) == pytest.approx(want, abs=1e-8)
-    monkeypatch.setattr(L, "HOT_TERM_DOCS", 10)
+    monkeypatch.setattr(L, "HOT_KEY_DOCS", 10)
     assert matched(L.bm25_match(docs, queries, small=False)) == pytest.approx(want, abs=1e-8)
 
 
