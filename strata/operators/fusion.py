@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from strata import constants as K
 from strata.constants import SCORE_DECIMALS
 from strata.functions.score import normalize_keyword
 from strata.functions.vector import clamp01, dot, keep, unit
+from strata.operators.keyword_scan import KeywordMatrix, document_slots
 from strata.operators.neighbors import (
     Running,
     cosines,
@@ -81,7 +81,7 @@ def fuse_weighted(
 
 
 def fuse_weighted_scan(
-    matches: DataFrame,
+    matrix: KeywordMatrix,
     docs: DataFrame,
     queries: DataFrame,
     k: int,
@@ -90,13 +90,15 @@ def fuse_weighted_scan(
     mode: str = "saturation",
     kw_sat: float = K.CLI_DEFAULTS["kw_sat"],
     kw_log_cap: float = K.KW_LOG_CAP,
+    field: str = "text",
+    analyzer: str = "standard",
 ) -> DataFrame:
     """D8 as it is defined, for a query table that fits a broadcast: every document
     with a vector is scored for every query, in place.
 
-    A document's keyword scores come to its vector as one short list (both are
-    partitioned by document, so nothing moves); a task turns a batch into a
-    matrix of scores and keeps a running top ``k`` per query.
+    A document's matching slots come to its vector as one short list (both are
+    partitioned by document, so nothing moves); a task turns a batch into two
+    matrices of scores and keeps a running top ``k`` per query.
     """
     normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
     schema = found_schema(queries, docs, "doc_id", "score")
@@ -104,30 +106,24 @@ def fuse_weighted_scan(
     asked = query_matrix(queries)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
-    side = docs.sparkSession.sparkContext.broadcast(asked)
+    shared = docs.sparkSession.sparkContext.broadcast((*asked, matrix.for_queries(asked[0])))
     scale = {
         "raw": lambda kw: kw,
         "saturation": lambda kw: kw / (kw + kw_sat),
         "log1p": lambda kw: np.minimum(1.0, np.round(np.log1p(kw), SCORE_DECIMALS) / kw_log_cap),
     }[mode]
-    lists = matches.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "kw")).alias("m"))
-    lists = lists.select("doc_id", F.col("m.query_id").alias("of"), F.col("m.kw").alias("kw"))
-    rows = searchable(docs, "doc_id", "vector").join(lists, "doc_id", "left")
+    slots = document_slots(docs, matrix, field, analyzer)
+    rows = searchable(docs, "doc_id", "vector").join(slots, "doc_id", "left")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q = side.value
-        places = pd.Index(query_ids)
+        query_ids, q, m = shared.value
         best = Running(query_ids, k)
         for batch in batches:
-            for part in slices(batch, len(query_ids)):
-                ids, vectors, of, kw = part.columns
-                score = vector_weight * cosines(unit_rows(stack(vectors)), q, True)
-                lengths = of.value_lengths().fill_null(0).to_numpy()
-                row = np.repeat(np.arange(len(ids)), lengths)
-                column = places.get_indexer(of.flatten().to_numpy(zero_copy_only=False))
-                value = np.maximum(0.0, kw.flatten().to_numpy(zero_copy_only=False))
-                known = column >= 0
-                score[row[known], column[known]] += keyword_weight * scale(value[known])
+            for part in slices(batch, max(m.weights.shape)):
+                ids, vectors, dl, of = part.columns
+                kw = np.maximum(0.0, np.round(m.scores(of, dl), SCORE_DECIMALS))
+                sim = cosines(unit_rows(stack(vectors)), q, True)
+                score = vector_weight * sim + keyword_weight * scale(kw)
                 best.add(score, ids.to_numpy(zero_copy_only=False))
         yield from best.batches(arrow)
 

@@ -205,24 +205,25 @@ def _meet(rows: DataFrame, side: DataFrame, key: str, small: bool) -> DataFrame:
     return spread.drop("cut").join(of_key.drop("cut", "shards", "df"), [key, "shard"]).drop("shard")
 
 
-def bm25_match(
+@dataclass(frozen=True)
+class QuerySide:
+    """What the queries bring to the documents."""
+
+    members: DataFrame  # slot, term
+    stats: DataFrame  # slot, df, n_docs, avgdl
+    weighed: DataFrame  # query_id, slot, weight, avgdl, df
+    small: bool  # measured to fit a broadcast
+
+
+def query_side(
     docs: DataFrame,
     queries: DataFrame,
-    k1: float = K.BM25_K1,
-    b: float = K.BM25_B,
     field: str = "text",
     analyzer: str = "standard",
     synonyms: DataFrame | None = None,
     small: bool | None = None,
-    among: DataFrame | None = None,
-) -> DataFrame:
-    """(query_id, doc_id, kw) for every document sharing a query term.
-
-    ``docs`` is the corpus (partitioned by document, see :func:`by_document`);
-    statistics are over all its rows, scores are given for the rows of ``among``
-    (a filtered ``docs``) only. With synonyms the members of a slot are first
-    added up per document, whatever the number of queries that use the slot.
-    """
+) -> QuerySide:
+    """Slots, their members and their weights from statistics over all of ``docs``."""
     terms = query_terms(queries, analyzer)
     slots = query_tokens(queries, analyzer).select(F.col("term").alias("slot")).distinct()
     if synonyms is None:
@@ -238,17 +239,40 @@ def bm25_match(
     weighed = terms.join(stats, "slot").select(
         "query_id", "slot", (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "df"
     )
+    return QuerySide(members, stats, weighed, small)
+
+
+def bm25_match(
+    docs: DataFrame,
+    queries: DataFrame,
+    k1: float = K.BM25_K1,
+    b: float = K.BM25_B,
+    field: str = "text",
+    analyzer: str = "standard",
+    synonyms: DataFrame | None = None,
+    small: bool | None = None,
+    among: DataFrame | None = None,
+    side: QuerySide | None = None,
+) -> DataFrame:
+    """(query_id, doc_id, kw) for every document sharing a query term.
+
+    ``docs`` is the corpus (partitioned by document, see :func:`by_document`);
+    statistics are over all its rows, scores are given for the rows of ``among``
+    (a filtered ``docs``) only. With synonyms the members of a slot are first
+    added up per document, whatever the number of queries that use the slot.
+    """
+    side = side or query_side(docs, queries, field, analyzer, synonyms, small)
     scored = docs if among is None else among
-    postings = build_postings(scored, field, analyzer, members.select("term") if small else None)
+    postings = build_postings(scored, field, analyzer, side.members.select("term") if side.small else None)
     if synonyms is None:
         postings = postings.withColumnRenamed("term", "slot")
     else:
-        sized = members if small else members.join(stats.select("slot", "df"), "slot")
+        sized = side.members if side.small else side.members.join(side.stats.select("slot", "df"), "slot")
         postings = (
-            _meet(postings, sized, "term", small)
+            _meet(postings, sized, "term", side.small)
             .groupBy("doc_id", "dl", "slot")
             .agg(F.sum("tf").alias("tf"))
         )
-    hit = _meet(postings, weighed, "slot", small)
+    hit = _meet(postings, side.weighed, "slot", side.small)
     part = S.bm25(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return hit.groupBy("query_id", "doc_id").agg(keep(F.sum(part)).alias("kw"))

@@ -121,7 +121,8 @@ class Running:
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for query_id, best in zip(self.query_ids, self.held, strict=True):
             if best is not None:
-                columns = [[query_id] * len(best[0]), list(best[1]), best[0]]
+                found = np.isfinite(best[0])  # -inf marks what does not match at all
+                columns = [[query_id] * int(found.sum()), list(best[1][found]), best[0][found]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
                 )

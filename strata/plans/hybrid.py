@@ -11,8 +11,9 @@ from strata import constants as K
 from strata.functions.text import strip
 from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.hits import attach_documents, format_hits
-from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector
-from strata.operators.neighbors import Cells, knn, top_k
+from strata.operators.keyword_scan import bm25_top, keyword_matrix
+from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector, query_side
+from strata.operators.neighbors import Cells, knn
 from strata.operators.rerank import rerank_by_density, rerank_flag
 from strata.sizing import Size, fits, hint_if, measure
 
@@ -84,10 +85,7 @@ def hybrid_hits(
     eligible = has_vector(chunks) if o.mode == "weighted" else chunks
     # A token row takes at most 40 times the bytes of its text; measured only when that may not fit.
     few_terms = True if synonyms is None and fits(spark, size, copies=40) else None
-    matches = bm25_match(
-        docs, queries, field=o.match_field, analyzer=o.analyzer, synonyms=synonyms, small=few_terms,
-        among=eligible,
-    )
+    text = {"field": o.match_field, "analyzer": o.analyzer}
 
     def nearest_chunks() -> DataFrame:
         return knn(
@@ -97,13 +95,18 @@ def hybrid_hits(
 
     if o.mode == "weighted":
         blend = (o.vector_weight, o.keyword_weight, o.keyword_norm, o.kw_sat, o.kw_log_cap)
-        if small and o.nprobe is None:
-            fused = fuse_weighted_scan(matches, eligible, queries, most, *blend)
+        side = query_side(docs, queries, **text, synonyms=synonyms, small=few_terms)
+        matrix = keyword_matrix(side) if small and o.nprobe is None else None
+        if matrix is not None and matrix.members:
+            fused = fuse_weighted_scan(matrix, eligible, queries, most, *blend, **text)
         else:
+            matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side)
             fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
     else:
         window = max(o.rrf_window, most)
-        keyword = top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
+        keyword = bm25_top(
+            docs, queries, window, **text, synonyms=synonyms, small=few_terms, among=eligible
+        )
         limits = hint_if(flags.select("query_id", "_fetch"), small)
         keyword = keyword.join(limits, "query_id").filter(
             F.col("rank") <= F.greatest(F.lit(o.rrf_window), F.col("_fetch"))

@@ -11,6 +11,7 @@ from strata.functions.score import auto_rerank, normalize_keyword, term_density
 from strata.operators import lexical as L
 from strata.operators import neighbors as N
 from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
+from strata.operators.keyword_scan import bm25_top, keyword_matrix
 from strata.operators.hits import collapse_by_chapter, format_hits
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources.term_files import parse_synonym_rules
@@ -126,6 +127,20 @@ def test_bm25_matches_the_loop_both_ways(texts, monkeypatch):
     assert matched(L.bm25_match(docs, queries, small=False)) == pytest.approx(want, abs=1e-8)
 
 
+@pytest.mark.parametrize("small", [None, False])
+def test_top_keyword_hits_both_ways(spark, texts, small):
+    docs, queries, raw, asked = texts
+    rules = parse_synonym_rules(spark.createDataFrame([(1, "cat, sun")], "rule_id int, line string"))
+    for synonyms, table in ((None, {}), (rules, {"cat": ["cat", "sun"]})):
+        scores = loop_bm25(raw, asked, lambda t, table=table: table.get(t, [t]))
+        want = []
+        for q in (1, 2, 3, 4):
+            best = sorted((-v, d) for (j, d), v in scores.items() if j == q)[:5]
+            want += [(q, r + 1, d) for r, (_, d) in enumerate(best)]
+        got = bm25_top(docs, queries, 5, synonyms=synonyms, small=small)
+        assert rows_of(got, "query_id", "rank", "doc_id") == want
+
+
 def test_statistics_cover_documents_that_are_not_scored(texts):
     docs, queries, raw, asked = texts
     want = {k: v for k, v in loop_bm25(raw, asked).items() if k[1] < "d050"}
@@ -171,7 +186,8 @@ def test_pruned_fusion_is_exact(small_corpus, mode):
     matches = L.bm25_match(docs, queries, among=eligible)
     nearest = N.knn(eligible, queries, 8, clamped=True)
     pruned = fuse_weighted(matches, nearest, eligible, queries, 8, True, mode=mode)
-    full = fuse_weighted_scan(matches, eligible, queries, 8, mode=mode)
+    matrix = keyword_matrix(L.query_side(docs, queries))
+    full = fuse_weighted_scan(matrix, eligible, queries, 8, mode=mode)
     assert rows_of(pruned, "query_id", "rank", "doc_id", "score") == rows_of(full, "query_id", "rank", "doc_id", "score")
     assert full.count() == 32
 

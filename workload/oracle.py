@@ -537,6 +537,7 @@ c AS (SELECT query_id, character, count(*) AS n FROM w JOIN names ON lower(chara
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, character) AS rank FROM c) WHERE rank <= 25""",
 }
 ORACLE["knn_cells"] = ORACLE["knn_top10"].replace("SELECT * FROM (SELECT query_id", "SELECT query_id, doc_id, rank, score FROM (SELECT query_id", 1)
+ORACLE["bm25_joined"] = ORACLE["bm25_top10"]
 ORACLE["entity_neighbors"] = f"""WITH {DOCS}, {NAMES}, f AS (
   SELECT character, {trim('text')} AS text, chapter_id, chunk_index, doc_id
   FROM names CROSS JOIN docs WHERE contains(text, character)),

@@ -21,6 +21,7 @@ from strata.operators import prepare as B
 from strata.operators import summaries as SU
 from strata.operators import vectors as V
 from strata.operators import words as WD
+from strata.operators.keyword_scan import bm25_top
 from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
 from strata.plans.answers import build_answers, context_units, hits_with_chapters
 from strata.plans.hybrid import SearchOptions, hybrid_search
@@ -357,8 +358,8 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _top_bm25(matches: DataFrame) -> DataFrame:
-    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+def _top_bm25(docs: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    best = bm25_top(docs, queries, 10, **options)
     return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
 
 
@@ -366,7 +367,16 @@ def _top_bm25(matches: DataFrame) -> DataFrame:
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2."""
     docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
-    return _top_bm25(L.bm25_match(docs, T.queries(spark, sf_dir)))
+    return _top_bm25(docs, T.queries(spark, sf_dir))
+
+
+@query
+def bm25_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 as rows joined on the term, the way of large query tables."""
+    docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
+    matches = L.bm25_match(docs, T.queries(spark, sf_dir), small=False)
+    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
 
 
 @query
@@ -374,14 +384,14 @@ def bm25_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3."""
     docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
     rules = term_files.parse_synonym_rules(T.synonym_lines(spark, sf_dir))
-    return _top_bm25(L.bm25_match(docs, T.queries(spark, sf_dir), synonyms=rules))
+    return _top_bm25(docs, T.queries(spark, sf_dir), synonyms=rules)
 
 
 @query
 def bm25_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 for the last user turn of every conversation."""
     docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
-    return _top_bm25(L.bm25_match(docs, T.chat_queries(spark, sf_dir)))
+    return _top_bm25(docs, T.chat_queries(spark, sf_dir))
 
 
 def _search(spark: SparkSession, sf_dir: str, queries=T.queries, **options) -> DataFrame:
@@ -458,8 +468,7 @@ def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keyword matches against the returned hits."""
     docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
     q = T.queries(spark, sf_dir)
-    matches = L.bm25_match(docs, q)
-    return H.hit_counts(q, matches, _top_bm25(matches))
+    return H.hit_counts(q, L.bm25_match(docs, q), _top_bm25(docs, q))
 
 
 @query
