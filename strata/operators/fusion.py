@@ -13,14 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strata import constants as K
 from strata.constants import SCORE_DECIMALS
 from strata.functions.score import normalize_keyword
+from strata.functions.text import tokens
 from strata.functions.vector import clamp01, dot, keep, unit
-from strata.operators.keyword_scan import KeywordMatrix, document_slots
+from strata.operators.keyword_scan import KeywordMatrix
 from strata.operators.neighbors import (
     Running,
     cosines,
     found_schema,
     query_matrix,
-    searchable,
     slices,
     stack,
     top_k,
@@ -96,9 +96,8 @@ def fuse_weighted_scan(
     """D8 as it is defined, for a query table that fits a broadcast: every document
     with a vector is scored for every query, in place.
 
-    A document's matching slots come to its vector as one short list (both are
-    partitioned by document, so nothing moves); a task turns a batch into two
-    matrices of scores and keeps a running top ``k`` per query.
+    A task turns a batch of vectors and token lists into two matrices of scores and
+    keeps a running top ``k`` per query; the documents are not shuffled.
     """
     normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
     schema = found_schema(queries, docs, "doc_id", "score")
@@ -112,16 +111,17 @@ def fuse_weighted_scan(
         "saturation": lambda kw: kw / (kw + kw_sat),
         "log1p": lambda kw: np.minimum(1.0, np.round(np.log1p(kw), SCORE_DECIMALS) / kw_log_cap),
     }[mode]
-    slots = document_slots(docs, matrix, field, analyzer)
-    rows = searchable(docs, "doc_id", "vector").join(slots, "doc_id", "left")
+    kind = docs.schema[field].dataType.typeName()
+    toks = F.col(field) if kind == "array" else tokens(F.col(field), analyzer)
+    rows = docs.filter(F.exists("vector", lambda x: x != 0)).select("doc_id", "vector", toks.alias("toks"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q, m = shared.value
         best = Running(query_ids, k)
         for batch in batches:
             for part in slices(batch, max(m.weights.shape)):
-                ids, vectors, dl, of = part.columns
-                kw = np.maximum(0.0, np.round(m.scores(of, dl), SCORE_DECIMALS))
+                ids, vectors, toks = part.columns
+                kw = np.maximum(0.0, np.round(m.scores(toks), SCORE_DECIMALS))
                 sim = cosines(unit_rows(stack(vectors)), q, True)
                 score = vector_weight * sim + keyword_weight * scale(kw)
                 best.add(score, ids.to_numpy(zero_copy_only=False))

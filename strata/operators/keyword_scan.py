@@ -1,19 +1,20 @@
 """Keyword scores in place, for query sides that were measured to fit a broadcast.
 
-A document brings the slot numbers of its matching tokens; a task turns a batch
-into a matrix of term weights and multiplies it with the (slot x query) matrix.
-So no row per (query, document) is ever made, and only the top k per task and
-query leaves a task.
+Spark cuts the texts into tokens; a task looks a batch of token lists up among the
+query terms, turns it into a matrix of term weights and multiplies that with the
+(slot x query) matrix. So the documents are not shuffled, no row per (query,
+document) is ever made, and only the top k per task and query leaves a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,7 +32,10 @@ SIDE_CELLS = 8_000_000
 class KeywordMatrix:
     query_ids: list
     weights: np.ndarray  # slots x queries
-    members: list[tuple[str, int]]  # term, slot number
+    terms: list[str]  # distinct terms of all slots
+    first: np.ndarray  # per term: where its slots start in ``slots``
+    count: np.ndarray  # per term: number of its slots
+    slots: np.ndarray
     avgdl: float
     k1: float
     b: float
@@ -41,45 +45,46 @@ class KeywordMatrix:
         weights = np.zeros((len(self.weights), len(query_ids)))
         place = pd.Index(query_ids).get_indexer(pd.Index(self.query_ids))
         weights[:, place[place >= 0]] = self.weights[:, place >= 0]
-        return KeywordMatrix(query_ids, weights, self.members, self.avgdl, self.k1, self.b)
-
-    def scores(self, slots: pa.Array, dl: pa.Array) -> np.ndarray:
-        """BM25 of every document (row) for every query (column); 0 where nothing matches."""
-        n, n_slots = len(slots), len(self.weights)
-        row = np.repeat(np.arange(n), slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        flat = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        key, tf = np.unique(row * n_slots + flat, return_counts=True)
-        at, slot = key // max(1, n_slots), key % max(1, n_slots)
-        length = dl.fill_null(0).to_numpy(zero_copy_only=False)[at]
+        return replace(self, query_ids=query_ids, weights=weights)
+
+    def scores(self, tokens: pa.Array) -> np.ndarray:
+        """BM25 of every token list (row) for every query (column); 0 where nothing matches."""
+        n, n_slots = len(tokens), len(self.weights)
+        dl = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        found = pa.compute.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string()))
+        term = found.fill_null(-1).to_numpy(zero_copy_only=False)
+        row, term = np.repeat(np.arange(n), dl)[term >= 0], term[term >= 0]
+        copies = self.count[term]
+        inside = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        slot = self.slots[np.repeat(self.first[term], copies) + inside]
+        key, tf = np.unique(np.repeat(row, copies) * n_slots + slot, return_counts=True)
+        at, slot = key // n_slots, key % n_slots
         used, column = np.unique(slot, return_inverse=True)
         part = np.zeros((n, len(used)))
-        part[at, column] = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.avgdl))
+        part[at, column] = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl[at] / self.avgdl))
         return part @ self.weights[used]
 
 
 def keyword_matrix(side: QuerySide, k1: float = K.BM25_K1, b: float = K.BM25_B) -> KeywordMatrix | None:
-    """The query side as a matrix, or None when it is too large for one."""
+    """The query side as a matrix; None when it is too large for one, or empty."""
     if not side.small:
         return None
     rows = side.weighed.collect()  # measured
     slots = {s: i for i, s in enumerate(sorted({r["slot"] for r in rows}))}
     ids = {q: j for j, q in enumerate(sorted({r["query_id"] for r in rows}))}
-    if len(slots) * len(ids) > SIDE_CELLS:
+    if not rows or len(slots) * len(ids) > SIDE_CELLS:
         return None
     weights = np.zeros((len(slots), len(ids)))
     for r in rows:
         weights[slots[r["slot"]], ids[r["query_id"]]] = r["weight"]
-    members = [(r["term"], slots[r["slot"]]) for r in side.members.collect() if r["slot"] in slots]
-    return KeywordMatrix(list(ids), weights, members, rows[0]["avgdl"] if rows else 1.0, k1, b)
-
-
-def document_slots(docs: DataFrame, matrix: KeywordMatrix, field: str = "text", analyzer: str = "standard") -> DataFrame:
-    """(doc_id, dl, slots) of documents with a matching token; no shuffle when
-    ``docs`` is partitioned by document."""
-    members = docs.sparkSession.createDataFrame(matrix.members, "term string, slot int")
-    toks = doc_tokens(docs, field, analyzer).select("doc_id", "dl", F.explode_outer("toks").alias("term"))
-    met = toks.join(F.broadcast(members), "term")
-    return met.groupBy("doc_id", "dl").agg(F.collect_list("slot").alias("slots"))
+    if side.plain:
+        pairs = [(s, i) for s, i in slots.items()]
+    else:
+        pairs = sorted((r["term"], slots[r["slot"]]) for r in side.members.collect() if r["slot"] in slots)
+    terms, first, count = np.unique([t for t, _ in pairs], return_index=True, return_counts=True)
+    return KeywordMatrix(
+        list(ids), weights, terms.tolist(), first, count, np.array([i for _, i in pairs]), rows[0]["avgdl"], k1, b
+    )
 
 
 def bm25_top(
@@ -105,8 +110,6 @@ def bm25_top(
         found = bm25_match(docs, queries, k1, b, field, analyzer, synonyms, among=among, side=side)
     else:
         schema = found_schema(queries, docs, "doc_id", "kw")
-        if not matrix.members:
-            return docs.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
         arrow = to_arrow_schema(schema)
         shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
@@ -115,12 +118,12 @@ def bm25_top(
             best = Running(m.query_ids, k)
             for batch in batches:
                 for part in slices(batch, max(m.weights.shape)):
-                    ids, dl, slots = part.columns
-                    kw = m.scores(slots, dl)
+                    ids, toks = part.columns
+                    kw = m.scores(toks)
                     kept = np.where(kw > 0, np.round(kw, SCORE_DECIMALS), -np.inf)
                     best.add(kept, ids.to_numpy(zero_copy_only=False))
             yield from best.batches(arrow)
 
-        rows = document_slots(docs if among is None else among, matrix, field, analyzer)
-        found = rows.mapInArrow(search, schema)
+        scored = doc_tokens(docs if among is None else among, field, analyzer)
+        found = scored.select("doc_id", "toks").mapInArrow(search, schema)
     return top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], k, "doc_id")

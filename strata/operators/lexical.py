@@ -1,8 +1,8 @@
 """Full-text operators (D1-D6): postings, BM25, query-side synonyms, kind filters.
 
-Documents are scored where they are: postings stay partitioned by document, the
+:func:`bm25_match` gives all matches. Postings stay partitioned by document, the
 query terms (measured, then broadcast) come to them, and the sum per (query,
-document) needs no further shuffle. A hot term is therefore spread like its
+document) needs no further shuffle (see ``keyword_scan`` for the top k alone). A hot term is therefore spread like its
 documents. A corpus read from a table bucketed by ``doc_id`` is not shuffled at
 all; otherwise :func:`by_document` shuffles it once.
 """
@@ -213,6 +213,7 @@ class QuerySide:
     stats: DataFrame  # slot, df, n_docs, avgdl
     weighed: DataFrame  # query_id, slot, weight, avgdl, df
     small: bool  # measured to fit a broadcast
+    plain: bool  # no synonyms: every slot is its own term
 
 
 def query_side(
@@ -239,7 +240,7 @@ def query_side(
     weighed = terms.join(stats, "slot").select(
         "query_id", "slot", (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "df"
     )
-    return QuerySide(members, stats, weighed, small)
+    return QuerySide(members, stats, weighed, small, synonyms is None)
 
 
 def bm25_match(

@@ -66,6 +66,7 @@ def hybrid_hits(
 ) -> DataFrame:
     """(query_id, doc_id, rank, score, query_text, text, chapter_id, chunk_index).
 
+    A small query table is scored where the documents are. For a large one,
     ``corpus`` rows are shuffled once by document unless ``partitioned`` says
     they already are (a table bucketed by ``doc_id``). Statistics cover the
     whole corpus; hits are chunks only, and need a vector in weighted mode.
@@ -75,37 +76,37 @@ def hybrid_hits(
     spark = corpus.sparkSession
     size = measure(queries)
     small = fits(spark, size)
-    docs = corpus if partitioned else by_document(corpus)
     asked = checked_queries(queries).withColumn("_rerank", rerank_flag(F.col("query_text"), o.name_rerank))
     most = o.k if o.name_rerank is False else max(o.k, o.rerank_pool)
     fetch = F.when(F.col("_rerank"), max(o.k, o.rerank_pool)).otherwise(o.k)
     flags = asked.select("query_id", "query_text", "_rerank", fetch.alias("_fetch"))
 
-    chunks = chunks_only(docs)
-    eligible = has_vector(chunks) if o.mode == "weighted" else chunks
+    chunks = chunks_only(corpus)
     # A token row takes at most 40 times the bytes of its text; measured only when that may not fit.
     few_terms = True if synonyms is None and fits(spark, size, copies=40) else None
     text = {"field": o.match_field, "analyzer": o.analyzer}
 
     def nearest_chunks() -> DataFrame:
         return knn(
-            has_vector(chunks_only(corpus)), queries, most, nprobe=o.nprobe, cells=cells, size=size,
+            has_vector(chunks), queries, most, nprobe=o.nprobe, cells=cells, size=size,
             clamped=o.mode == "weighted",
         )
 
     if o.mode == "weighted":
         blend = (o.vector_weight, o.keyword_weight, o.keyword_norm, o.kw_sat, o.kw_log_cap)
-        side = query_side(docs, queries, **text, synonyms=synonyms, small=few_terms)
+        side = query_side(corpus, queries, **text, synonyms=synonyms, small=few_terms)
         matrix = keyword_matrix(side) if small and o.nprobe is None else None
-        if matrix is not None and matrix.members:
-            fused = fuse_weighted_scan(matrix, eligible, queries, most, *blend, **text)
+        if matrix is not None:
+            fused = fuse_weighted_scan(matrix, has_vector(chunks), queries, most, *blend, **text)
         else:
+            docs = corpus if partitioned else by_document(corpus)
+            eligible = has_vector(chunks_only(docs))
             matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side)
             fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
     else:
         window = max(o.rrf_window, most)
         keyword = bm25_top(
-            docs, queries, window, **text, synonyms=synonyms, small=few_terms, among=eligible
+            corpus, queries, window, **text, synonyms=synonyms, small=few_terms, among=chunks
         )
         limits = hint_if(flags.select("query_id", "_fetch"), small)
         keyword = keyword.join(limits, "query_id").filter(

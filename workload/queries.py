@@ -366,7 +366,7 @@ def _top_bm25(docs: DataFrame, queries: DataFrame, **options) -> DataFrame:
 @query
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2."""
-    docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
+    docs = T.corpus(spark, sf_dir).select("doc_id", "text")
     return _top_bm25(docs, T.queries(spark, sf_dir))
 
 
@@ -382,7 +382,7 @@ def bm25_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3."""
-    docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
+    docs = T.corpus(spark, sf_dir).select("doc_id", "text")
     rules = term_files.parse_synonym_rules(T.synonym_lines(spark, sf_dir))
     return _top_bm25(docs, T.queries(spark, sf_dir), synonyms=rules)
 
@@ -390,7 +390,7 @@ def bm25_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bm25_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 for the last user turn of every conversation."""
-    docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
+    docs = T.corpus(spark, sf_dir).select("doc_id", "text")
     return _top_bm25(docs, T.chat_queries(spark, sf_dir))
 
 
