@@ -105,7 +105,7 @@ def fuse_weighted_scan(
     asked = query_matrix(queries)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast((*asked, matrix.for_queries(asked[0])))
+    shared = docs.sparkSession.sparkContext.broadcast((*asked, vars(matrix.for_queries(asked[0]))))
     scale = {
         "raw": lambda kw: kw,
         "saturation": lambda kw: kw / (kw + kw_sat),
@@ -116,7 +116,8 @@ def fuse_weighted_scan(
     rows = docs.filter(F.exists("vector", lambda x: x != 0)).select("doc_id", "vector", toks.alias("toks"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, q, m = shared.value
+        query_ids, q, fields = shared.value
+        m = KeywordMatrix(**fields)
         best = Running(query_ids, k)
         for batch in batches:
             for part in slices(batch, max(m.weights.shape)):

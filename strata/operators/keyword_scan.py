@@ -111,10 +111,11 @@ def bm25_top(
     else:
         schema = found_schema(queries, docs, "doc_id", "kw")
         arrow = to_arrow_schema(schema)
-        shared = docs.sparkSession.sparkContext.broadcast(matrix)
+        # Plain fields: executors need not have this package to read them.
+        shared = docs.sparkSession.sparkContext.broadcast(vars(matrix))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
+            m = KeywordMatrix(**shared.value)
             best = Running(m.query_ids, k)
             for batch in batches:
                 for part in slices(batch, max(m.weights.shape)):
