@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import block_naming, chosen_path, licences, mixing, templates, warc
+from strata.llm import block_naming, chosen_path, language, licences, mixing, templates, warc
 from strata.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learnt_and_identified(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.recognise(table(spark, sf_dir, "documents"))
