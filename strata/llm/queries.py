@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import block_naming, chosen_path, language, licences, mixing, templates, warc
+from strata.llm import block_naming, chosen_path, language, licences, mixing, page_text, templates, warc
 from strata.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(table(spark, sf_dir, "documents"))
