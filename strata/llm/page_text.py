@@ -310,9 +310,9 @@ def fit(rows: np.ndarray, labels: np.ndarray, strength: float = 1.0, rounds: int
 
 def train(pages: DataFrame, id_col: str, html_col: str, train_pages: int = TRAIN_PAGES, train_blocks: int = TRAIN_BLOCKS) -> np.ndarray:
     """Weights from the blocks that a bounded sample of pages declares."""
-    source = pages.select(column(pages, html_col).cast("string").alias("html"))
-    order = F.xxhash64(column(pages, id_col).cast("string"), F.octet_length(column(pages, html_col)))
-    sample = source.withColumn("h", order).orderBy("h").limit(train_pages).select("html")
+    source = pages.select(column(pages, html_col).cast("string").alias("html"), column(pages, id_col).cast("string").alias("id"))
+    order = F.xxhash64("id", F.octet_length("html"))
+    sample = source.withColumn("hash", order).orderBy("hash").limit(train_pages).select("html")
 
     def declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,4 +349,4 @@ def extract(
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
-    return pages.mapInArrow(read, schema)
+    return pages.select(*[column(pages, f.name) for f in kept], column(pages, html_col).cast("string").alias(html_col)).mapInArrow(read, schema)
