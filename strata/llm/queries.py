@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import block_naming, chosen_path, language, licences, mixing, page_text, templates, warc
+from strata.llm import block_naming, chosen_path, language, licences, mixing, page_text, surrogates, templates, warc
 from strata.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Key of the registered query; a user passes a secret one.
+SURROGATE_KEY = b"registered query"
+
+
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.with_surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    counts = F.transform(F.array_sort(F.map_entries("entities")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return found.select("doc_id", "text", F.array_join(counts, " ").alias("entities"))
+
+
 @query
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back as chunk rows, one row per record."""
