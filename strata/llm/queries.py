@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import block_naming, chosen_path, language, licences, mixing, page_text, surrogates, templates, warc
+from strata.llm import attention_lm, block_naming, chosen_path, language, licences, mixing, page_text, surrogates, templates, warc
 from strata.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op4_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_groups(table(spark, sf_dir, "documents"))
