@@ -1,30 +1,58 @@
 """A corpus pipeline of five operators: each stage works on all rows its predecessor kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and gives a DataFrame, which
-is written as Parquet and read again as the docs of the next one.
+is written as Parquet and read again as the docs of the next one. All but the last give the
+columns of their docs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import block_naming, mixing
+from strata.llm import block_naming, chosen_path, language, mixing, templates
 from strata.llm.tables import table, written
 
+NEAR_PERCENT = 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that resemble no language of the labelled ones, or have no letter."""
+    found = language.identify(docs, language.profiles(docs))
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0))
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal without white space."""
     return block_naming.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles, similarity 0.8 or more, hold together."""
+    return chosen_path.one_of_each(docs, NEAR_PERCENT)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item, re-parameterised ones included."""
+    return templates.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source weights ask for, numbered by ``copy``."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixed)]
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
 
-#: No counterpart: SQL does not express the learnt and the recursive stages.
+#: No counterpart: SQL does not express the learnt and the recursive stages; tests/llm compares
+#: the stages with brute force.
 ORACLE_SQL = None
 
 
