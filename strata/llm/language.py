@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.tables import bound_batches, column, crc_mod
+from strata.llm.tables import bound_batches, column, crc_mod, map_arrow
 
 DIMS = 1024
 SEED = 7
@@ -185,7 +185,7 @@ def identify(
                 [*batch.columns, pa.array(best, pa.string()), pa.array(scores)], [f.name for f in schema.fields]
             )
 
-    return kept.mapInArrow(predict, schema)
+    return map_arrow(kept, predict, schema)
 
 
 def learnt_and_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

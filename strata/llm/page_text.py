@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.tables import bound_batches, column
+from strata.llm.tables import bound_batches, column, map_arrow
 
 TRAIN_PAGES = 400
 TRAIN_BLOCKS = 200
@@ -72,7 +72,7 @@ FOR = frozenset("article content main post entry story body text prose page".spl
 FEATURES = (
     "bias length links marks paragraph heading item cell article nav header footer aside form against for".split()
 )
-PRIOR = np.array([-0.5, 1.5, -4.0, 1.0, 1.0, 0.5, -0.5, -0.5, 3.0, -6.0, -5.0, -6.0, -5.0, -5.0, -6.0, 1.0])
+PRIOR = np.array([-0.5, 1.5, -4.0, 1.0, 1.0, 0.5, -0.5, -0.5, 3.0, -12.0, -9.0, -12.0, -12.0, -12.0, -12.0, 1.0])
 DECLARED = slice(FEATURES.index("article"), len(FEATURES))
 _STATE = {"article": 1, "main": 1, "nav": 2, "menu": 2, "header": 4, "footer": 8, "aside": 16, "form": 32, "fieldset": 32, "dialog": 64}
 
@@ -349,4 +349,4 @@ def extract(
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
-    return pages.select(*[column(pages, f.name) for f in kept], column(pages, html_col).cast("string").alias(html_col)).mapInArrow(read, schema)
+    return map_arrow(pages.select(*[column(pages, f.name) for f in kept], column(pages, html_col).cast("string").alias(html_col)), read, schema)

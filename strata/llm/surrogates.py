@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.tables import bound_batches, column, remove, written
+from strata.llm.tables import bound_batches, column, map_arrow, remove, written
 from strata.sizing import fits, measure
 
 ROUNDS = 8
@@ -98,7 +98,7 @@ _NUMBERS = re.compile(
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}(?:\8\d{4}){1,2}\8?\d{1,4})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
-    r"|\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,4}){1,3}(?!\.\d)|\+[2-9]\d{8,13}"
+    r"|\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,8}){1,3}(?!\.\d)|\+[2-9]\d{8,13}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))"
 )
 _TITLED = re.compile(rf"\b(?P<title>{'|'.join(_ALL_TITLES)})\b\.?[ \t]+(?P<first>{_NAME})(?:[ \t]+(?P<last>{_NAME}))?")
@@ -488,7 +488,7 @@ def with_surrogates(
             for batch in batches:
                 yield renew(batch, [shared.value] * batch.num_rows)
 
-        return kept.mapInArrow(replace, schema)
+        return map_arrow(kept, replace, schema)
 
     hashed = "_text_hash"
 
@@ -513,4 +513,4 @@ def with_surrogates(
             tables = [{(e["kind"], e["value"]): e["attempt"] for e in found or []} for found in batch.column("_late").to_pylist()]
             yield renew(batch, tables)
 
-    return joined.mapInArrow(replace_joined, schema)
+    return map_arrow(joined, replace_joined, schema)

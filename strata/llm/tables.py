@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A join side that grows with the input: it is shuffled at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete tables made by `written` that nothing needs any more."""
     for table in tables:
@@ -36,6 +44,16 @@ def bound_batches(spark: SparkSession, size: int = 1 << 25) -> None:
         spark.conf.set(key, str(size))
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """`mapInArrow` for columns of any name, dots included."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
