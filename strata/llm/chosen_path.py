@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from strata.llm.arrow_groups import runs
 from strata.llm.components import roots
 from strata.llm.shingles import WordHashes, mixed, shingle_set, words_of
-from strata.llm.tables import bound_batches, column, remove, written
+from strata.llm.tables import bound_batches, column, growing, remove, written
 
 COORDS = 64
 SHINGLE = 5
@@ -118,13 +118,13 @@ def _nodes(classes: DataFrame, trees: range, threshold: float, limit: int, max_d
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
         sizes = written(sizes.filter("low < high").select("path", "n"), "nodes")
-        met = written(down.select("cls", "path").join(sizes, "path"), "node-members")
+        met = written(down.select("cls", "path").join(growing(sizes), "path"), "node-members")
         large = F.col("n") > limit
         ready = met if depth == max_depth else met.filter(~large)
         leaves = ready if leaves is None else leaves.unionByName(ready)
         if depth == max_depth or not met.filter(large).limit(1).count():
             break
-        members = met.filter(large).drop("n").join(tokens, "cls")
+        members = met.filter(large).drop("n").join(growing(tokens), "cls")
     return leaves
 
 
@@ -285,32 +285,32 @@ def near_groups(
     classes = written(classes, "near-classes")
     labels, links, start = None, None, 0
     for number in trees:
-        labelled = classes if labels is None else classes.join(labels, classes["cls"] == labels["node"], "left")
+        labelled = classes if labels is None else classes.join(growing(labels), classes["cls"] == labels["node"], "left")
         comp = F.col("cls") if labels is None else F.coalesce("root", "cls")
         labelled = written(labelled.withColumn("comp", comp).drop("node", "root"), "near-labelled")
         members = _nodes(labelled, range(start, start + number), percent / 100, limit, max_depth, coords)
         start += number
-        sketched = members.join(labelled.select("cls", "comp", "n_shingles", "sketch"), "cls")
+        sketched = members.join(growing(labelled.select("cls", "comp", "n_shingles", "sketch")), "cls")
         active = written(_active(_blocks(sketched, block), percent / 100, coords), "near-active")
         wanted = written(active.select("cls").distinct(), "near-wanted")
-        chosen = classes.join(wanted, "cls", "left_semi").select("cls", "set_key", "rep_id", "rep_hash")
+        chosen = classes.join(growing(wanted), "cls", "left_semi").select("cls", "set_key", "rep_id", "rep_hash")
         chosen = written(chosen, "near-chosen")
         same = (source["text_hash"] == chosen["rep_hash"]) & source["doc_id"].eqNullSafe(chosen["rep_id"])
-        texts = source.join(chosen, same).select("cls", "set_key", "text")
-        found = written(_confirmed(active.join(texts, "cls"), percent, width), "near-links")
+        texts = source.join(growing(chosen), same).select("cls", "set_key", "text")
+        found = written(_confirmed(active.join(growing(texts), "cls"), percent, width), "near-links")
         links = found if links is None else links.unionByName(found)
         labels = written(roots(links), "near-labels")
         remove(labelled, active, wanted, chosen)
 
-    named = classes.join(labels, classes["cls"] == labels["node"], "left").select(
+    named = classes.join(growing(labels), classes["cls"] == labels["node"], "left").select(
         "set_key", "rep_id", F.coalesce("root", "cls").alias("comp"), F.col("root").isNotNull().alias("linked")
     )
     named = written(named, "near-named")
     lowest = named.filter("linked").groupBy("comp").agg(F.min("rep_id").alias("lowest"))
     lowest = written(lowest, "near-lowest")
-    final = named.join(lowest, "comp", "left").select("set_key", F.coalesce("lowest", "rep_id").alias("component_id"))
+    final = named.join(growing(lowest), "comp", "left").select("set_key", F.coalesce("lowest", "rep_id").alias("component_id"))
     final = written(final, "near-final")
-    out = rows.drop("sketch").join(final, "set_key", "left").select(
+    out = rows.drop("sketch").join(growing(final), "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -320,4 +320,4 @@ def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """The documents that name their component, all columns kept."""
     groups = near_groups(docs, percent, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"))
     groups = written(groups.distinct(), "near-kept")
-    return docs.join(groups, column(docs, id_col).eqNullSafe(groups["_id"]), "left_semi")
+    return docs.join(growing(groups), column(docs, id_col).eqNullSafe(groups["_id"]), "left_semi")
