@@ -12,6 +12,8 @@ from strata.storage import settle
 
 # A chapter heavier than this comes in several rows ("volumes").
 VOLUME_CHARS = 16_000_000
+# A row that shows a chapter holds this much of its text at least.
+ROW_CHARS = 64_000_000
 _ROW_CHARS = 64  # weight of a row besides its text
 _INDEX_BLOCK = 1024
 
@@ -122,11 +124,11 @@ def _in_volumes(parts: DataFrame, heavy: DataFrame, volume_chars: int) -> DataFr
         F.sum(F.size("texts")).over(chapter).alias("chunk_count"),
         (F.row_number().over(in_order) - 1).alias("volume"),
         F.count(F.lit(1)).over(chapter).alias("volumes"),
+    ).withColumn(
+        "full_text", F.when(F.col("volume") == 0, F.ltrim(F.col("full_text"), ws)).otherwise(F.col("full_text"))
     ).withColumn(
         "full_text",
-        F.when(F.col("volume") == 0, F.ltrim(F.col("full_text"), ws))
-        .when(F.col("volume") == F.col("volumes") - 1, F.rtrim(F.col("full_text"), ws))
-        .otherwise(F.col("full_text")),
+        F.when(F.col("volume") == F.col("volumes") - 1, F.rtrim(F.col("full_text"), ws)).otherwise(F.col("full_text")),
     )
 
 
@@ -163,9 +165,34 @@ def assemble_chapters(
     )
 
 
-def opening_volumes(chapters: DataFrame) -> DataFrame:
-    """One row per chapter: its text, or its first volume when it has several."""
-    return chapters.filter("volume = 0")
+def whole_chapters(chapters: DataFrame, row_chars: int = ROW_CHARS) -> DataFrame:
+    """One row per chapter: its volumes joined, with ``total_chars`` of the whole text.
+
+    A row holds at least ``row_chars`` characters of a longer chapter (rows cannot grow
+    without bound); the rest stays in the volumes of ``chapters``. Places come from the
+    lengths alone, so only volumes that a row holds are moved.
+    """
+    sized = chapters.select("chapter_id", "volume", F.length("full_text").cast("long").alias("n")).filter("volume >= 0")
+    total = sized.groupBy("chapter_id").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("total_chars"))
+    earlier = Window.partitionBy("chapter_id").orderBy("volume").rowsBetween(Window.unboundedPreceding, -1)
+    held = sized.withColumn("before", F.coalesce(F.sum(F.col("n") + 1).over(earlier), F.lit(0)))
+    held = held.filter(F.col("before") < row_chars).select("chapter_id", "volume")
+    several = chapters.filter("volumes > 1")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("volume", "full_text"))), lambda v: v["full_text"])
+    joined = (
+        several.join(held, ["chapter_id", "volume"], "left_semi")
+        .groupBy("chapter_id")
+        .agg(
+            F.first("chapter_number").alias("chapter_number"),
+            F.first("title").alias("title"),
+            F.array_join(texts, "\n").alias("full_text"),
+            F.first("chunk_count").alias("chunk_count"),
+        )
+        .join(total, "chapter_id")
+    )
+    names = ["chapter_id", "chapter_number", "title", "full_text", "chunk_count", "total_chars"]
+    single = chapters.filter("volumes = 1").withColumn("total_chars", F.length("full_text").cast("long"))
+    return single.select(*names).unionByName(joined.select(*names))
 
 
 def lookup_summaries(corpus: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from strata.functions.score import chapter_score
 
 UNIT_COLUMNS = [
     "query_id", "kind", "text", "chapter_id", "title", "score", "hit_count", "rank",
-    "chunk_index", "doc_id", "slot",
+    "chunk_index", "doc_id", "slot", "total_chars",
 ]
 
 
@@ -43,6 +43,11 @@ def score_chapters(hits: DataFrame, chapter_k: int = K.CONTEXT_TOP_K, alpha: flo
     )
 
 
+def _with_total(df: DataFrame, text: str) -> DataFrame:
+    """``total_chars`` of rows that hold their whole text."""
+    return df if "total_chars" in df.columns else df.withColumn("total_chars", F.length(text).cast("long"))
+
+
 def select_context_units(
     chosen: DataFrame,
     summaries: DataFrame | None,
@@ -52,7 +57,9 @@ def select_context_units(
     """Per chosen chapter its summary, else the whole chapter when hit often
     enough, else its best chunk. A blank best chunk gives no unit.
 
-    ``summaries`` None switches summaries off; ``chapters`` has one row per chapter.
+    ``summaries`` None switches summaries off; ``chapters`` has one row per chapter
+    (``whole_chapters``). ``total_chars`` counts the whole text, also where a row holds
+    only the beginning of a very long chapter.
     """
     units = chosen
     if summaries is None:
@@ -62,7 +69,7 @@ def select_context_units(
     else:
         named = summaries.select("chapter_id", "summary", F.col("title").alias("summary_title"))
         units = units.join(named, "chapter_id", "left")
-    whole = chapters.select("chapter_id", "full_text", F.col("title").alias("chapter_title"))
+    whole = _with_total(chapters, "full_text").select("chapter_id", "full_text", F.col("title").alias("chapter_title"), "total_chars")
     units = units.join(whole, "chapter_id", "left")
     chunk = X.null_if_blank(F.col("best.text"))
     use_whole = (F.col("hit_count") >= multi_hit_threshold) & X.present(F.col("full_text"))
@@ -73,13 +80,16 @@ def select_context_units(
     )
     units = units.withColumn("kind", kind).filter("kind is not null")
     of = F.col("kind")
-    return units.select(
-        "query_id",
-        "kind",
+    text = (
         F.when(of == K.KIND_SUMMARY, X.strip(F.col("summary")))
         .when(of == K.KIND_CHAPTER, X.strip(F.col("full_text")))
         .otherwise(chunk)
-        .alias("text"),
+    )
+    beyond = F.when(of == K.KIND_CHAPTER, F.col("total_chars") - F.length("full_text")).otherwise(0)
+    return units.select(
+        "query_id",
+        "kind",
+        text.alias("text"),
         "chapter_id",
         F.when(of == K.KIND_SUMMARY, X.null_if_blank(F.col("summary_title")))
         .when(of == K.KIND_CHAPTER, X.null_if_blank(F.col("chapter_title")))
@@ -90,6 +100,7 @@ def select_context_units(
         F.when(of == K.KIND_CHUNK, F.col("best.chunk_index")).alias("chunk_index"),
         F.when(of == K.KIND_CHUNK, F.col("best.doc_id")).alias("doc_id"),
         "slot",
+        (F.length(text) + beyond).alias("total_chars"),
     )
 
 
@@ -115,6 +126,7 @@ def fill_orphans(hits: DataFrame, units: DataFrame, chapter_k: int = K.CONTEXT_T
             "chunk_index",
             "doc_id",
             (F.col("place") + chapter_k).alias("slot"),
+            F.length(text).cast("long").alias("total_chars"),
         )
     )
     return units.select(*UNIT_COLUMNS).unionByName(fill)
@@ -137,10 +149,10 @@ def _tag(name: str, value: Column, when: Column | None = None) -> Column:
     return told if when is None else F.when(when, told)
 
 
-def _budget(df: DataFrame, block: str) -> DataFrame:
+def _budget(df: DataFrame, size: Column) -> DataFrame:
     """``used``: characters of all blocks before this one."""
     before = Window.partitionBy("query_id").orderBy("ref").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("used", F.coalesce(F.sum(F.length(block)).over(before), F.lit(0)))
+    return df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0)))
 
 
 def pack_context(ordered: DataFrame, max_chars: int = K.CONTEXT_MAX_CHARS) -> DataFrame:
@@ -167,10 +179,13 @@ def pack_context(ordered: DataFrame, max_chars: int = K.CONTEXT_MAX_CHARS) -> Da
         .when(kind == K.KIND_CHAPTER, K.CUT_CHAPTER)
         .otherwise(K.CUT_CHUNK)
     )
-    df = ordered.withColumn("text", X.strip(F.col("text"))).withColumn("_header", header)
-    df = _budget(df.withColumn("_full", F.concat("_header", "text", F.lit("\n"))), "_full")
+    df = _with_total(ordered, "text").withColumn("_beyond", F.col("total_chars") - F.length("text"))
+    df = df.withColumn("text", X.strip(F.col("text"))).withColumn("_header", header)
+    df = df.withColumn("_full", F.concat("_header", "text", F.lit("\n")))
+    size = F.length("_full") + F.col("_beyond")
+    df = _budget(df, size)
     remain = max_chars - F.col("used")
-    fits = F.length("_full") <= remain
+    fits = size <= remain
     body = (remain - F.length("_header") - F.length(suffix)).cast("int")
     room = F.when(long_kind, K.ROOM_LONG).otherwise(K.ROOM_SHORT)
     cut = ~fits & (remain >= room) & (body >= K.MIN_BODY)
@@ -187,7 +202,7 @@ def pack_context(ordered: DataFrame, max_chars: int = K.CONTEXT_MAX_CHARS) -> Da
         F.col("kind").alias("source_kind"),
         F.col("title").alias("chapter_title"),
         "hit_count", "text", "text_for_llm", "text_truncated",
-        F.length("text").alias("text_total_chars"),
+        (F.length("text") + F.col("_beyond")).alias("text_total_chars"),
         clipped.alias("text_preview"),
         block.alias("block"),
     )
@@ -204,7 +219,7 @@ def pack_context_hits(hits: DataFrame, max_chars: int = K.CONTEXT_MAX_CHARS) ->
         _tag("chunk", F.col("chunk_index")),
     )
     full = F.concat(header, F.lit("\n"), F.col("text"), F.lit("\n"))
-    df = _budget(df.withColumn("_full", full), "_full")
+    df = _budget(df.withColumn("_full", full), F.length("_full"))
     remain = (max_chars - F.col("used")).cast("int")
     fits = F.length("_full") <= remain
     block = F.when(fits, F.col("_full")).otherwise(
@@ -239,9 +254,9 @@ def join_blocks(queries: DataFrame, sources: DataFrame) -> DataFrame:
 
 def enrich_sources(sources: DataFrame, chapters: DataFrame) -> DataFrame:
     """Attach the chapter; a ``chapter`` source shows the whole chapter text."""
-    packed = chapters.select(
+    packed = _with_total(chapters, "full_text").select(
         F.col("chapter_id").alias("_chapter"),
-        F.struct("chapter_id", "chapter_number", "title", "full_text", "chunk_count").alias("chapter"),
+        F.struct("chapter_id", "chapter_number", "title", "full_text", "chunk_count", "total_chars").alias("chapter"),
     )
     joined = sources.join(packed, X.strip(F.col("chapter_id")) == F.col("_chapter"), "left").drop("_chapter")
     full = X.null_if_blank(F.col("chapter.full_text"))
@@ -250,7 +265,7 @@ def enrich_sources(sources: DataFrame, chapters: DataFrame) -> DataFrame:
     return (
         joined.withColumn("chapter_title", F.coalesce(title, "chapter_title"))
         .withColumn("text", F.when(whole, full).otherwise(F.col("text")))
-        .withColumn("text_total_chars", F.length("text"))
+        .withColumn("text_total_chars", F.when(whole, F.col("chapter.total_chars")).otherwise(F.length("text")))
         .withColumn(
             "text_preview",
             F.when(whole, X.preview(F.col("text"), K.PREVIEW_LONG)).otherwise(F.col("text_preview")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from strata import constants as K
 from strata.operators import context as C
-from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
+from strata.operators.chapters import VOLUME_CHARS, assemble_chapters, lookup_summaries, whole_chapters
 from strata.operators.hits import enrich_hits, wanted_chapters
 from strata.storage import settle
 
@@ -26,6 +26,7 @@ def context_units(
     multi_hit_threshold: int = K.MULTI_HIT_THRESHOLD,
     alpha: float = K.CHAPTER_ALPHA,
     use_summaries: bool = True,
+    volume_chars: int = VOLUME_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
     """(units with ``ref``, chapters of the chosen ids): E1 to E4.
 
@@ -35,17 +36,19 @@ def context_units(
     hits = settle(hits)
     chosen = settle(C.score_chapters(hits, top_k, alpha))
     wanted = chosen.select("chapter_id").distinct()
-    chapters = settle(opening_volumes(assemble_chapters(corpus, wanted)))
+    chapters = settle(whole_chapters(assemble_chapters(corpus, wanted, volume_chars)))
     summaries = lookup_summaries(corpus, wanted) if use_summaries else None
     units = C.select_context_units(chosen, summaries, chapters, multi_hit_threshold)
     return C.order_units(C.fill_orphans(hits, units, top_k)), chapters
 
 
-def hits_with_chapters(corpus: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def hits_with_chapters(
+    corpus: DataFrame, hits: DataFrame, volume_chars: int = VOLUME_CHARS
+) -> tuple[DataFrame, DataFrame]:
     """(hits with their chapter as a struct, the distinct chapters)."""
     hits = settle(hits)
     wanted = settle(wanted_chapters(hits))
-    chapters = settle(opening_volumes(assemble_chapters(corpus, wanted)))
+    chapters = settle(whole_chapters(assemble_chapters(corpus, wanted, volume_chars)))
     return enrich_hits(hits, chapters), chapters
 
 

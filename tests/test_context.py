@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.operators import context as C
-from strata.operators.chapters import assemble_chapters, lookup_summaries
+from strata.operators.chapters import assemble_chapters, lookup_summaries, whole_chapters
 from strata.operators.summaries import summary_rows, summary_worklist
+from strata.plans.answers import build_answers, context_units, hits_with_chapters
 
 SUFFIX = {"chapter_summary": K.CUT_SUMMARY, "chapter": K.CUT_CHAPTER, "chunk": K.CUT_CHUNK}
 
@@ -101,6 +102,35 @@ def test_volumes_hold_the_whole_chapter(spark):
     assert [r.full_text for r in got if r.chapter_id == "chapter_0002"] == ["small"]
 
 
+def test_volumes_reach_hits_contexts_and_answers(spark):
+    """Chapters cut into many volumes give the same hits, units and answers as whole ones."""
+    rows = [(f"c{c}_{i:02d}", f"chapter {c} part {i} " + "text " * (i % 7), f"chapter_{c:04d}", i * 2000, None) for c in (1, 2) for i in range(30)]
+    schema = "doc_id string, text string, chapter_id string, chunk_index int, doc_kind string"
+    corpus = spark.createDataFrame(rows, schema).withColumn("chapter_title", F.lit(None).cast("string"))
+    found = [(1, f"c{c}_{i:02d}", r, 1.0 / r, f"chapter {c} part {i}", False, f"chapter_{c:04d}", i) for r, (c, i) in enumerate([(1, 3), (1, 4), (2, 5)], 1)]
+    hits = spark.createDataFrame(
+        found, "query_id int, doc_id string, rank int, score double, text string, text_truncated boolean, chapter_id string, chunk_index int"
+    )
+    queries = spark.createDataFrame([(1, "part")], "query_id int, query_text string")
+    results = []
+    for chars in (200, 16_000_000):
+        enriched, _ = hits_with_chapters(corpus, hits, volume_chars=chars)
+        units, _ = context_units(corpus, hits, volume_chars=chars)
+        answers = build_answers(corpus, queries, hits, 700, volume_chars=chars)
+        results.append([[r.asDict(True) for r in df.orderBy(*keys).collect()] for df, *keys in (
+            (enriched, "rank"), (units, "ref"), (answers.sources, "ref"), (answers.contexts, "query_id"),
+        )])
+    assert results[0] == results[1]
+    chapter = results[0][0][0]["chapter"]
+    assert chapter["full_text"].count("\n") == 29 and chapter["total_chars"] == len(chapter["full_text"])
+    assert results[0][2][0]["text_total_chars"] == len(chapter["full_text"])
+    volumes = assemble_chapters(corpus, volume_chars=200)
+    assert volumes.filter("volumes > 3").count() > 6
+    part = whole_chapters(volumes, row_chars=50).filter("chapter_id = 'chapter_0001'").first()
+    assert part.total_chars == chapter["total_chars"] and chapter["full_text"].startswith(part.full_text)
+    assert 50 <= len(part.full_text) < part.total_chars
+
+
 def test_summaries(spark):
     done = spark.createDataFrame(
         [("chapter_0001", "T", " s1 "), ("chapter_0002", None, " ")], "chapter_id string, title string, summary string"

@@ -488,7 +488,7 @@ SELECT chapter_id, {number('chapter_id')} AS chapter_number, {title("first(text
 FROM o GROUP BY chapter_id""",
     "summaries_lookup": f"WITH {CORPUS}, {LOOKUP} SELECT * FROM lookup",
     "hits_enriched": f"""WITH {LOOSE}, {CHAPTERS}
-SELECT query_id, rank, doc_id, chapter_number, title, chunk_count, length(full_text) AS chars
+SELECT query_id, rank, doc_id, chapter_number, title, chunk_count, length(full_text) AS chars, md5(full_text) AS text_md5
 FROM loose LEFT JOIN chapters USING (chapter_id)""",
     "chapter_scores": f"""WITH {LOOSE}, {chapter_scores('loose', 5)}
 SELECT query_id, chapter_id, score, hit_count, best_doc, slot FROM chosen""",
@@ -501,7 +501,7 @@ SELECT query_id, ref, doc_id, rank, score, p.chapter_id, chunk_index, kind AS so
   CASE WHEN coalesce(full_text, '') <> '' THEN coalesce(nullif({trim('c.title')}, ''), p.title) ELSE p.title END AS chapter_title,
   hit_count, text, text_for_llm, text_truncated, length(text) AS text_total_chars,
   CASE WHEN kind = 'chunk' THEN {preview('text', 240)} ELSE {preview('text', 4000)} END AS text_preview,
-  chunk_count AS chapter_chunks
+  chunk_count AS chapter_chunks, md5(full_text) AS chapter_md5
 FROM packed p LEFT JOIN chapters c ON c.chapter_id = p.chapter_id""",
     "contexts": f"{joined(4000, 5)} SELECT query_id, context, n_sources FROM ctx",
     "context_hits": f"""WITH RECURSIVE {HITS}, {hit_blocks(6000)}

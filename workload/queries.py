@@ -22,7 +22,7 @@ from strata.operators import summaries as SU
 from strata.operators import vectors as V
 from strata.operators import words as WD
 from strata.operators.keyword_scan import bm25_top
-from strata.operators.chapters import assemble_chapters, lookup_summaries, opening_volumes
+from strata.operators.chapters import assemble_chapters, lookup_summaries, whole_chapters
 from strata.plans.answers import build_answers, context_units, hits_with_chapters
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources import corpus_files, sinks, term_files
@@ -509,7 +509,8 @@ def hits_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("chapter.chapter_number").alias("chapter_number"),
         F.col("chapter.title").alias("title"),
         F.col("chapter.chunk_count").alias("chunk_count"),
-        F.length("chapter.full_text").alias("chars"),
+        F.col("chapter.total_chars").alias("chars"),
+        F.md5("chapter.full_text").alias("text_md5"),
     )
 
 
@@ -560,6 +561,7 @@ def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "ref", "doc_id", "rank", F.col("score"), "chapter_id", "chunk_index", "source_kind",
         "chapter_title", "hit_count", "text", "text_for_llm", "text_truncated", "text_total_chars", "text_preview",
         F.col("chapter.chunk_count").alias("chapter_chunks"),
+        F.md5("chapter.full_text").alias("chapter_md5"),
     )
 
 
@@ -596,7 +598,7 @@ def empty_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def summary_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E10 over assembled chapters."""
-    rows = opening_volumes(assemble_chapters(T.corpus(spark, sf_dir)))
+    rows = whole_chapters(assemble_chapters(T.corpus(spark, sf_dir)))
     # chapters with a summary are done
     work = SU.summary_worklist(
         rows.select(F.col("chapter_id").alias("doc_id"), F.col("full_text").alias("text")),
