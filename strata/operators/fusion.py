@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata import constants as K
-from strata.constants import SCORE_DECIMALS
 from strata.functions.score import normalize_keyword
-from strata.functions.text import tokens
 from strata.functions.vector import clamp01, dot, keep, unit
 from strata.operators.keyword_scan import KeywordMatrix
+from strata.operators.lexical import doc_tokens
 from strata.operators.neighbors import (
     Running,
     cosines,
     found_schema,
+    of_width,
     query_matrix,
+    rounded,
     slices,
     stack,
     top_k,
@@ -29,6 +30,13 @@ from strata.operators.neighbors import (
 from strata.sizing import hint_if
 
 
+def check_weights(vector_weight: float, keyword_weight: float) -> None:
+    if vector_weight < 0 or keyword_weight < 0:
+        raise ValueError("weights must not be negative")
+    if vector_weight + keyword_weight <= 0:
+        raise ValueError("one weight must be positive")
+
+
 def similarity_of(pairs: DataFrame, docs: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """Cosine, cut to [0, 1], for given (query_id, doc_id) pairs.
 
@@ -61,10 +69,7 @@ def fuse_weighted(
     that are not negative a document in neither set is behind k others, so the
     two sets together hold the exact answer.
     """
-    if vector_weight < 0 or keyword_weight < 0:
-        raise ValueError("weights must not be negative")
-    if vector_weight + keyword_weight <= 0:
-        raise ValueError("one weight must be positive")
+    check_weights(vector_weight, keyword_weight)
     order = [F.col("score").desc(), F.col("doc_id")]
     kw_norm = normalize_keyword(F.col("kw"), mode, kw_sat, kw_log_cap)
     score = vector_weight * F.col("sim") + keyword_weight * kw_norm
@@ -99,6 +104,7 @@ def fuse_weighted_scan(
     A task turns a batch of vectors and token lists into two matrices of scores and
     keeps a running top ``k`` per query; the documents are not shuffled.
     """
+    check_weights(vector_weight, keyword_weight)
     normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
     schema = found_schema(queries, docs, "doc_id", "score")
     arrow = to_arrow_schema(schema)
@@ -109,11 +115,12 @@ def fuse_weighted_scan(
     scale = {
         "raw": lambda kw: kw,
         "saturation": lambda kw: kw / (kw + kw_sat),
-        "log1p": lambda kw: np.minimum(1.0, np.round(np.log1p(kw), SCORE_DECIMALS) / kw_log_cap),
+        "log1p": lambda kw: np.minimum(1.0, rounded(np.log1p(kw)) / kw_log_cap),
     }[mode]
-    kind = docs.schema[field].dataType.typeName()
-    toks = F.col(field) if kind == "array" else tokens(F.col(field), analyzer)
-    rows = docs.filter(F.exists("vector", lambda x: x != 0)).select("doc_id", "vector", toks.alias("toks"))
+    found = doc_tokens(of_width(docs, "vector", asked[1].shape[1]), field, analyzer, matrix.lengths, "vector")
+    rows = found.filter(F.exists("vector", lambda x: x != 0)).select(
+        "doc_id", "vector", "toks", F.greatest("dl", F.lit(0)).alias("dl")
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q, fields = shared.value
@@ -121,8 +128,8 @@ def fuse_weighted_scan(
         best = Running(query_ids, k)
         for batch in batches:
             for part in slices(batch, max(m.weights.shape)):
-                ids, vectors, toks = part.columns
-                kw = np.maximum(0.0, np.round(m.scores(toks), SCORE_DECIMALS))
+                ids, vectors, toks, dl = part.columns
+                kw = np.maximum(0.0, rounded(m.scores(toks, dl.to_numpy())))
                 sim = cosines(unit_rows(stack(vectors)), q, True)
                 score = vector_weight * sim + keyword_weight * scale(kw)
                 best.add(score, ids.to_numpy(zero_copy_only=False))

@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata import constants as K
-from strata.constants import SCORE_DECIMALS
 from strata.operators.lexical import QuerySide, bm25_match, doc_tokens, query_side
-from strata.operators.neighbors import Running, found_schema, slices, top_k
+from strata.operators.neighbors import Running, found_schema, rounded, slices, top_k
 
 # Largest (slot x query) matrix a task holds; beyond it rows are joined instead.
 SIDE_CELLS = 8_000_000
@@ -39,6 +38,7 @@ class KeywordMatrix:
     avgdl: float
     k1: float
     b: float
+    lengths: tuple[int, ...] = ()  # runs of tokens among the terms
 
     def for_queries(self, query_ids: list) -> KeywordMatrix:
         """The same slots with one column per given query (0 for unknown ones)."""
@@ -47,13 +47,14 @@ class KeywordMatrix:
         weights[:, place[place >= 0]] = self.weights[:, place >= 0]
         return replace(self, query_ids=query_ids, weights=weights)
 
-    def scores(self, tokens: pa.Array) -> np.ndarray:
-        """BM25 of every token list (row) for every query (column); 0 where nothing matches."""
+    def scores(self, tokens: pa.Array, dl: np.ndarray) -> np.ndarray:
+        """BM25 of every list of terms (row) for every query (column), with the documents' lengths;
+        0 where nothing matches."""
         n, n_slots = len(tokens), len(self.weights)
-        dl = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         found = pa.compute.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string()))
         term = found.fill_null(-1).to_numpy(zero_copy_only=False)
-        row, term = np.repeat(np.arange(n), dl)[term >= 0], term[term >= 0]
+        row, term = np.repeat(np.arange(n), size)[term >= 0], term[term >= 0]
         copies = self.count[term]
         inside = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
         slot = self.slots[np.repeat(self.first[term], copies) + inside]
@@ -83,7 +84,8 @@ def keyword_matrix(side: QuerySide, k1: float = K.BM25_K1, b: float = K.BM25_B)
         pairs = sorted((r["term"], slots[r["slot"]]) for r in side.members.collect() if r["slot"] in slots)
     terms, first, count = np.unique([t for t, _ in pairs], return_index=True, return_counts=True)
     return KeywordMatrix(
-        list(ids), weights, terms.tolist(), first, count, np.array([i for _, i in pairs]), rows[0]["avgdl"], k1, b
+        list(ids), weights, terms.tolist(), first, count, np.array([i for _, i in pairs]), rows[0]["avgdl"], k1, b,
+        side.lengths,
     )
 
 
@@ -119,12 +121,12 @@ def bm25_top(
             best = Running(m.query_ids, k)
             for batch in batches:
                 for part in slices(batch, max(m.weights.shape)):
-                    ids, toks = part.columns
-                    kw = m.scores(toks)
-                    kept = np.where(kw > 0, np.round(kw, SCORE_DECIMALS), -np.inf)
+                    ids, toks, dl = part.columns
+                    kw = m.scores(toks, dl.to_numpy())
+                    kept = np.where(kw > 0, rounded(kw), -np.inf)
                     best.add(kept, ids.to_numpy(zero_copy_only=False))
             yield from best.batches(arrow)
 
-        scored = doc_tokens(docs if among is None else among, field, analyzer)
-        found = scored.select("doc_id", "toks").mapInArrow(search, schema)
+        scored = doc_tokens(docs if among is None else among, field, analyzer, side.lengths)
+        found = scored.select("doc_id", "toks", F.greatest("dl", F.lit(0)).alias("dl")).mapInArrow(search, schema)
     return top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], k, "doc_id")

@@ -21,6 +21,7 @@ from strata.functions.vector import keep
 from strata.sizing import fits, hint_if, measure, shuffle_width
 
 _ALL_DOCS = ""  # pseudo-term that every document has once; tokens are never empty
+GAP = "\x1f"  # between the tokens of a sequence that counts as one term; white space, so in no token
 
 
 def by_document(corpus: DataFrame) -> DataFrame:
@@ -63,15 +64,38 @@ class Index:
     term_stats: DataFrame  # term, df
 
 
-def doc_tokens(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> DataFrame:
-    """(doc_id, toks, dl); a field that already holds a token array is taken as it is."""
+def runs_of(toks: Column, length: int) -> Column:
+    """Every run of ``length`` tokens as one term."""
+    run = lambda i: F.array_join(F.slice(toks, i + 1, length), GAP)
+    none = F.array().cast("array<string>")
+    return F.when(F.size(toks) >= length, F.transform(F.sequence(F.lit(0), F.size(toks) - length), run)).otherwise(none)
+
+
+def with_runs(toks: Column, lengths: tuple[int, ...]) -> Column:
+    """Tokens, and behind them the runs of the given lengths."""
+    return F.concat(toks, *[runs_of(toks, n) for n in lengths]) if lengths else toks
+
+
+def doc_tokens(
+    corpus: DataFrame, field: str = "text", analyzer: str = "standard", lengths: tuple[int, ...] = (), *keep_columns: str
+) -> DataFrame:
+    """(doc_id, toks, dl); a field that already holds a token array is taken as it is.
+
+    ``lengths`` adds runs of tokens to ``toks``, for synonyms of several tokens; the
+    document's length ``dl`` counts single tokens.
+    """
     kind = corpus.schema[field].dataType.typeName()
     toks = F.col(field) if kind == "array" else tokens(F.col(field), analyzer)
-    return corpus.select("doc_id", toks.alias("toks")).withColumn("dl", F.size("toks"))
+    rows = corpus.select("doc_id", *keep_columns, toks.alias("toks")).withColumn("dl", F.size("toks"))
+    return rows.withColumn("toks", with_runs(F.col("toks"), lengths)) if lengths else rows
 
 
 def build_postings(
-    corpus: DataFrame, field: str = "text", analyzer: str = "standard", vocabulary: DataFrame | None = None
+    corpus: DataFrame,
+    field: str = "text",
+    analyzer: str = "standard",
+    vocabulary: DataFrame | None = None,
+    lengths: tuple[int, ...] = (),
 ) -> DataFrame:
     """(doc_id, term, tf, dl). On a corpus partitioned by document: no shuffle.
 
@@ -80,7 +104,7 @@ def build_postings(
     in the scan, which would tokenise every text twice.
     """
     toks = (
-        doc_tokens(corpus, field, analyzer)
+        doc_tokens(corpus, field, analyzer, lengths)
         .select("doc_id", "dl", F.explode_outer("toks").alias("term"))
         .filter("term is not null")
     )
@@ -110,40 +134,80 @@ def write_index(index: Index, path: str) -> None:
 # --- query side -------------------------------------------------------------
 
 
-def query_tokens(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
-    return queries.select("query_id", F.explode(tokens(F.col("query_text"), analyzer)).alias("term"))
+def query_tokens(queries: DataFrame, analyzer: str = "standard", rules: Rules | None = None) -> DataFrame:
+    """(query_id, term): the tokens of each query; a sequence of tokens that a synonym
+    rule names is one term (from the left, longest first, without overlap)."""
+    toks = queries.select("query_id", tokens(F.col("query_text"), analyzer).alias("toks"))
+    if rules is None or max(rules.lengths, default=1) == 1:
+        return toks.select("query_id", F.explode("toks").alias("term"))
+
+    def places(n: int) -> Column:
+        return F.transform(runs_of(F.col("toks"), n), lambda t, i: F.struct(i.alias("at"), F.lit(-n).alias("less"), t.alias("term")))
+
+    named = rules.members.select("term").distinct()
+    spans = toks.select("query_id", F.inline(F.concat(*[places(n) for n in rules.lengths])))
+    spans = spans.join(named, "term", "left_semi")
+    begun = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,less:int,term:string>>").alias("taken"))
+    take = lambda acc, s: F.when(
+        s["at"] >= acc["next"],
+        F.struct((s["at"] - s["less"]).alias("next"), F.array_append(acc["taken"], s).alias("taken")),
+    ).otherwise(acc)
+    found = spans.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "less", "term"))).alias("spans"))
+    found = found.select("query_id", F.aggregate("spans", begun, take)["taken"].alias("taken"))
+    taken = F.coalesce("taken", F.array().cast("array<struct<at:int,less:int,term:string>>"))
+    covered = lambda i: F.exists(taken, lambda s: (i >= s["at"]) & (i < s["at"] - s["less"]))
+    single = F.filter(F.transform("toks", lambda t, i: F.when(~covered(i), t)), lambda t: t.isNotNull())
+    joined = toks.join(found, "query_id", "left")
+    return joined.select("query_id", F.explode(F.concat(F.transform(taken, lambda s: s["term"]), single)).alias("term"))
+
+
+def query_terms(queries: DataFrame, analyzer: str = "standard", rules: Rules | None = None) -> DataFrame:
+    """(query_id, slot, qtf): one slot per distinct query term."""
+    toks = query_tokens(queries, analyzer, rules).withColumnRenamed("term", "slot")
+    return toks.groupBy("query_id", "slot").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def query_terms(queries: DataFrame, analyzer: str = "standard") -> DataFrame:
-    """(query_id, slot, qtf): one slot per distinct query token."""
-    toks = query_tokens(queries, analyzer).withColumnRenamed("term", "slot")
-    return toks.groupBy("query_id", "slot").agg(F.count(F.lit(1)).alias("qtf"))
+@dataclass(frozen=True)
+class Rules:
+    """Synonym rules in the form in which they are looked up."""
+
+    members: DataFrame  # term, member
+    lengths: tuple[int, ...]  # numbers of tokens of the terms and members
 
 
 def synonym_members(rules: DataFrame, analyzer: str = "standard") -> DataFrame:
     """(term, member): what a query term stands for, from (rule_id, side, pos, term).
 
-    Terms are analysed like the query; rules apply to terms of a single token.
+    Terms are analysed like the query; several tokens are one term, joined by ``GAP``.
     """
     toks = tokens(F.col("term"), analyzer)
-    single = rules.withColumn("_t", toks).filter(F.size("_t") == 1).select(
-        "rule_id", "side", F.get("_t", F.lit(0)).alias("term")
+    named = rules.withColumn("_t", toks).filter(F.size("_t") > 0).select(
+        "rule_id", "side", F.array_join("_t", GAP).alias("term")
     )
 
     def pairs(left: str, right: str) -> DataFrame:
-        a = single.filter(F.col("side") == left).select("rule_id", "term")
-        b = single.filter(F.col("side") == right).select("rule_id", F.col("term").alias("member"))
+        a = named.filter(F.col("side") == left).select("rule_id", "term")
+        b = named.filter(F.col("side") == right).select("rule_id", F.col("term").alias("member"))
         return a.join(b, "rule_id").select("term", "member")
 
     return pairs("both", "both").unionByName(pairs("from", "to")).distinct()
 
 
-def expand_synonyms(slots: DataFrame, rules: DataFrame, analyzer: str = "standard") -> DataFrame:
-    """D3: (slot, term): the members of each query token's rules, or the token itself.
+def synonym_lookup(rules: DataFrame, analyzer: str = "standard") -> Rules:
+    """The rules with the lengths of their terms (a few small numbers)."""
+    members = synonym_members(rules, analyzer)
+    both = members.select(F.explode(F.array("term", "member")).alias("t"))
+    lengths = both.select(F.size(F.split("t", GAP)).alias("n")).distinct().collect()
+    return Rules(members, tuple(sorted(r["n"] for r in lengths)))
+
 
-    All members of a slot are scored as one term. The stored text is never expanded.
+def expand_synonyms(slots: DataFrame, rules: Rules) -> DataFrame:
+    """D3: (slot, term): the members of each query term's rules, or the term itself.
+
+    All members of a slot are scored as one term; a member of several tokens counts
+    where they follow one another. The stored text is never expanded.
     """
-    members = synonym_members(rules, analyzer).withColumnRenamed("term", "slot")
+    members = rules.members.withColumnRenamed("term", "slot")
     found = slots.join(members, "slot", "left")
     return found.select("slot", F.coalesce("member", "slot").alias("term")).distinct()
 
@@ -152,7 +216,12 @@ def expand_synonyms(slots: DataFrame, rules: DataFrame, analyzer: str = "standar
 
 
 def slot_stats(
-    docs: DataFrame, members: DataFrame, small: bool, field: str = "text", analyzer: str = "standard"
+    docs: DataFrame,
+    members: DataFrame,
+    small: bool,
+    field: str = "text",
+    analyzer: str = "standard",
+    lengths: tuple[int, ...] = (),
 ) -> DataFrame:
     """(slot, df, n_docs, avgdl) over all of ``docs``; a slot's df is the largest of its members.
 
@@ -161,7 +230,7 @@ def slot_stats(
     """
     looked_up = members.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
     once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
-    seen = doc_tokens(docs, field, analyzer).select("dl", F.explode_outer(once).alias("term"))
+    seen = doc_tokens(docs, field, analyzer, lengths).select("dl", F.explode_outer(once).alias("term"))
     stats = (
         seen.join(hint_if(looked_up.select("term"), small), "term", "left_semi")
         .groupBy("term")
@@ -214,6 +283,7 @@ class QuerySide:
     weighed: DataFrame  # query_id, slot, weight, avgdl, df
     small: bool  # measured to fit a broadcast
     plain: bool  # no synonyms: every slot is its own term
+    lengths: tuple[int, ...] = ()  # runs of tokens that are terms as well
 
 
 def query_side(
@@ -225,22 +295,23 @@ def query_side(
     small: bool | None = None,
 ) -> QuerySide:
     """Slots, their members and their weights from statistics over all of ``docs``."""
-    terms = query_terms(queries, analyzer)
-    slots = query_tokens(queries, analyzer).select(F.col("term").alias("slot")).distinct()
-    if synonyms is None:
-        members = slots.withColumn("term", F.col("slot"))
+    rules = None if synonyms is None else synonym_lookup(synonyms, analyzer)
+    terms = query_terms(queries, analyzer, rules)
+    slots = terms.select("slot").distinct()
+    if rules is None:
+        members, lengths = slots.withColumn("term", F.col("slot")), ()
     else:
-        members = expand_synonyms(slots, synonyms, analyzer)
+        members, lengths = expand_synonyms(slots, rules), tuple(n for n in rules.lengths if n > 1)
     if small is None:
         # Raw tokens bound the terms and need no shuffle to measure.
         small = fits(docs.sparkSession, measure(query_tokens(queries, analyzer)), copies=4)
         if synonyms is not None:
             small = small and fits(docs.sparkSession, measure(members), copies=4)
-    stats = slot_stats(docs, members, small, field, analyzer)
+    stats = slot_stats(docs, members, small, field, analyzer, lengths)
     weighed = terms.join(stats, "slot").select(
         "query_id", "slot", (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "df"
     )
-    return QuerySide(members, stats, weighed, small, synonyms is None)
+    return QuerySide(members, stats, weighed, small, synonyms is None, lengths)
 
 
 def bm25_match(
@@ -264,8 +335,9 @@ def bm25_match(
     """
     side = side or query_side(docs, queries, field, analyzer, synonyms, small)
     scored = docs if among is None else among
-    postings = build_postings(scored, field, analyzer, side.members.select("term") if side.small else None)
-    if synonyms is None:
+    vocabulary = side.members.select("term") if side.small else None
+    postings = build_postings(scored, field, analyzer, vocabulary, side.lengths)
+    if side.plain:
         postings = postings.withColumnRenamed("term", "slot")
     else:
         sized = side.members if side.small else side.members.join(side.stats.select("slot", "df"), "slot")

@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata.constants import SCORE_DECIMALS
 from strata.functions.vector import as_double, unit
+from strata.operators.corpus import check_vector_dims
 from strata.sizing import Size, fits, measure, shuffle_width
 
 N_CELLS = 16
@@ -73,10 +74,21 @@ def stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Rounded like ``functions.vector.keep``: halves away from zero."""
+    scale = 10.0**SCORE_DECIMALS
+    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values)
+
+
+def of_width(docs: DataFrame, vector: str, width: int) -> DataFrame:
+    """A10 before a search: the job fails with a message at a vector of another width."""
+    return check_vector_dims(docs, width, vector)
+
+
 def cosines(docs: np.ndarray, queries: np.ndarray, clamped: bool) -> np.ndarray:
     if docs.shape[1] != queries.shape[1]:
         raise ValueError(f"query width {queries.shape[1]}, stored width {docs.shape[1]}")
-    cos = np.round(docs @ queries.T, SCORE_DECIMALS) + 0.0
+    cos = rounded(docs @ queries.T) + 0.0
     return np.clip(cos, 0.0, 1.0) if clamped else cos
 
 
@@ -87,13 +99,20 @@ def slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def _keys(ids: np.ndarray) -> np.ndarray:
+    """Ids as sort keys of their own type: numbers as numbers, text by code point."""
+    if ids.dtype != object:
+        return ids
+    return ids.astype(str) if len(ids) and isinstance(ids[0], str) else np.array(ids.tolist())
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by (score descending, id)."""
     if len(scores) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = scores >= floor
         scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids.astype(str), -scores))[:k]
+    order = np.lexsort((_keys(ids), -scores))[:k]
     return scores[order], ids[order]
 
 
@@ -103,20 +122,24 @@ class Running:
     def __init__(self, query_ids: list, k: int):
         self.query_ids, self.k = query_ids, k
         self.held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
+        self.floor = np.full(len(query_ids), -np.inf)  # the k-th best score held
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` has one row per id and one column per query."""
-        for j, old in enumerate(self.held):
-            column, names = scores[:, j], ids
+        if not len(ids):
+            return
+        least = self.floor
+        if len(ids) > self.k:  # the k-th best of the block bounds what it can add
+            least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        near = scores >= least
+        for j in np.flatnonzero(near.any(axis=0)).tolist():
+            column, names = scores[near[:, j], j], ids[near[:, j]]
+            old = self.held[j]
             if old is not None:
-                if len(old[0]) == self.k:
-                    near = column >= old[0][-1]
-                    if not near.any():
-                        continue
-                    column, names = column[near], ids[near]
-                column = np.concatenate([old[0], column])
-                names = np.concatenate([old[1], names])
-            self.held[j] = _best(column, names, self.k)
+                column, names = np.concatenate([old[0], column]), np.concatenate([old[1], names])
+            best = self.held[j] = _best(column, names, self.k)
+            if len(best[0]) == self.k:
+                self.floor[j] = best[0][-1]
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for query_id, best in zip(self.query_ids, self.held, strict=True):
@@ -166,6 +189,7 @@ def _scan_search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, clamp
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
     side = docs.sparkSession.sparkContext.broadcast(asked)
+    docs = of_width(docs, "vector", asked[1].shape[1])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q = side.value
@@ -306,7 +330,7 @@ def _cell_search(
         if len(left) and len(right):
             u = unit_rows(np.array(left["vector"].tolist(), dtype=np.float64))
             q = unit_rows(np.array(right["q"].tolist(), dtype=np.float64))
-            cos, ids = cosines(u, q, clamped), left[id_col].to_numpy(dtype=object)
+            cos, ids = cosines(u, q, clamped), left[id_col].to_numpy()
             for j, query_id in enumerate(right["query_id"]):
                 scores, names = _best(cos[:, j], ids, k)
                 out["query_id"] += [query_id] * len(scores)

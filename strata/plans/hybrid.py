@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.functions.text import strip
-from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
+from strata.operators.fusion import check_weights, fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.hits import attach_documents, format_hits
 from strata.operators.keyword_scan import bm25_top, keyword_matrix
 from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector, query_side
@@ -45,6 +45,8 @@ class SearchOptions:
             raise ValueError("mode must be weighted or rrf")
         if min(self.k, self.rerank_pool, self.rrf_window) < 1:
             raise ValueError("k, rerank_pool and rrf_window must be at least 1")
+        if self.mode == "weighted":
+            check_weights(self.vector_weight, self.keyword_weight)
 
 
 def checked_queries(queries: DataFrame) -> DataFrame:

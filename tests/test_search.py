@@ -96,19 +96,17 @@ def loop_bm25(docs, queries, expand=lambda t: [t]):
     toks = {d: [w.lower() for w in (t or "").split()] for d, t in docs}
     toks = {d: t for d, t in toks.items() if t}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
-    df = {}
-    for t in toks.values():
-        for w in set(t):
-            df[w] = df.get(w, 0) + 1
+    count = lambda t, m: sum(t[i : i + len(m.split())] == m.split() for i in range(len(t)))
     out = {}
     for q, text in queries:
         for w in text.lower().split():
-            members = [m for m in expand(w) if m in df]
+            df = {m: sum(count(t, m) > 0 for t in toks.values()) for m in expand(w)}
+            members = [m for m in df if df[m]]
             if not members:
                 continue
             top = max(df[m] for m in members)
             for d, t in toks.items():
-                tf = sum(t.count(m) for m in set(members))
+                tf = sum(count(t, m) for m in set(members))
                 if tf:
                     part = math.log(1 + (n - top + 0.5) / (top + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg))
                     out[q, d] = out.get((q, d), 0) + part
@@ -152,10 +150,49 @@ def test_synonyms_expand_the_query_only(spark, texts):
     docs, queries, raw, asked = texts
     lines = [(1, "cat, sun"), (2, "# no"), (3, "moon => of, x1"), (4, "zebra, the dog")]
     rules = parse_synonym_rules(spark.createDataFrame(lines, "rule_id int, line string"))
-    table = {"cat": ["cat", "sun"], "moon": ["of", "x1"], "zebra": ["zebra"]}
+    table = {"cat": ["cat", "sun"], "moon": ["of", "x1"], "zebra": ["zebra", "the dog"]}
     want = loop_bm25(raw, asked, lambda t: table.get(t, [t]))
     assert matched(L.bm25_match(docs, queries, synonyms=rules)) == pytest.approx(want, abs=1e-8)
     assert matched(L.bm25_match(docs, queries, synonyms=rules, small=False)) == pytest.approx(want, abs=1e-8)
+    top = bm25_top(docs, queries, 400, synonyms=rules)
+    assert {(r.query_id, r.doc_id): r.kw for r in top.collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_rules_of_several_tokens_find_each_other(spark):
+    """Names written with several ideographs are sequences of tokens."""
+    lines = [(1, "孔明, 诸葛亮, 卧龙"), (2, "a b c, x"), (3, "a b => y z")]
+    rules = parse_synonym_rules(spark.createDataFrame(lines, "rule_id int, line string"))
+    docs = spark.createDataFrame([("d1", "诸葛亮来"), ("d2", "孔 明"), ("d3", "明孔"), ("d4", "y z y z"), ("d5", "z y")], "doc_id string, text string")
+    queries = spark.createDataFrame([(1, "孔明"), (2, "a b"), (3, "a b c"), (4, "卧龙 明")], "query_id int, query_text string")
+    for small in (None, False):
+        found = {(r.query_id, r.doc_id) for r in L.bm25_match(docs, queries, synonyms=rules, small=small).collect()}
+        assert found == {(1, "d1"), (1, "d2"), (2, "d4"), (4, "d1"), (4, "d2"), (4, "d3")}
+    terms = {(r.query_id, r.term) for r in L.query_tokens(queries, rules=L.synonym_lookup(rules)).collect()}
+    assert terms == {(1, "孔\x1f明"), (2, "a\x1fb"), (3, "a\x1fb\x1fc"), (4, "卧\x1f龙"), (4, "明")}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ties_go_by_the_type_of_the_id(spark, kind):
+    docs = spark.range(1, 31).select(
+        F.col("id").cast(kind).alias("doc_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"), F.lit("same text").alias("text")
+    ).repartition(5)
+    queries = spark.createDataFrame([(1, "same", [2.0, 1.0])], "query_id int, query_text string, query_vector array<double>")
+    want = [1, 2, 3] if kind == "long" else ["1", "10", "11"]
+    plain = N.knn_exact(docs, queries, 3)
+    cells = N.knn_exact(docs, queries, 3, cells=N.seed_cells(docs, 4))
+    keyword = [bm25_top(docs, queries, 3, small=small) for small in (None, False)]
+    for found in (plain, cells, *keyword):
+        assert [r.doc_id for r in found.orderBy("rank").collect()] == want
+
+
+def test_weights_and_widths_are_checked_before_the_search(spark):
+    for weights in ((-1.0, 1.0), (0.0, 0.0)):
+        with pytest.raises(ValueError):
+            SearchOptions(vector_weight=weights[0], keyword_weight=weights[1])
+    docs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "doc_id string, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    with pytest.raises(Exception, match="expected 2 dims, found 1"):
+        N.knn_exact(docs, queries, 1).collect()
 
 
 def test_written_index_holds_the_statistics(spark, texts, tmp_path):
