@@ -53,6 +53,8 @@ NUMBER_WORDS = (
 
 _NUMBER = re.compile(r"[^\w]*\d[\d.,:/-]*(?:st|nd|rd|th|%)?$")
 _QUANTITY = re.compile(r"\d[\d.,]*(?:" + "|".join(sorted((re.escape(u) for u in UNITS), key=len, reverse=True)) + r")$")
+_COUNTING, _MEASURES = frozenset(NUMBER_WORDS), frozenset(UNITS)
+_MARKS_AROUND = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -68,19 +70,25 @@ class Tokens(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        token = raw.decode("utf-8", "replace")
-        core = _EDGES.sub("", token)
-        tail = token[token.rfind(core) + len(core) :] if core else token
-        flags = 2 if any(c in ".!?:" for c in tail) else 0
+        core = raw.strip(_MARKS_AROUND)
+        word = core.decode("utf-8", "replace")
+        if word.isalpha():
+            tail = raw[len(raw.rstrip(_MARKS_AROUND)) :]
+            flags = 2 if tail and (b"." in tail or b"!" in tail or b"?" in tail or b":" in tail) else 0
+        else:
+            token = raw.decode("utf-8", "replace")
+            word = _EDGES.sub("", token)
+            tail = token[token.rfind(word) + len(word) :] if word else token
+            flags = 2 if any(c in ".!?:" for c in tail) else 0
         value = 0
-        if core:
-            low = core.lower()
+        if word:
+            low = word.lower()
             value = xxhash.xxh3_64_intdigest(low) >> 4 << 4 or 16
-            if _NUMBER.match(low) or low in NUMBER_WORDS or _QUANTITY.match(low):
+            if low in _COUNTING or (not word.isalpha() and (_NUMBER.match(low) or _QUANTITY.match(low))):
                 flags |= 4
             else:
-                flags |= core[0].isupper() and core[1:].islower()
-                flags |= 8 * (low in UNITS)
+                flags |= word[0].isupper() and word[1:].islower()
+                flags |= 8 * (low in _MEASURES)
         self[raw] = value | flags
         return value | flags
 
