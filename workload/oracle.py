@@ -64,10 +64,10 @@ CORPUS = f"""{DOCS}, {SUMM}, corpus AS (
   LEFT JOIN embeddings e ON c.doc_id = e.vec_id::VARCHAR)"""
 QUERIES = """queries AS (
   SELECT item_id AS query_id, text AS query_text, embedding::DOUBLE[] AS query_vector
-  FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+  FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)"""
 SHORT = f"""queries AS (
   SELECT item_id AS query_id, {tok('text')}[-1] AS query_text, embedding::DOUBLE[] AS query_vector
-  FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+  FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)"""
 CHAT = """queries AS (
   SELECT conv_id AS query_id, arg_max(text, turn) AS query_text
   FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
@@ -108,7 +108,7 @@ def weighted(mode: str = "saturation", wv: float = 0.7, wk: float = 0.3, sat: fl
     SELECT q.query_id, q.query_text, c.doc_id, c.text, c.chapter_id, c.chunk_index,
       {wv} * least(1.0, greatest(0.0, {COS})) + {wk} * ({norm(mode, sat)}) AS score
     FROM queries q CROSS JOIN corpus c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = c.doc_id
-    WHERE vector IS NOT NULL AND {CHUNK}))"""
+    WHERE vector IS NOT NULL AND query_vector IS NOT NULL AND {CHUNK}))"""
 
 
 def rrf(k_near: int) -> str:
@@ -117,7 +117,7 @@ def rrf(k_near: int) -> str:
   FROM bm JOIN corpus USING (doc_id) WHERE {CHUNK}),
 vleg AS (
   SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, doc_id) AS r
-  FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND {CHUNK}),
+  FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND query_vector IS NOT NULL AND {CHUNK}),
 fused AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT query_id, doc_id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score
@@ -322,6 +322,11 @@ def dims(key: str, vector: str, source: str) -> str:
 
 RESPONSES = """g AS (SELECT vec_id // 8 AS response_id, vec_id % 8 AS pos, embedding::DOUBLE[] AS v FROM embeddings)"""
 
+# Per item a rule of two terms: tokens 1 and 2, or (every third) tokens 1 and 2 as one term against token 3.
+RULES = f"""toks AS (SELECT item_id, {tok('text')} AS t FROM benchmark),
+rl AS (SELECT item_id, CASE WHEN item_id % 3 = 0 AND len(t) > 2 THEN t[1] || chr(31) || t[2] ELSE t[1] END AS a,
+  CASE WHEN item_id % 3 = 0 AND len(t) > 2 THEN t[3] ELSE t[2] END AS b FROM toks)"""
+
 ORACLE: dict[str, str] = {
     "corpus_jsonl": f"""WITH {DOCS}, {SUMM}
 SELECT doc_id, {trim('text')} AS text, chapter_id, chunk_index, coalesce(doc_kind, 'chunk') AS doc_kind, chapter_title
@@ -331,14 +336,17 @@ FROM (SELECT * FROM docs UNION ALL SELECT * FROM summ) WHERE {trim('text')} <> '
 FROM (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 10 = 7 THEN 12 END AS ci, length({trim('text')}) AS chars,
   CASE doc_id % 10 WHEN 1 THEN 'no text' WHEN 3 THEN 'not json' WHEN 5 THEN 'bad chunk_index' WHEN 9 THEN 'not an object'
     ELSE 'ok' END AS reason FROM documents)""",
-    "corpus_lines": f"""SELECT {trim('line')} AS text, count(*) AS n_lines
-FROM (SELECT unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line FROM documents)
-WHERE {trim('line')} <> '' GROUP BY 1""",
+    "corpus_lines": f"""WITH cut AS (
+  SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r]') AS l FROM documents),
+ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM cut),
+num AS (SELECT doc_id % 16 AS part, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, i) AS no, line FROM ln)
+SELECT part::VARCHAR AS part, no::VARCHAR AS doc_id, {trim('line')} AS text FROM num WHERE {trim('line')} <> ''""",
     "term_list": "SELECT DISTINCT source AS character FROM documents WHERE doc_id % 4 <> 0",
-    "synonym_rules": f"""WITH t AS (SELECT item_id AS rule_id, {tok('text')} AS t FROM benchmark)
-SELECT rule_id, CASE WHEN rule_id % 5 <> 0 THEN 'both' WHEN p = 0 THEN 'from' ELSE 'to' END AS side,
-  CASE WHEN rule_id % 5 <> 0 THEN p ELSE 0 END AS pos, t[p + 1] AS term
-FROM t, (VALUES (0), (1)) v(p) WHERE t[p + 1] IS NOT NULL""",
+    "synonym_rules": f"""WITH {RULES},
+numbered AS (SELECT *, row_number() OVER (ORDER BY item_id) AS rule_id FROM rl)
+SELECT rule_id, CASE WHEN item_id % 5 <> 0 THEN 'both' WHEN p = 0 THEN 'from' ELSE 'to' END AS side,
+  CASE WHEN item_id % 5 <> 0 THEN p ELSE 0 END AS pos, replace(CASE p WHEN 0 THEN a ELSE b END, chr(31), ' ') AS term
+FROM numbered, (VALUES (0), (1)) v(p) WHERE CASE p WHEN 0 THEN a ELSE b END IS NOT NULL""",
     "corpus_upsert": UPSERT,
     "corpus_table": UPSERT,
     "ingest_stream": f"SELECT doc_id, {trim('text')} AS text FROM ({UPSERT})",
@@ -400,13 +408,13 @@ n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM u GROUP BY 1)
 SELECT vec_id, dim, round(CASE WHEN norm > 0 THEN x / norm ELSE 0 END, 6) + 0.0 AS x FROM u JOIN n USING (vec_id)""",
     "batch_merge": """WITH sizes AS (SELECT vec_id // 8 AS batch_id, count(*) AS n FROM embeddings GROUP BY 1),
 got AS (SELECT vec_id // 8 AS batch_id, vec_id % 8 + CASE WHEN vec_id % 13 = 0 THEN 8 ELSE 0 END AS idx, 0 AS pos,
-    embedding[1]::DOUBLE AS x0 FROM embeddings WHERE vec_id % 11 <> 0
-  UNION ALL SELECT vec_id // 8, vec_id % 8, 1, -embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 17 = 3),
-ok AS (SELECT batch_id, idx, arg_max(x0, pos) AS x0 FROM got JOIN sizes USING (batch_id) WHERE idx < n GROUP BY 1, 2),
+    embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 11 <> 0
+  UNION ALL SELECT vec_id // 8, vec_id % 8, 1, list_transform(embedding::DOUBLE[], lambda x: -x) FROM embeddings WHERE vec_id % 17 = 3),
+ok AS (SELECT batch_id, idx, arg_max(v, pos) AS v FROM got JOIN sizes USING (batch_id) WHERE idx < n GROUP BY 1, 2),
 want AS (SELECT batch_id, unnest(generate_series(0, n - 1)) AS idx FROM sizes)
-SELECT batch_id, idx, 'ok' AS status, round(x0, 6) AS x0 FROM ok
-UNION ALL SELECT batch_id, idx, 'missing index', NULL FROM want ANTI JOIN ok USING (batch_id, idx)
-UNION ALL SELECT DISTINCT batch_id, idx, 'index out of range', NULL::DOUBLE FROM got JOIN sizes USING (batch_id) WHERE idx >= n""",
+SELECT batch_id, idx, unnest(generate_series(0, len(v) - 1)) AS dim, round(unnest(v), 6) + 0.0 AS x, 'ok' AS status FROM ok
+UNION ALL SELECT batch_id, idx, NULL, NULL, 'missing index' FROM want ANTI JOIN ok USING (batch_id, idx)
+UNION ALL SELECT DISTINCT batch_id, idx, NULL, NULL, 'index out of range' FROM got JOIN sizes USING (batch_id) WHERE idx >= n""",
     "embedding_responses": f"""WITH {RESPONSES}
 SELECT response_id, pos, unnest(generate_series(0, len(v) - 1)) AS dim, round(unnest(v), 6) + 0.0 AS x
 FROM g WHERE response_id % 5 <> 4""",
@@ -426,25 +434,43 @@ SELECT * FROM (SELECT query_id, vec_id::VARCHAR AS doc_id,
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank,
   (1 + cos) / 2 AS score, least(1.0, greatest(0.0, cos)) AS sim
   FROM (SELECT query_id, vec_id::VARCHAR AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], query_vector), 9) AS cos
-    FROM queries CROSS JOIN embeddings)) WHERE rank <= 10""",
+    FROM queries CROSS JOIN embeddings WHERE query_vector IS NOT NULL)) WHERE rank <= 10""",
+    "knn_ties": f"""WITH {QUERIES}
+SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank,
+  (1 + cos) / 2 AS score FROM (SELECT query_id, e.vec_id AS doc_id,
+    round(list_cosine_similarity(f.embedding::DOUBLE[], query_vector), 9) AS cos
+    FROM queries CROSS JOIN embeddings e JOIN embeddings f ON f.vec_id = e.vec_id - e.vec_id % 4
+    WHERE query_vector IS NOT NULL)) WHERE rank <= 10""",
     "knn_filtered": f"""WITH {CORPUS}, {QUERIES}
 SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS rank,
   (1 + cos) / 2 AS score FROM (SELECT query_id, doc_id, {COS} AS cos
-    FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND {CHUNK})) WHERE rank <= 5""",
+    FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND query_vector IS NOT NULL AND {CHUNK})) WHERE rank <= 5""",
     "postings_stats": f"""WITH {CORPUS}, {TF}
 SELECT term, count(*) AS df, sum(tf) AS cf, max(tf) AS max_tf, sum(dl) AS dl_sum FROM tf JOIN dl USING (doc_id) GROUP BY term""",
     "bm25_top10": f"WITH {BASE} {BM_TOP}",
     "bm25_chat": f"WITH {CORPUS}, {CHAT}, {BM} {BM_TOP}",
-    "bm25_synonyms": f"""WITH {CORPUS}, {QUERIES}, {TF},
-rl AS (SELECT item_id, {tok('text')}[1] AS a, {tok('text')}[2] AS b FROM benchmark),
+    "bm25_synonyms": f"""WITH RECURSIVE {CORPUS}, {QUERIES}, {TF}, {RULES},
 mem AS (
   SELECT a AS term, a AS member FROM rl WHERE item_id % 5 <> 0 UNION SELECT a, b FROM rl WHERE item_id % 5 <> 0 AND b IS NOT NULL
   UNION SELECT b, a FROM rl WHERE item_id % 5 <> 0 AND b IS NOT NULL UNION SELECT b, b FROM rl WHERE item_id % 5 <> 0 AND b IS NOT NULL
   UNION SELECT a, b FROM rl WHERE item_id % 5 = 0 AND b IS NOT NULL),
-qt AS (SELECT query_id, slot, count(*) AS qtf FROM (SELECT query_id, unnest({tok('query_text')}) AS slot FROM queries) GROUP BY 1, 2),
+named AS (SELECT DISTINCT term FROM mem),
+asked AS (SELECT query_id, {tok('query_text')} AS t FROM queries),
+walk AS (
+  SELECT query_id, t, 1 AS i, NULL::VARCHAR AS slot FROM asked
+  UNION ALL
+  SELECT query_id, t, CASE WHEN pair THEN i + 2 ELSE i + 1 END, CASE WHEN pair THEN t[i] || chr(31) || t[i + 1] ELSE t[i] END
+  FROM (SELECT *, i < len(t) AND (t[i] || chr(31) || t[i + 1]) IN (SELECT term FROM named) AS pair FROM walk) WHERE i <= len(t)),
+qt AS (SELECT query_id, slot, count(*) AS qtf FROM walk WHERE slot IS NOT NULL GROUP BY 1, 2),
 ex AS (SELECT DISTINCT query_id, slot, qtf, coalesce(member, slot) AS term FROM qt LEFT JOIN mem ON mem.term = slot),
-sl AS (SELECT query_id, slot, max(df) AS df FROM ex JOIN dfs USING (term) GROUP BY 1, 2),
-per AS (SELECT query_id, doc_id, slot, any_value(qtf) AS qtf, sum(tf) AS tf FROM ex JOIN tf USING (term) GROUP BY 1, 2, 3),
+dt AS (SELECT doc_id, {tok('text')} AS t FROM corpus),
+two AS (SELECT doc_id, t[i] || chr(31) || t[i + 1] AS term, count(*) AS tf
+  FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM dt)
+  WHERE t[i] || chr(31) || t[i + 1] IN (SELECT term FROM ex) GROUP BY 1, 2),
+tfs AS (SELECT doc_id, term, tf FROM tf UNION ALL SELECT doc_id, term, tf FROM two),
+dfs2 AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+sl AS (SELECT query_id, slot, max(df) AS df FROM ex JOIN dfs2 USING (term) GROUP BY 1, 2),
+per AS (SELECT query_id, doc_id, slot, any_value(qtf) AS qtf, sum(tf) AS tf FROM ex JOIN tfs USING (term) GROUP BY 1, 2, 3),
 bm AS (SELECT query_id, doc_id, round(sum(qtf * {PART}), 9) AS kw
   FROM per JOIN sl USING (query_id, slot) JOIN dl USING (doc_id), st GROUP BY 1, 2)
 {BM_TOP}""",
@@ -461,7 +487,7 @@ SELECT query_id, doc_id, rank, score FROM fused WHERE rank <= 10""",
     "hybrid_rrf_rerank": f"""WITH {CORPUS}, {SHORT}, {BM}, {rrf(50).replace("fused AS (", "fused0 AS (", 1)},
 fused AS (SELECT f.*, query_text, text FROM fused0 f JOIN queries USING (query_id) JOIN corpus USING (doc_id))
 {reranked('true')}""",
-    "rerank_flags": f"""WITH a AS (SELECT item_id AS query_id, text AS query_text FROM benchmark JOIN embeddings ON item_id = vec_id),
+    "rerank_flags": f"""WITH a AS (SELECT item_id AS query_id, text AS query_text FROM benchmark),
 b AS (SELECT query_id, {tok('query_text')}[-1] AS query_text FROM a), {CHAT}
 SELECT *, {trim('query_text')} <> '' AND length({trim('query_text')}) <= 4
   AND {trim('query_text')} NOT LIKE '% %' AND NOT contains({trim('query_text')}, chr(9)) AS rerank
@@ -530,14 +556,30 @@ c AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY character ORDER BY
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT character, {trim(f"string_agg(left(text, (28000 - before)::INT), {NL} || {NL} ORDER BY before)")} AS profile_text
 FROM c WHERE before < 28000 GROUP BY character""",
-    "cooccurring_names": f"""WITH {HITS}, {NAMES}, w AS (
-  SELECT query_id, lower({trim('query_text')}) AS q, unnest({tok('text')}) AS token FROM hits WHERE rank <= 12),
+    "cooccurring_names": f"""WITH {CORPUS}, {QUERIES}, {NAMES}, near AS (
+  SELECT query_id, query_text, text, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, doc_id) AS rank
+  FROM queries CROSS JOIN corpus WHERE vector IS NOT NULL AND query_vector IS NOT NULL AND {CHUNK}),
+w AS (SELECT query_id, lower({trim('query_text')}) AS q, unnest({tok('text')}) AS token FROM near WHERE rank <= 12),
 c AS (SELECT query_id, character, count(*) AS n FROM w JOIN names ON lower(character) = token
   WHERE length(token) >= 2 AND token <> q AND token <> left(q, 2) GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, character) AS rank FROM c) WHERE rank <= 25""",
+    "word2vec": f"""SELECT word, {K.W2V_SIZE} AS dims FROM (SELECT unnest({tok('text')}) AS word FROM documents)
+WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= {K.W2V_MIN_COUNT}""",
+    "word_analogy": f"""WITH toks AS (SELECT item_id AS expr_id, {tok('text')} AS t FROM benchmark),
+words AS (SELECT word, embedding::DOUBLE[] AS v FROM (SELECT DISTINCT unnest(t) AS word FROM toks)
+  JOIN embeddings ON vec_id = {_HEX.format(1, 8).replace('md5(t)', 'md5(word)')} % (SELECT count(*) FROM embeddings)),
+terms AS (SELECT expr_id, t[p] AS word, CASE p WHEN 3 THEN -1 ELSE 1 END AS sign FROM toks, (VALUES (1), (2), (3)) x(p) WHERE t[p] IS NOT NULL),
+parts AS (SELECT expr_id, unnest(generate_series(1, len(v))) AS dim,
+    unnest(v) / sqrt(list_sum(list_transform(v, lambda y: y * y))) * sign AS x FROM terms JOIN words USING (word)),
+sums AS (SELECT expr_id, list(x ORDER BY dim) AS q FROM (SELECT expr_id, dim, sum(x) AS x FROM parts GROUP BY 1, 2)
+  GROUP BY 1 HAVING max(abs(x)) > 1e-9),
+c AS (SELECT expr_id, word, round(list_cosine_similarity(v, q), 9) AS score FROM sums CROSS JOIN words
+  WHERE NOT EXISTS (SELECT 1 FROM terms WHERE terms.expr_id = sums.expr_id AND terms.word = words.word))
+SELECT * FROM (SELECT expr_id, word, row_number() OVER (PARTITION BY expr_id ORDER BY score DESC, word) AS rank, score FROM c)
+WHERE rank <= {K.ANALOGY_TOP}""",
 }
 ORACLE["knn_cells"] = ORACLE["knn_top10"].replace("SELECT * FROM (SELECT query_id", "SELECT query_id, doc_id, rank, score FROM (SELECT query_id", 1)
-ORACLE["bm25_joined"] = ORACLE["bm25_top10"]
+ORACLE["bm25_joined"] = ORACLE["bm25_token_column"] = ORACLE["bm25_top10"]
 ORACLE["entity_neighbors"] = f"""WITH {DOCS}, {NAMES}, f AS (
   SELECT character, {trim('text')} AS text, chapter_id, chunk_index, doc_id
   FROM names CROSS JOIN docs WHERE contains(text, character)),

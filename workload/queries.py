@@ -90,11 +90,14 @@ def corpus_jsonl_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: document texts as plain files, one document per non-blank line."""
+    """A2: document texts as sixteen plain files, one document per non-blank line, its id the
+    line's number in the file."""
     path = fresh_dir(spark, "lines")
-    T.table(spark, sf_dir, "documents").select("text").write.text(path)
+    d = T.table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", "text")
+    ordered = d.repartition("part").sortWithinPartitions("part", "doc_id")
+    ordered.drop("doc_id").write.partitionBy("part").text(path)
     rows = corpus_files.read_corpus_lines(spark, path)
-    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n_lines"))
+    return rows.select(F.regexp_extract("file", "part=([0-9]+)", 1).alias("part"), "doc_id", "text")
 
 
 @query
@@ -108,8 +111,10 @@ def term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def synonym_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4."""
-    return term_files.parse_synonym_rules(T.synonym_lines(spark, sf_dir))
+    """A4: the rules as a file, numbered by line."""
+    path = fresh_dir(spark, "rules")
+    T.synonym_lines(spark, sf_dir).repartition(1).sortWithinPartitions("rule_id").select("line").write.text(path)
+    return term_files.read_synonym_rules(spark, path)
 
 
 def _ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,10 +267,11 @@ def batch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch, (n % 8).alias("idx"), F.lit(1).alias("pos"), F.transform("embedding", lambda x: -x).alias("vector")
     )
     rows, rejects = V.merge_embedding_batches(sizes, got.unionByName(again))
-    kept = rows.select("batch_id", "idx", F.lit("ok").alias("status"), r6(F.get("vector", F.lit(0))).alias("x0"))
-    return kept.unionByName(
-        rejects.select("batch_id", "idx", F.col("reason").alias("status"), F.lit(None).cast("double").alias("x0"))
+    kept = dims(rows, "batch_id", "idx").withColumn("status", F.lit("ok"))
+    lost = rejects.select(
+        "batch_id", "idx", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("x"), F.col("reason").alias("status")
     )
+    return kept.unionByName(lost)
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +328,16 @@ def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "rank", F.col("score"), F.col("sim"))
 
 
+@query
+def knn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 with numeric ids, four of which share each vector: ties go by the number."""
+    e = T.table(spark, sf_dir, "embeddings")
+    first = e.select((F.col("vec_id")).alias("first"), F.col("embedding").alias("vector"))
+    docs = e.select("vec_id").join(first, F.col("vec_id") - F.col("vec_id") % 4 == F.col("first"))
+    found = N.knn_exact(docs.select(F.col("vec_id").alias("doc_id"), "vector"), T.queries(spark, sf_dir), 10)
+    return found.select("query_id", "doc_id", "rank", "score")
+
+
 @query
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C7 with D4 and D6 before the search."""
@@ -387,6 +403,14 @@ def bm25_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_bm25(docs, T.queries(spark, sf_dir), synonyms=rules)
 
 
+@query
+def bm25_token_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 over a stored token column (B9), asked with text that is cut at blanks."""
+    docs = B.tokenize(T.corpus(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text_tokens")
+    asked = T.queries(spark, sf_dir).withColumn("query_text", F.array_join(X.tokens(F.col("query_text")), " "))
+    return _top_bm25(docs, asked, field="text_tokens", analyzer="whitespace")
+
+
 @query
 def bm25_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 for the last user turn of every conversation."""
@@ -633,8 +657,10 @@ def entity_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cooccurring_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3."""
-    hits = _hits(spark, sf_dir).join(T.queries(spark, sf_dir).select("query_id", "query_text"), "query_id")
+    """F3 in the full texts of the nearest chunks."""
+    corpus, q = T.corpus(spark, sf_dir), T.queries(spark, sf_dir)
+    near = N.knn_exact(L.has_vector(L.chunks_only(corpus)), q, K.NAME_HITS).select("query_id", "doc_id", "rank")
+    hits = H.attach_documents(near, corpus, ["text"], False).join(q.select("query_id", "query_text"), "query_id")
     return EN.cooccurring_names(hits, T.names(spark, sf_dir))
 
 
@@ -645,23 +671,20 @@ def _model(spark: SparkSession, sf_dir: str):
 
 @query
 def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """width and norm of every word vector."""
-    v = WD.word_vectors(_model(spark, sf_dir))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return v.select("word", F.size("vector").alias("dims"), norm.alias("norm"))
+    """the vocabulary and the width of its vectors, stored and loaded."""
+    path = fresh_dir(spark, "words")
+    WD.save_word_vectors(WD.word_vectors(_model(spark, sf_dir)), path)
+    return WD.load_word_vectors(spark, path).select("word", F.size("vector").alias("dims"))
 
 
 @query
 def word_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """for every benchmark item, first token + second token - third token."""
-    words = WD.word_vectors(_model(spark, sf_dir))
+    """for every benchmark item, first token + second token - third token, over given vectors."""
     b = T.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("expr_id"), F.posexplode(X.tokens(F.col("text"))).alias("pos", "word")
     )
-    terms = b.filter("pos < 3 and length(word) >= 2").select(
-        "expr_id", "word", F.when(F.col("pos") == 2, -1).otherwise(1).alias("sign")
-    )
-    found, _ = WD.word_analogy(words, terms)
+    terms = b.filter("pos < 3").select("expr_id", "word", F.when(F.col("pos") == 2, -1).otherwise(1).alias("sign"))
+    found, _ = WD.word_analogy(T.word_table(spark, sf_dir), terms)
     return found
 
 

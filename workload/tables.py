@@ -72,10 +72,10 @@ def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with the vector of the same number."""
+    """Benchmark items with the vector of the same number, if there is one."""
     b = table(spark, sf_dir, "benchmark")
     e = table(spark, sf_dir, "embeddings")
-    return b.join(e, b.item_id == e.vec_id).select(
+    return b.join(e, b.item_id == e.vec_id, "left").select(
         F.col("item_id").alias("query_id"),
         F.col("text").alias("query_text"),
         F.col("embedding").alias("query_vector"),
@@ -124,10 +124,21 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synonym_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per benchmark item: its first two tokens are equivalent; every fifth
-    rule is one-way."""
+    rule is one-way, and every third one sets the first two, as one term, against the third."""
     t = tokens(F.col("text"))
     b = table(spark, sf_dir, "benchmark")
     arrow = F.when(F.col("item_id") % 5 == 0, " => ").otherwise(", ")
+    pair = F.concat(F.get(t, F.lit(0)), arrow, F.get(t, F.lit(1)))
+    run = F.concat(F.get(t, F.lit(0)), F.lit(" "), F.get(t, F.lit(1)), arrow, F.get(t, F.lit(2)))
     return b.select(
-        F.col("item_id").alias("rule_id"), F.concat(F.get(t, F.lit(0)), arrow, F.get(t, F.lit(1))).alias("line")
+        F.col("item_id").alias("rule_id"), F.coalesce(F.when(F.col("item_id") % 3 == 0, run), pair).alias("line")
     )
+
+
+def word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, vector): every token of the benchmark with one of the given vectors, by its hash."""
+    e = table(spark, sf_dir, "embeddings")
+    t = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    hashed = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    numbered = t.select("word", (hashed % F.lit(max(1, e.count()))).alias("vec_id"))
+    return numbered.join(e, "vec_id").select("word", F.col("embedding").alias("vector"))
