@@ -37,7 +37,6 @@ MIN_CHARS = 300
 MAX_CHARS = 800
 
 # --- vectors (fixed values) ---
-VECTOR_DIMS = 384
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
 
@@ -50,7 +49,6 @@ CLI_DEFAULTS = {"vector_weight": 0.7, "keyword_weight": 0.3, "kw_sat": 15.0}
 SERVICE_DEFAULTS = {"vector_weight": 0.85, "keyword_weight": 0.15, "kw_sat": 25.0}
 KW_LOG_CAP = 10.0
 SEARCH_K = 10
-NUM_CANDIDATES = 100
 RRF_CONSTANT = 60
 RRF_WINDOW = 50
 RERANK_POOL = 50

@@ -348,7 +348,7 @@ SELECT rule_id, CASE WHEN item_id % 5 <> 0 THEN 'both' WHEN p = 0 THEN 'from' EL
   CASE WHEN item_id % 5 <> 0 THEN p ELSE 0 END AS pos, replace(CASE p WHEN 0 THEN a ELSE b END, chr(31), ' ') AS term
 FROM numbered, (VALUES (0), (1)) v(p) WHERE CASE p WHEN 0 THEN a ELSE b END IS NOT NULL""",
     "corpus_upsert": UPSERT,
-    "corpus_table": UPSERT,
+    "corpus_table": f"""SELECT doc_id, text, CASE WHEN doc_id::BIGINT % 5 = 0 THEN 'late' END AS chapter_id FROM ({UPSERT})""",
     "ingest_stream": f"SELECT doc_id, {trim('text')} AS text FROM ({UPSERT})",
     "merged_kinds": f"""WITH {DOCS}, {SUMM}
 SELECT doc_id, coalesce(doc_kind, 'chunk') AS doc_kind, chapter_id, chunk_index, chapter_title,
