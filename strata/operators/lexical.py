@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata import constants as K
@@ -62,6 +62,7 @@ class Index:
     postings: DataFrame  # doc_id, term, tf, dl
     doc_len: DataFrame  # doc_id, dl
     term_stats: DataFrame  # term, df
+    buckets: int = 0  # of the stored postings, 0 when they are not stored
 
 
 def runs_of(toks: Column, length: int) -> Column:
@@ -117,18 +118,41 @@ def build_postings(
     )
 
 
-def build_index(corpus: DataFrame, field: str = "text", analyzer: str = "standard") -> Index:
-    """D1 for a corpus partitioned by document."""
-    postings = build_postings(corpus, field, analyzer)
+def build_index(
+    corpus: DataFrame, field: str = "text", analyzer: str = "standard", lengths: tuple[int, ...] = ()
+) -> Index:
+    """D1 for a corpus partitioned by document; ``lengths`` indexes runs of tokens as well."""
+    postings = build_postings(corpus, field, analyzer, lengths=lengths)
     doc_len = doc_tokens(corpus, field, analyzer).select("doc_id", "dl")
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(postings, doc_len, stats)
 
 
-def write_index(index: Index, path: str) -> None:
-    """Store the three tables; statistics and scoring can then skip the text."""
-    for name in ("postings", "doc_len", "term_stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+INDEX_BUCKETS = 64
+
+
+def _term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def write_index(index: Index, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Store the three tables, postings in folders by a hash of the term: a search reads the
+    folders of its terms and no text. Several tasks write a folder, so a frequent term is not
+    one task's work."""
+    spread = max(1, shuffle_width(index.postings.sparkSession) // buckets)
+    placed = index.postings.withColumn("bucket", _term_bucket(buckets))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    placed.repartition(F.col("bucket"), part).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
+    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    about = index.postings.sparkSession.range(1).select(F.lit(buckets).alias("buckets"))
+    about.write.mode("overwrite").parquet(f"{path}/about")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """A stored index; the number of folders comes with it."""
+    tables = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_len", "term_stats"))
+    return Index(*tables, buckets=spark.read.parquet(f"{path}/about").first()["buckets"])
 
 
 # --- query side -------------------------------------------------------------
@@ -231,11 +255,11 @@ def slot_stats(
     looked_up = members.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
     once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
     seen = doc_tokens(docs, field, analyzer, lengths).select("dl", F.explode_outer(once).alias("term"))
-    stats = (
-        seen.join(hint_if(looked_up.select("term"), small), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl"))
-    )
+    sums = [F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl")]
+    if small:
+        stats = seen.join(F.broadcast(looked_up.select("term")), "term", "left_semi").groupBy("term").agg(*sums)
+    else:  # first the sums, so that a term of all documents meets the query terms as one row
+        stats = seen.filter("term is not null").groupBy("term").agg(*sums)
     word = F.col("term") != _ALL_DOCS
     by_slot = (
         stats.join(hint_if(looked_up, small), "term")
@@ -314,8 +338,38 @@ def query_side(
     return QuerySide(members, stats, weighed, small, synonyms is None, lengths)
 
 
+def indexed_side(index: Index, queries: DataFrame, analyzer: str = "standard", synonyms: DataFrame | None = None) -> QuerySide:
+    """The query side with the statistics of a stored index: no text is read."""
+    spark = queries.sparkSession
+    rules = None if synonyms is None else synonym_lookup(synonyms, analyzer)
+    terms = query_terms(queries, analyzer, rules)
+    slots = terms.select("slot").distinct()
+    members = slots.withColumn("term", F.col("slot")) if rules is None else expand_synonyms(slots, rules)
+    small = fits(spark, measure(members), copies=4)
+    docs, length = index.doc_len.filter("dl > 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    found = index.term_stats.join(hint_if(members, small), "term").groupBy("slot").agg(F.max("df").alias("df"))
+    stats = found.select("slot", "df", F.lit(docs).alias("n_docs"), F.lit(length or 1.0).alias("avgdl"))
+    weighed = terms.join(stats, "slot").select(
+        "query_id", "slot", (F.col("qtf") * S.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "df"
+    )
+    lengths = () if rules is None else tuple(n for n in rules.lengths if n > 1)
+    return QuerySide(members, stats, weighed, small, rules is None, lengths)
+
+
+def stored_postings(index: Index, side: QuerySide) -> DataFrame:
+    """Postings of the query side's terms; of a small query side only their folders are read."""
+    postings = index.postings
+    if not side.small:
+        return postings
+    wanted = side.members.select("term").distinct()
+    if index.buckets:
+        folders = wanted.select(_term_bucket(index.buckets).alias("b")).distinct().collect()
+        postings = postings.filter(F.col("bucket").isin([r["b"] for r in folders]))
+    return postings.join(F.broadcast(wanted), "term", "left_semi")
+
+
 def bm25_match(
-    docs: DataFrame,
+    docs: DataFrame | None,
     queries: DataFrame,
     k1: float = K.BM25_K1,
     b: float = K.BM25_B,
@@ -325,18 +379,24 @@ def bm25_match(
     small: bool | None = None,
     among: DataFrame | None = None,
     side: QuerySide | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, kw) for every document sharing a query term.
 
     ``docs`` is the corpus (partitioned by document, see :func:`by_document`);
     statistics are over all its rows, scores are given for the rows of ``among``
     (a filtered ``docs``) only. With synonyms the members of a slot are first
-    added up per document, whatever the number of queries that use the slot.
+    added up per document, whatever the number of queries that use the slot. With a stored
+    ``index`` (and its :func:`indexed_side`) no text is read, and ``among`` is left to the caller.
     """
-    side = side or query_side(docs, queries, field, analyzer, synonyms, small)
-    scored = docs if among is None else among
-    vocabulary = side.members.select("term") if side.small else None
-    postings = build_postings(scored, field, analyzer, vocabulary, side.lengths)
+    if index is not None:
+        side = side or indexed_side(index, queries, analyzer, synonyms)
+        postings = stored_postings(index, side).select("doc_id", "term", "tf", "dl")
+    else:
+        side = side or query_side(docs, queries, field, analyzer, synonyms, small)
+        scored = docs if among is None else among
+        vocabulary = side.members.select("term") if side.small else None
+        postings = build_postings(scored, field, analyzer, vocabulary, side.lengths)
     if side.plain:
         postings = postings.withColumnRenamed("term", "slot")
     else:

@@ -32,8 +32,9 @@ from strata.constants import SCORE_DECIMALS
 from strata.functions.vector import as_double, unit
 from strata.operators.corpus import check_vector_dims
 from strata.sizing import Size, fits, measure, shuffle_width
+from strata.storage import settle
 
-N_CELLS = 16
+MOST_CELLS = 16_384  # centroids a task holds
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
 MATRIX_CELLS = 4_000_000  # scores held at once in a task
@@ -213,15 +214,22 @@ class Cells:
     centroids: np.ndarray
 
 
-def seed_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id") -> Cells:
-    """Centroids picked by hash order of the ids: one pass, no training."""
-    picked = searchable(docs, id_col, "vector").orderBy(F.xxhash64(id_col), id_col).limit(n_cells)
-    rows = [r["vector"] for r in picked.collect()]
-    return Cells(unit_rows(np.array(rows, dtype=np.float64)))
+def cell_number(docs: DataFrame) -> int:
+    """Cells that grow with the corpus: the square root of its vectors, as long as tasks can hold them."""
+    return max(1, min(MOST_CELLS, round(docs.count() ** 0.5)))
 
 
-def kmeans_cells(docs: DataFrame, n_cells: int = N_CELLS, id_col: str = "doc_id", seed: int = 42) -> Cells:
+def seed_cells(docs: DataFrame, n_cells: int | None = None, id_col: str = "doc_id") -> Cells:
+    """Centroids picked by hash order of the ids: no training."""
+    rows = searchable(docs, id_col, "vector")
+    order = F.md5(F.col(id_col).cast("string"))
+    picked = rows.orderBy(order, id_col).limit(n_cells or cell_number(rows)).collect()
+    return Cells(unit_rows(np.array([r["vector"] for r in picked], dtype=np.float64).reshape(len(picked), -1)))
+
+
+def kmeans_cells(docs: DataFrame, n_cells: int | None = None, id_col: str = "doc_id", seed: int = 42) -> Cells:
     """Centroids trained by MLlib on unit vectors."""
+    n_cells = n_cells or cell_number(searchable(docs, id_col, "vector"))
     points = searchable(docs, id_col, "vector").select(
         array_to_vector(unit(as_double(F.col("vector")))).alias("features")
     )
@@ -299,30 +307,28 @@ def _cell_search(
     radius = _angle(np.array([stats[c]["min_cos"] if c in stats else 1.0 for c in range(count)]))
     shards = np.maximum(1, -(-n // SHARD_ROWS))
     blocks = max(1, -(-size.rows // BLOCK_QUERIES))
-    side = spark.sparkContext.broadcast((cells.centroids, n, radius, shards))
+    side = spark.sparkContext.broadcast((cells.centroids, n, radius))
     qid_type = queries.schema["query_id"].dataType.simpleString()
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, n_, radius_, shards_ = side.value
+        centroids, n_, radius_ = side.value
         for pdf in batches:
             if len(pdf):
                 q = unit_rows(np.array(pdf["vector"].tolist(), dtype=np.float64))
                 where = cells_to_visit(q, centroids, n_, radius_, k, nprobe)
-                rows = [
-                    (pdf["query_id"].iloc[i], pdf["vector"].iloc[i], int(c), s)
-                    for i, found in enumerate(where)
-                    for c in found
-                    for s in range(shards_[c])
-                ]
-                yield pd.DataFrame(rows, columns=["query_id", "q", "cell", "shard"])
+                yield pd.DataFrame({"query_id": pdf["query_id"], "q": pdf["vector"], "cells": [c.tolist() for c in where]})
 
     asked = searchable(queries, "query_id", "query_vector")
     kind = asked.schema["vector"].dataType.simpleString()
-    routed = asked.mapInPandas(route, f"query_id {qid_type}, q {kind}, cell int, shard int").withColumn(
+    pieces = F.get(F.lit([int(s) for s in shards]), F.col("cell"))
+    routed = asked.mapInPandas(route, f"query_id {qid_type}, q {kind}, cells array<int>")
+    routed = routed.select("query_id", "q", F.explode("cells").alias("cell"))
+    routed = routed.withColumn("shard", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     )
-    of_cell = F.get(F.lit([int(s) for s in shards]), F.col("cell"))
-    docs = placed.drop("cos").withColumn("shard", F.pmod(F.xxhash64(id_col), of_cell).cast("int"))
+    visited = routed.select("cell").distinct()  # at most one row per cell
+    docs = placed.drop("cos").join(F.broadcast(visited), "cell", "left_semi")
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64(id_col), pieces).cast("int"))
     docs = docs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -368,7 +374,7 @@ def knn(
         found = _scan_search(docs, queries, k, id_col, clamped)
     else:
         cells = cells or seed_cells(docs, id_col=id_col)
-        placed = assign_cells(docs, cells, id_col)
+        placed = settle(assign_cells(docs, cells, id_col))
         found = _cell_search(placed, queries, cells, size, k, nprobe, id_col, clamped)
     best = top_k(found, "query_id", [F.col("cos").desc(), F.col(id_col)], k, id_col)
     return best.withColumn(

@@ -12,8 +12,8 @@ from strata.functions.text import strip
 from strata.operators.fusion import check_weights, fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.hits import attach_documents, format_hits
 from strata.operators.keyword_scan import bm25_top, keyword_matrix
-from strata.operators.lexical import bm25_match, by_document, chunks_only, has_vector, query_side
-from strata.operators.neighbors import Cells, knn
+from strata.operators.lexical import Index, bm25_match, by_document, chunks_only, has_vector, indexed_side, query_side
+from strata.operators.neighbors import Cells, knn, top_k
 from strata.operators.rerank import rerank_by_density, rerank_flag
 from strata.sizing import Size, fits, hint_if, measure
 
@@ -65,13 +65,15 @@ def hybrid_hits(
     synonyms: DataFrame | None = None,
     cells: Cells | None = None,
     partitioned: bool = False,
+    index: Index | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, rank, score, query_text, text, chapter_id, chunk_index).
 
     A small query table is scored where the documents are. For a large one,
     ``corpus`` rows are shuffled once by document unless ``partitioned`` says
     they already are (a table bucketed by ``doc_id``). Statistics cover the
-    whole corpus; hits are chunks only, and need a vector in weighted mode.
+    whole corpus (with ``index``, what a stored index holds; its texts are then not read for the
+    keyword leg); hits are chunks only, and need a vector in weighted mode.
     Per query, a reranked search fetches max(k, pool) hits, others ``k``.
     """
     o = options
@@ -96,20 +98,28 @@ def hybrid_hits(
 
     if o.mode == "weighted":
         blend = (o.vector_weight, o.keyword_weight, o.keyword_norm, o.kw_sat, o.kw_log_cap)
-        side = query_side(corpus, queries, **text, synonyms=synonyms, small=few_terms)
-        matrix = keyword_matrix(side) if small and o.nprobe is None else None
+        if index is not None:
+            side, matrix = indexed_side(index, queries, o.analyzer, synonyms), None
+        else:
+            side = query_side(corpus, queries, **text, synonyms=synonyms, small=few_terms)
+            matrix = keyword_matrix(side) if small and o.nprobe is None else None
         if matrix is not None:
             fused = fuse_weighted_scan(matrix, has_vector(chunks), queries, most, *blend, **text)
         else:
-            docs = corpus if partitioned else by_document(corpus)
+            docs = corpus if partitioned or index is not None else by_document(corpus)
             eligible = has_vector(chunks_only(docs))
-            matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side)
+            matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side, index=index)
             fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
     else:
         window = max(o.rrf_window, most)
-        keyword = bm25_top(
-            corpus, queries, window, **text, synonyms=synonyms, small=few_terms, among=chunks
-        )
+        if index is not None:
+            found = bm25_match(None, queries, analyzer=o.analyzer, synonyms=synonyms, index=index)
+            found = found.join(chunks.select("doc_id"), "doc_id", "left_semi")
+            keyword = top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
+        else:
+            keyword = bm25_top(
+                corpus, queries, window, **text, synonyms=synonyms, small=few_terms, among=chunks
+            )
         limits = hint_if(flags.select("query_id", "_fetch"), small)
         keyword = keyword.join(limits, "query_id").filter(
             F.col("rank") <= F.greatest(F.lit(o.rrf_window), F.col("_fetch"))

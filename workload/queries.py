@@ -359,9 +359,17 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the four nearest cells."""
+    v = T.vectors(spark, sf_dir)
+    near = N.knn_approx(v, T.queries(spark, sf_dir), 10, nprobe=4, cells=N.seed_cells(v))
+    return near.select("query_id", "doc_id", "rank", "score")
+
+
+@query
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8 with trained cells: recall against C7 per query."""
     v, q = T.vectors(spark, sf_dir), T.queries(spark, sf_dir)
-    near = N.knn_approx(v, q, 10, nprobe=4, cells=N.kmeans_cells(v, 16))
+    near = N.knn_approx(v, q, 10, nprobe=8, cells=N.kmeans_cells(v))
     return N.recall(near, N.knn_exact(v, q, 10))
 
 
@@ -421,6 +429,36 @@ def bm25_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_bm25(docs, T.chat_queries(spark, sf_dir))
 
 
+def _stored_index(spark: SparkSession, sf_dir: str) -> L.Index:
+    path = fresh_dir(spark, "index")
+    L.write_index(L.build_index(L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))), path)
+    return L.read_index(spark, path)
+
+
+@query
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 at rest, then D2 from the stored postings."""
+    matches = L.bm25_match(None, T.queries(spark, sf_dir), index=_stored_index(spark, sf_dir))
+    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
+
+
+@query
+def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10 with the stored index, weighted."""
+    options = SearchOptions(name_rerank=False)
+    index = _stored_index(spark, sf_dir)
+    return _ranks(hybrid_search(T.corpus(spark, sf_dir), T.queries(spark, sf_dir), options, index=index))
+
+
+@query
+def hybrid_rrf_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9, D10 with the stored index."""
+    options = SearchOptions(mode="rrf", name_rerank=False)
+    index = _stored_index(spark, sf_dir)
+    return _ranks(hybrid_search(T.corpus(spark, sf_dir), T.queries(spark, sf_dir), options, index=index))
+
+
 def _search(spark: SparkSession, sf_dir: str, queries=T.queries, **options) -> DataFrame:
     return hybrid_search(T.corpus(spark, sf_dir), queries(spark, sf_dir), SearchOptions(**options))
 
