@@ -148,10 +148,11 @@ def assemble_chapters(
     weights = parts.groupBy("chapter_id").agg(
         F.sum(F.length("text") + _ROW_CHARS).alias("weight"), F.count("chunk_index").alias("n_indexed")
     )
-    heavy = settle(weights.filter(F.col("weight") > volume_chars))
-    if heavy.isEmpty():
+    most = weights.agg(F.max("weight")).first()[0]
+    if most is None or most <= volume_chars:
         rows = _one_row(parts)
     else:
+        heavy = settle(weights.filter(F.col("weight") > volume_chars))
         light = parts.join(heavy, "chapter_id", "left_anti")
         rows = _one_row(light).unionByName(_in_volumes(parts, heavy, volume_chars))
     return rows.select(

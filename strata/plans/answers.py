@@ -30,11 +30,11 @@ def context_units(
 ) -> tuple[DataFrame, DataFrame]:
     """(units with ``ref``, chapters of the chosen ids): E1 to E4.
 
-    What several steps read is settled: the hit list, the chosen chapters and
-    their texts, which are assembled once.
+    What several steps read is settled: the hit list, and the chapters' texts, which
+    are assembled once.
     """
     hits = settle(hits)
-    chosen = settle(C.score_chapters(hits, top_k, alpha))
+    chosen = C.score_chapters(hits, top_k, alpha)
     wanted = chosen.select("chapter_id").distinct()
     chapters = settle(whole_chapters(assemble_chapters(corpus, wanted, volume_chars)))
     summaries = lookup_summaries(corpus, wanted) if use_summaries else None
@@ -47,7 +47,7 @@ def hits_with_chapters(
 ) -> tuple[DataFrame, DataFrame]:
     """(hits with their chapter as a struct, the distinct chapters)."""
     hits = settle(hits)
-    wanted = settle(wanted_chapters(hits))
+    wanted = wanted_chapters(hits)
     chapters = settle(whole_chapters(assemble_chapters(corpus, wanted, volume_chars)))
     return enrich_hits(hits, chapters), chapters
 
@@ -62,7 +62,7 @@ def build_answers(
 ) -> Answers:
     """E1 to E9 for every query of ``queries``."""
     units, chapters = context_units(corpus, hits, **selection)
-    packed = settle(C.pack_context(units, max_chars))
+    packed = C.pack_context(units, max_chars)
     contexts = C.join_blocks(queries, packed)
     contexts = C.empty_context_answer(C.build_messages(contexts, system_prompt))
     return Answers(C.enrich_sources(packed.drop("block"), chapters), contexts)
