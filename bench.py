@@ -35,6 +35,13 @@ HEADLINE = [
     "entity_profiles",
     "corpus_upsert",
     "corpus_jsonl",
+    # the ways of large inputs
+    "bm25_joined",
+    "bm25_indexed",
+    "hit_counts",
+    "knn_approx",
+    "corpus_table",
+    "ingest_stream",
 ]
 
 

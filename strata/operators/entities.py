@@ -19,8 +19,8 @@ def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -
     """``docs`` columns but the text, plus ``character``, for every text that contains the name.
 
     A short list is tested row by row (the list is one scalar subquery). A long
-    one meets the texts by an equi-join on two-character starts, and only the
-    texts that hold such a start are searched for the name.
+    one meets by an equi-join the distinct runs of characters of its names' lengths;
+    the texts themselves are not in these rows.
     """
     size = measure(names)
     if size.rows <= scan_names and fits(docs.sparkSession, size):
@@ -32,16 +32,12 @@ def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -
             .drop("_found")
             .filter("character is not null")
         )
-    keyed = names.withColumn("_start", F.left("character", F.lit(2)))
-    starts = F.array_distinct(
-        F.concat(
-            F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)),
-            F.regexp_extract_all("text", F.lit("(?s)(?=(..))"), F.lit(1)),
-        )
-    )
-    rows = docs.withColumn("_start", F.explode(starts))
-    met = rows.join(hint_if(keyed, fits(docs.sparkSession, size, 2)), "_start")
-    return met.filter(F.contains("text", "character")).drop("_start", "text")
+    lengths = [r[0] for r in names.select(F.length("character")).distinct().collect()]  # a few small numbers
+    grams = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths if n]
+    if not grams:
+        return docs.drop("text").withColumn("character", F.lit("")).limit(0)
+    rows = docs.withColumn("character", F.explode(F.array_distinct(F.concat(*grams)))).drop("text")
+    return rows.join(hint_if(names.select("character").distinct(), fits(docs.sparkSession, size, 2)), "character")
 
 
 def entity_profiles(corpus: DataFrame, names: DataFrame, max_chars: int = K.PROFILE_CHARS) -> DataFrame:

@@ -39,9 +39,9 @@ def format_hits(hits: DataFrame, max_text: int = K.HIT_TEXT_CHARS, field: str =
     )
 
 
-def hit_counts(queries: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, total, returned) for every query, also for those without hits."""
-    total = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+def hit_counts(queries: DataFrame, total: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, total, returned) for every query, also for those without hits.
+    ``total`` (query_id, total) comes from ``match_totals``."""
     returned = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
     return (
         queries.select("query_id")

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strata import constants as K
@@ -130,3 +131,40 @@ def bm25_top(
         scored = doc_tokens(docs if among is None else among, field, analyzer, side.lengths)
         found = scored.select("doc_id", "toks", F.greatest("dl", F.lit(0)).alias("dl")).mapInArrow(search, schema)
     return top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], k, "doc_id")
+
+
+def match_totals(
+    docs: DataFrame,
+    queries: DataFrame,
+    field: str = "text",
+    analyzer: str = "standard",
+    synonyms: DataFrame | None = None,
+    small: bool | None = None,
+    among: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, total): how many documents share a term with each query.
+
+    In place for small query tables: a task counts and gives one row per query, no row per
+    (query, document) is made.
+    """
+    side = query_side(docs, queries, field, analyzer, synonyms, small)
+    matrix = keyword_matrix(side)
+    if matrix is None:
+        found = bm25_match(docs, queries, field=field, analyzer=analyzer, synonyms=synonyms, among=among, side=side)
+        return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(matrix))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("total", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = KeywordMatrix(**shared.value)
+        total = np.zeros(len(m.query_ids), np.int64)
+        for batch in batches:
+            for part in slices(batch, max(m.weights.shape)):
+                toks, dl = part.columns
+                total += (m.scores(toks, dl.to_numpy()) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(m.query_ids, arrow[0].type), pa.array(total, arrow[1].type)], schema=arrow)
+
+    scored = doc_tokens(docs if among is None else among, field, analyzer, side.lengths)
+    counted = scored.select("toks", F.greatest("dl", F.lit(0)).alias("dl")).mapInArrow(count, schema)
+    return counted.groupBy("query_id").agg(F.sum("total").alias("total"))

@@ -11,7 +11,7 @@ from strata.functions.score import auto_rerank, normalize_keyword, term_density
 from strata.operators import lexical as L
 from strata.operators import neighbors as N
 from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
-from strata.operators.keyword_scan import bm25_top, keyword_matrix
+from strata.operators.keyword_scan import bm25_top, keyword_matrix, match_totals
 from strata.operators.hits import collapse_by_chapter, format_hits
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources.term_files import parse_synonym_rules
@@ -139,6 +139,15 @@ def test_top_keyword_hits_both_ways(spark, texts, small):
         assert rows_of(got, "query_id", "rank", "doc_id") == want
 
 
+def test_totals_both_ways(texts):
+    docs, queries, raw, asked = texts
+    want = {}
+    for query, _ in loop_bm25(raw, asked):
+        want[query] = want.get(query, 0) + 1
+    for small in (None, False):
+        assert {r.query_id: r.total for r in match_totals(docs, queries, small=small).collect() if r.total} == want
+
+
 def test_statistics_cover_documents_that_are_not_scored(texts):
     docs, queries, raw, asked = texts
     want = {k: v for k, v in loop_bm25(raw, asked).items() if k[1] < "d050"}

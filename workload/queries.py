@@ -21,7 +21,7 @@ from strata.operators import prepare as B
 from strata.operators import summaries as SU
 from strata.operators import vectors as V
 from strata.operators import words as WD
-from strata.operators.keyword_scan import bm25_top
+from strata.operators.keyword_scan import bm25_top, match_totals
 from strata.operators.chapters import assemble_chapters, lookup_summaries, whole_chapters
 from strata.plans.answers import build_answers, context_units, hits_with_chapters
 from strata.plans.hybrid import SearchOptions, hybrid_search
@@ -531,9 +531,9 @@ def hits_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keyword matches against the returned hits."""
-    docs = L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text"))
+    docs = T.corpus(spark, sf_dir).select("doc_id", "text")
     q = T.queries(spark, sf_dir)
-    return H.hit_counts(q, L.bm25_match(docs, q), _top_bm25(docs, q))
+    return H.hit_counts(q, match_totals(docs, q), _top_bm25(docs, q))
 
 
 @query
