@@ -22,6 +22,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from strata.llm.arrow_groups import runs
 from strata.llm.components import roots
 from strata.llm.shingles import WordHashes, mixed, shingle_set, words_of
-from strata.llm.tables import bound_batches, column, growing, remove, written
+from strata.llm.tables import bound_batches, column, growing, remove, sized, written
 
 COORDS = 64
 SHINGLE = 5
@@ -106,8 +107,12 @@ def _children(path: Column, sketch: Column, coords: int, threshold: float) -> Co
     return F.when(more, F.array_distinct(F.array(*paths))).otherwise(F.array(*paths[:-1]))
 
 
-def _nodes(classes: DataFrame, trees: range, threshold: float, limit: int, max_depth: int, coords: int) -> DataFrame:
-    """(``path``, ``cls``, ``n``) of the nodes to compare: those that hold several components."""
+def _nodes(
+    classes: DataFrame, rows: int, trees: range, threshold: float, limit: int, max_depth: int, coords: int
+) -> DataFrame:
+    """(``path``, ``cls``, ``n``) of the nodes to compare: those that hold several components.
+    `rows` is the number of classes."""
+    rows = math.ceil(rows * len(trees) / threshold)
     seeds = F.array(*[F.lit(i).cast("long") for i in trees])
     tokens = classes.select("cls", "comp", "sketch")
     members = tokens.withColumn("path", F.explode(F.transform(seeds, lambda i: F.xxhash64(F.lit("tree"), i))))
@@ -117,8 +122,8 @@ def _nodes(classes: DataFrame, trees: range, threshold: float, limit: int, max_d
         sizes = down.groupBy("path").agg(
             F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
-        sizes = written(sizes.filter("low < high").select("path", "n"), "nodes")
-        met = written(down.select("cls", "path").join(growing(sizes), "path"), "node-members")
+        sizes = written(sized(sizes.filter("low < high").select("path", "n"), rows), "nodes")
+        met = written(sized(down.select("cls", "path").join(growing(sizes), "path"), rows), "node-members")
         large = F.col("n") > limit
         ready = met if depth == max_depth else met.filter(~large)
         leaves = ready if leaves is None else leaves.unionByName(ready)
@@ -283,33 +288,35 @@ def near_groups(
         .withColumn("cls", F.monotonically_increasing_id())
     )
     classes = written(classes, "near-classes")
-    labels, links, start = None, None, 0
+    number_of_classes = classes.count()
+    labels, start = None, 0
     for number in trees:
         labelled = classes if labels is None else classes.join(growing(labels), classes["cls"] == labels["node"], "left")
         comp = F.col("cls") if labels is None else F.coalesce("root", "cls")
-        labelled = written(labelled.withColumn("comp", comp).drop("node", "root"), "near-labelled")
-        members = _nodes(labelled, range(start, start + number), percent / 100, limit, max_depth, coords)
+        labelled = written(sized(labelled.withColumn("comp", comp).drop("node", "root"), number_of_classes), "near-labelled")
+        members = _nodes(labelled, number_of_classes, range(start, start + number), percent / 100, limit, max_depth, coords)
         start += number
         sketched = members.join(growing(labelled.select("cls", "comp", "n_shingles", "sketch")), "cls")
         active = written(_active(_blocks(sketched, block), percent / 100, coords), "near-active")
-        wanted = written(active.select("cls").distinct(), "near-wanted")
+        wanted = written(sized(active.select("cls").distinct(), number_of_classes), "near-wanted")
         chosen = classes.join(growing(wanted), "cls", "left_semi").select("cls", "set_key", "rep_id", "rep_hash")
-        chosen = written(chosen, "near-chosen")
+        chosen = written(sized(chosen, number_of_classes), "near-chosen")
         same = (source["text_hash"] == chosen["rep_hash"]) & source["doc_id"].eqNullSafe(chosen["rep_id"])
         texts = source.join(growing(chosen), same).select("cls", "set_key", "text")
         found = written(_confirmed(active.join(growing(texts), "cls"), percent, width), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = written(roots(links), "near-labels")
+        if labels is not None:  # the components so far are stars
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = written(roots(found, found.count()), "near-labels")
         remove(labelled, active, wanted, chosen)
 
     named = classes.join(growing(labels), classes["cls"] == labels["node"], "left").select(
         "set_key", "rep_id", F.coalesce("root", "cls").alias("comp"), F.col("root").isNotNull().alias("linked")
     )
-    named = written(named, "near-named")
+    named = written(sized(named, number_of_classes), "near-named")
     lowest = named.filter("linked").groupBy("comp").agg(F.min("rep_id").alias("lowest"))
-    lowest = written(lowest, "near-lowest")
+    lowest = written(sized(lowest, number_of_classes), "near-lowest")
     final = named.join(growing(lowest), "comp", "left").select("set_key", F.coalesce("lowest", "rep_id").alias("component_id"))
-    final = written(final, "near-final")
+    final = written(sized(final, number_of_classes), "near-final")
     out = rows.drop("sketch").join(growing(final), "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

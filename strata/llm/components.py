@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.tables import remove, written
+from strata.llm.tables import remove, sized, written
 
 
 def _pairs(a: Column, b: Column) -> Column:
@@ -16,21 +16,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def roots(links: DataFrame) -> DataFrame:
+def roots(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(``node``, ``root``) for every node of ``links`` (columns ``a``, ``b``, integers): the root is
     the smallest node of the component. Each star takes the least neighbour by an aggregate and
-    joins it back to a written table, so a node with very many links is split over tasks."""
+    joins it back to a written table, so a node with very many links is split over tasks. ``rows``
+    says how many links there are at most, if that is known."""
     edges = links.filter("a <> b").select(_pairs(F.col("a"), F.col("b")).alias("p")).select("p.u", "p.v").distinct()
-    edges = written(edges, "links")
+    edges = written(edges if rows is None else sized(edges, rows), "links")
     state = _state(edges)
     while state[0]:
+        n = 2 * state[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
+        least = written(sized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n), "links-least")
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "links-large")
-        down = written(large.groupBy("u").agg(F.min("v").alias("m")), "links-down")
+        large = written(sized(large.distinct(), n), "links-large")
+        down = written(sized(large.groupBy("u").agg(F.min("v").alias("m")), n), "links-down")
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p"))
-        after = written(small.select("p.u", "p.v").filter("u <> v").distinct(), "links")
+        after = written(sized(small.select("p.u", "p.v").filter("u <> v").distinct(), n), "links")
         now = _state(after)
         remove(edges, least, large, down)
         edges = after

@@ -23,6 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """A table of a known number of small rows in as many partitions as these rows need: rounds
+    over few rows do not start a task for every shuffle partition."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def growing(df: DataFrame) -> DataFrame:
     """A join side that grows with the input: it is shuffled at every size, never broadcast."""
     return df.hint("merge")
