@@ -3,7 +3,11 @@
 A text becomes a sequence of template tokens: words in lower case without punctuation at their
 ends, numbers as <number>, units after a number as <unit>, and names (capitalised words inside a
 sentence, a run of them as one) as <name>. Windows of `width` template tokens of documents meet
-those of benchmark items in a hash join. Windows of a document and an item that lie on one
+those of benchmark items in a hash join. A window with fewer than three words besides placeholders
+would meet too much: it grows over further tokens, to the left and to the right, until it has three.
+Items that have fewer words at all ("What is 48 / 6 + 7?") are met by windows with the values
+behind their placeholders, grown until they have one word: such an item is found where its own
+values stand. Windows of a document and an item that lie on one
 diagonal (same difference of positions) are one placement; there the values behind the
 placeholders must agree with one another: equal values of the item stand for equal values in the
 document and different ones for different ones. A document holds an item if the placements
@@ -14,8 +18,8 @@ lets through the windows that may meet an item, and only these are joined. The f
 work: whatever it lets through by chance finds no partner in the join.
 
 Cases: null and empty texts and items hold nothing; items shorter than `width` have windows of
-their own length; a window needs three words besides placeholders (all, if it is shorter), so items
-without such windows are never found; rows that repeat id and text give one result row; an empty
+their own length, with three words (all, if it is shorter) or their values; items without a word
+(numbers or names alone) are never found; rows that repeat id and text give one result row; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.shingles import MEMO_WORDS, windows
+from strata.llm.shingles import MEMO_WORDS, MIX, mixed, windows
 from strata.llm.tables import bound_batches, column, written
 
 WIDTH = 5
@@ -117,30 +121,75 @@ def canonical(text: str | None, memo: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind == WORD, value, marks[kind]), np.where(kind == WORD, np.uint64(0), value)
 
 
-def _windows(template: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows, and which of them have enough words."""
-    hashes = windows(template, width)
-    if not len(hashes):
-        return hashes, np.zeros(0, bool)
-    words = np.concatenate([[0], np.cumsum(slots == 0)])
-    return hashes, words[width:] - words[:-width] >= min(WORDS_NEEDED, width)
+_BACK = np.uint64(pow(int(MIX), -1, 1 << 64))
+_EXACT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _spans(words: np.ndarray, width: int, needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what the windows with fewer than `needed` words grow to: to the left up to
+    the word that is needed, and to the right. `words` tells which tokens are words."""
+    before = np.concatenate([[0], np.cumsum(words)])
+    poor = np.flatnonzero(before[width:] - before[:-width] < needed)
+    place = np.flatnonzero(words)
+    left = poor[before[poor + width] >= needed]
+    right = poor[before[-1] - before[poor] >= needed]
+    starts = np.concatenate([place[before[left + width] - needed], right])
+    ends = np.concatenate([left + width, place[before[right] + needed - 1] + 1])
+    return starts, ends
+
+
+def _grown(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of tokens, from the sums of tokens times powers."""
+    first, last = int(starts.min()), int(ends.max())
+    powers = np.full(last - first, MIX)
+    powers[0] = 1
+    back = np.full(last - first, _BACK)
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((tokens[first:last] + np.uint64(1)) * np.cumprod(powers))])
+    return mixed((sums[ends - first] - sums[starts - first]) * np.cumprod(back)[starts - first])
+
+
+def _windows(template: np.ndarray, slots: np.ndarray, width: int, full: bool, exact: bool, longest: int) -> Iterator[tuple]:
+    """Starts, ends and hashes of the windows with enough words, `full` ones grown up to `longest`
+    tokens; and, where `exact`, of those with fewer words but one, by their values."""
+    if len(template) < width:
+        return
+    needed = min(WORDS_NEEDED, width)
+    words = slots == 0
+    before = np.concatenate([[0], np.cumsum(words)])
+    number = before[width:] - before[:-width]
+    rich = np.flatnonzero(number >= needed)
+    if len(rich):
+        yield rich, rich + width, windows(template, width)[rich]
+    if len(rich) == len(number):
+        return
+    values = np.where(words, template, slots ^ _EXACT)
+    for tokens, least, wanted in ((template, needed, full), (values, 1, exact)):
+        spans = [_spans(words, width, least)] if wanted and full else []
+        if tokens is values and exact:
+            few = np.flatnonzero((number >= 1) & (number < needed))
+            spans.append((few, few + width))
+        starts, ends = (np.concatenate(x) for x in zip(*spans)) if spans else (rich[:0], rich[:0])
+        near = ends - starts <= longest
+        if near.any():
+            yield starts[near], ends[near], _grown(tokens, starts[near], ends[near])
 
 
 def _emit(schema: T.StructType, batch: pa.RecordBatch, text_col: str, choose) -> pa.RecordBatch:
-    """Window rows of a batch; `choose` gives (width, hashes, wanted) for a text's template."""
+    """Window rows of a batch; `choose` gives the windows of a text's template."""
     memo = choose.memo
     lines, at, width_of, hash_of, slot_of = [], [], [], [], []
     for line, text in enumerate(batch.column(text_col).to_pylist()):
         template, slots = canonical(text, memo)
-        for width in choose.widths(len(template)):
-            hashes, wanted = _windows(template, slots, width)
-            found = np.flatnonzero(wanted & choose.wanted(hashes))
+        for starts, ends, hashes in choose.windows(template, slots):
+            found = np.flatnonzero(choose.wanted(hashes))
             if len(found):
+                starts, ends = starts[found], ends[found]
                 lines += [line] * len(found)
-                at += found.tolist()
-                width_of += [width] * len(found)
+                at += starts.tolist()
+                width_of += (ends - starts).tolist()
                 hash_of.append(hashes[found])
-                slot_of += [slots[i : i + width].astype(np.int64).tolist() for i in found.tolist()]
+                slot_of += [slots[i:j].astype(np.int64).tolist() for i, j in zip(starts.tolist(), ends.tolist())]
     take = pa.array(lines, pa.int64())
     keys = [batch.column(f.name).take(take) for f in schema.fields if f.name in batch.schema.names]
     made = [
@@ -153,26 +202,36 @@ def _emit(schema: T.StructType, batch: pa.RecordBatch, text_col: str, choose) ->
 
 
 class _OfItems:
-    """All windows of an item: of `width` tokens, or one of all tokens if there are fewer."""
+    """All windows of an item: of `width` tokens or grown ones, or one of all tokens if there are fewer;
+    by values where the item has too few words."""
 
     def __init__(self, width: int):
         self.width, self.memo = width, Tokens()
 
-    def widths(self, n: int) -> list[int]:
-        return [min(self.width, n)] if n else []
+    def windows(self, template: np.ndarray, slots: np.ndarray) -> Iterator[tuple]:
+        n = len(template)
+        if n:
+            width = min(self.width, n)
+            few = int((slots == 0).sum()) < min(WORDS_NEEDED, width)
+            yield from _windows(template, slots, width, n >= self.width, few, n)
 
     def wanted(self, hashes: np.ndarray) -> np.ndarray:
         return np.ones(len(hashes), bool)
 
 
 class _OfDocuments:
-    """Windows of the items' widths that the filter lets through."""
+    """Windows like the items' that the filter lets through."""
 
-    def __init__(self, lengths: list[int], bits: np.ndarray):
-        self.lengths, self.bits, self.memo = lengths, bits, Tokens()
+    def __init__(self, width: int, lengths: list[int], bits: np.ndarray):
+        self.width, self.lengths, self.bits, self.memo = width, lengths, bits, Tokens()
+        self.longest = max(lengths, default=0)
 
-    def widths(self, n: int) -> list[int]:
-        return [w for w in self.lengths if w <= n]
+    def windows(self, template: np.ndarray, slots: np.ndarray) -> Iterator[tuple]:
+        for width in self.lengths:
+            if width <= self.width:
+                yield from _windows(template, slots, width, width == self.width, True, self.longest)
+        if self.longest > self.width and self.width not in self.lengths:
+            yield from _windows(template, slots, self.width, True, True, self.longest)
 
     def wanted(self, hashes: np.ndarray) -> np.ndarray:
         place = hashes & np.uint64(len(self.bits) * 8 - 1)
@@ -223,7 +282,7 @@ def leaks(
     bits = docs.sparkSession.sparkContext.broadcast(_filter(items))
     text = column(docs, text_col).cast("string")
     source = docs.select(column(docs, id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    hits = _window_table(source, "text", lambda: _OfDocuments(lengths, bits.value))
+    hits = _window_table(source, "text", lambda: _OfDocuments(width, lengths, bits.value))
     hits = written(hits, "template-hits")
 
     sizes = written(_sizes(wanted), "template-sizes")

@@ -110,6 +110,24 @@ def test_reparameterised_items_are_found_and_wrong_slots_are_not(spark):
     assert kept.count() == len(rows) - 8
 
 
+def test_items_full_of_numbers_are_found(spark):
+    short, long = "What is 48 / 6 + 7?", "What is the value of 3 + 4 * 5 - 6 / 2 + 18?"
+    sums, tail = "Compute 12 * 7 - 30 + 4 * 5.", "ran 5 km in 20 minutes, 10 km in 45 minutes and 15 km in 70 minutes"
+    first = "3 4 5 6 7 8 9 are all of the numbers"
+    wanted = dict(enumerate([short, long, sums, "Alice " + tail, "Sum 2 + 2", first], 1))
+    rows = [(i, f"Some words stand here. {text} And others follow it there.", "en", "a") for i, text in wanted.items()]
+    rows += [
+        (12, "Before. What is the value of 9 + 8 * 7 - 6 / 5 + 44? After.", "en", "a"),
+        (14, "Then Carla ran 6 km in 21 minutes, 11 km in 46 minutes and 16 km in 71 minutes", "en", "a"),
+        (21, "What is 49 / 6 + 7? Compute 12 * 7 - 31 + 4 * 5. Sum 2 + 3", "en", "a"),
+        (22, " ".join(map(str, range(3000))) + " 12 7 30 4 5", "en", "a"),
+        (23, "What is the value of 9 + 8 * 8 - 6 / 5 + 44?", "en", "a"),
+    ]
+    found = templates.leaks(docs(spark, rows), items(spark, list(wanted.items()))).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {*((i, i) for i in wanted), (12, 2), (14, 4)}
+    assert all(r.covered >= 0.8 * r.item_tokens for r in found)
+
+
 def test_templates_of_empty_tables(spark):
     assert templates.leaks(docs(spark, EDGE), items(spark, [])).count() == 0
     assert templates.leaks(docs(spark, []), items(spark)).count() == 0
