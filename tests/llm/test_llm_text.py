@@ -279,3 +279,14 @@ def test_score_cases(spark, rows):
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
     again = {(r.doc_id, r.n_tokens): r.score for r in found}
     assert len({round(s, 6) for (i, n), s in again.items() if n == 1}) <= 1
+
+
+def test_every_training_text_trains_in_wide_windows_from_equal_weights():
+    assert attention_lm.ROUNDS >= attention_lm.SHARE and 2 * attention_lm.STRIDE <= attention_lm.WINDOW
+    assert not attention_lm.Attention.start().gate.any()
+
+
+def test_held_out_texts_score_at_least_the_base(spark):
+    found = attention_lm.score_texts(table(spark, "/root/testdata/sf0.1", "documents")).filter("held_out")
+    model, base = found.agg(F.sum("score"), F.sum("base_score")).first()
+    assert model >= base
