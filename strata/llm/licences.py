@@ -2,7 +2,9 @@
 
 A text is cut into sentences at line ends and at a full stop, exclamation or question mark
 before white space. A sentence in normal form (lower case, runs of other characters than a-z
-and 0-9 as one blank) that is a known licence sentence becomes that sentence's identifier. The
+and 0-9 as one blank) that is a known licence sentence becomes that sentence's identifier, and so
+does a run of lines that is one when their ends are blanks: texts are wrapped, and comment marks at
+the starts of lines are other characters. The longest known sentence goes first. The
 identifiers of a text in their order (unknown sentences between them do not count) are matched against the rules in theirs: a rule takes the
 longest run of its sentences that earlier rules left, so a full licence text comes before the
 short notices that it contains. All of it happens in the row: documents are not shuffled.
@@ -132,8 +134,11 @@ RULES = [
     ("LicenseRef-all-rights-reserved", "rights+"),
 ]
 
-END = r"[.!?][^a-z0-9\s]*\s+|[\n\r]+"
-OTHER = r"[^a-z0-9\n]+"
+END = r"[.!?][^a-z0-9\s]*\s+"
+# No capital is left in a text in lower case, so one can stand for the end of a sentence.
+MARK = "E"
+OTHER = r"[^a-z0-9\n\rE]+"
+GAP = r"[ \n\r]+"
 
 
 def normal(sentence: str) -> str:
@@ -155,10 +160,17 @@ def rule_pattern(rule: str) -> str:
     return "".join(parts)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text in normal form, in order."""
-    cut = F.regexp_replace(F.lower(text), END, "\n")
-    return F.split(F.regexp_replace(cut, OTHER, " "), " ?\n ?")
+def sentence_pattern(known: dict[str, str]) -> str:
+    """The known sentences between ends of sentences or lines, longest first, over line ends inside."""
+    ordered = sorted(known, key=lambda s: (-len(s), s))
+    return rf"(?:^|[\n\rE]) ?({'|'.join(s.replace(' ', GAP) for s in ordered)})(?= ?(?:[\n\rE]|\z))"
+
+
+def sentences(text: Column, known: dict[str, str]) -> Column:
+    """Known sentences of a text in normal form, in order."""
+    cut = F.regexp_replace(F.lower(text), END, MARK)
+    found = F.regexp_extract_all(F.regexp_replace(cut, OTHER, " "), F.lit(sentence_pattern(known)), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, GAP, " "))
 
 
 def recognise(
@@ -171,10 +183,7 @@ def recognise(
     """One row per input row: ``doc_id``, ``sentence_ids`` and ``licences``, both in text order."""
     known = known_sentences(table)
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.filter(
-        F.transform(sentences(text_of(docs, text_col)), lambda s: F.try_element_at(names, F.trim(s))),
-        lambda s: s.isNotNull(),
-    )
+    ids = F.transform(sentences(text_of(docs, text_col), known), lambda s: F.try_element_at(names, s))
     found = docs.select(column(docs, id_col).alias("doc_id"), ids.alias("sentence_ids"))
     marked = F.transform("sentence_ids", lambda s: F.concat(F.lit("["), s, F.lit("]")))
     matched = F.array_join(marked, "")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -180,3 +181,21 @@ def test_ordered_rules_take_the_longest_text(spark):
     assert found[14].licences == ["MIT", "LicenseRef-all-rights-reserved"]
     assert found[15].licences == [] and found[4].licences == [] and found[6].sentence_ids == []
     assert licences.recognise(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_wrapped_texts_are_the_same_licences(spark, mark):
+    texts = {
+        "MIT": ["MIT License", "Copyright (c) 2020 Somebody", *(licences.SENTENCES[k][0] for k in ("mit-grant", "mit-notice"))],
+        "BSD-3-Clause": [licences.SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")],
+        "Apache-2.0": [licences.SENTENCES["apache-2-ref"][1], "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"],
+        "GPL-3.0-or-later": [licences.SENTENCES[k][0] for k in ("gpl-3-later", "gpl-hope", "gpl-details")],
+    }
+    texts["MIT"].append(" ".join(licences.SENTENCES[k][0] for k in ("mit-as-is", "mit-liability")))
+    rows = []
+    for i, (name, parts) in enumerate(texts.items()):
+        lines = [line for part in parts for line in [*(textwrap.wrap(part, 78) if "\n" not in part else part.split("\n")), ""]]
+        rows.append((i, "\n".join(mark + line for line in lines), name, "a"))
+    found = {r.doc_id: r for r in licences.recognise(docs(spark, rows)).collect()}
+    for i, (name, parts) in enumerate(texts.items()):
+        assert found[i].licences == [name] and len(found[i].sentence_ids) == len(parts)
