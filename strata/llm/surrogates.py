@@ -8,7 +8,8 @@ Entities found in a text are replaced by keyed surrogates of their own kind:
   555 stay, domains move under a reserved one. Punctuation, grouping and case are the original's.
 * a name keeps its script, length class and case; a given name keeps its gender (by title, or by a
   list of given names). Given name and family name are entities of their own, so "Ms Lopez" stays
-  the person that "Maria Lopez" is.
+  the person that "Maria Lopez" is. One line end may stand inside a name. A name that was found
+  is replaced wherever its text has it as a word, title or not.
 
 Equal entities have equal surrogates in all documents (coreference). For distinctness the distinct
 entities are gathered by an aggregate and checked: a surrogate that two entities share, or that is
@@ -28,6 +29,7 @@ replaces one of the same name.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -86,6 +88,7 @@ _ALL_GIVEN = sorted((g for group in GIVEN.values() for g in group), key=len, rev
 _CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ"
 _SMALL = "a-zß-öø-ÿα-ωά-ώа-яё"
 _NAME = rf"[{_CAPITAL}][{_SMALL}]+(?:-[{_CAPITAL}][{_SMALL}]+)?"
+_GROUPS = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 _NUMBERS = re.compile(
@@ -93,7 +96,7 @@ _NUMBERS = re.compile(
     r"|(?:(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)\b)[\"']?\s{0,4}[:=]\s{0,4}[\"']?(?P<secret>[A-Za-z0-9_/+=.-]{8,}))"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    rf"|(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|{_GROUPS}?::{_GROUPS}?)(?![\w:]|\.\d))"
     rf"|(?P<ipv4>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)(?!\w))"
     r"|(?P<card>(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}(?:\8\d{4}){1,2}\8?\d{1,4})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -101,11 +104,21 @@ _NUMBERS = re.compile(
     r"|\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,8}){1,3}(?!\.\d)|\+[2-9]\d{8,13}"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))"
 )
-_TITLED = re.compile(rf"\b(?P<title>{'|'.join(_ALL_TITLES)})\b\.?[ \t]+(?P<first>{_NAME})(?:[ \t]+(?P<last>{_NAME}))?")
-_NAMED = re.compile(rf"\b(?P<first>{'|'.join(_ALL_GIVEN)})[ \t]+(?P<last>{_NAME})")
+_GAP = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*)"
+_TITLED = re.compile(rf"\b(?P<title>{'|'.join(_ALL_TITLES)})\b\.?{_GAP}(?P<first>{_NAME})(?:{_GAP}(?P<last>{_NAME}))?")
+_NAMED = re.compile(rf"\b(?P<first>{'|'.join(_ALL_GIVEN)}){_GAP}(?P<last>{_NAME})")
+# Words that open lines and are no names.
+_OPENERS = frozenset(
+    (
+        "The This That These Those There Then They He She It We You His Her Its Our Your My In On At By For From With Without As "
+        "And But Or So If When While Where Who What Why How Not No Yes All An After Before Because Since To Of Is Are Was Were "
+        "Der Die Das Ein Eine Und Aber Wenn Er Sie Es Wir Ich Le La Les Un Une Et Mais Il Elle El Los Las Una Pero Dans En"
+    ).split()
+)
 _GENDER = {name: gender for gender, names in GIVEN.items() for name in names} | {
     title: gender for gender, names in TITLES.items() for title in names
 }
+_WORD = re.compile(r"\w")
 _LOOKS = re.compile(r"[0-9@]")
 _NAME_WORDS = frozenset(name.encode() for name in _GENDER)
 _BREAKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -170,8 +183,12 @@ def find(text: str) -> list[Found]:
                 value = re.sub(r"[^\d+]", "", raw)
                 if not 7 <= len(value.lstrip("+")) <= 15:
                     continue
-            elif kind in ("email", "ipv6"):
+            elif kind == "email":
+                value = raw.lower()
+            elif kind == "ipv6":
                 value = raw.lower()
+                if not _is_ipv6(value):
+                    continue
             elif kind == "secret":
                 raw = raw.rstrip(".")
                 end, value = start + len(raw), raw
@@ -183,6 +200,7 @@ def find(text: str) -> list[Found]:
     words = text.encode("utf-8", "surrogatepass").translate(_BREAKS).split()
     if not _NAME_WORDS.isdisjoint(words):
         _find_names(text, out)
+        _find_mentions(text, out)
     out.sort(key=lambda f: (f.start, -f.end))
     kept: list[Found] = []
     for f in out:
@@ -195,10 +213,12 @@ def _find_names(text: str, out: list[Found]) -> None:
     """Names behind a title, and given names with a family name."""
     spans = {(f.start, f.end) for f in out}
     for match in _TITLED.finditer(text):
+        if _opens_line(text, match, "first"):
+            continue
         gender = _GENDER[match["title"]]
         if gender == "u":
             gender = _GENDER.get(match["first"], "u")
-        if match["last"]:
+        if match["last"] and not _opens_line(text, match, "last"):
             out.append(Found(*match.span("first"), _name_kind("given", gender, match["first"]), match["first"].lower()))
             out.append(Found(*match.span("last"), _name_kind("family", "u", match["last"]), match["last"].lower()))
             spans |= {match.span("first"), match.span("last")}
@@ -206,6 +226,8 @@ def _find_names(text: str, out: list[Found]) -> None:
             out.append(Found(*match.span("first"), _name_kind("family", "u", match["first"]), match["first"].lower()))
             spans.add(match.span("first"))
     for match in _NAMED.finditer(text):
+        if _opens_line(text, match, "last"):
+            continue
         for part in ("first", "last"):
             if match.span(part) not in spans:
                 gender = _GENDER[match["first"]] if part == "first" else "u"
@@ -214,6 +236,38 @@ def _find_names(text: str, out: list[Found]) -> None:
                 spans.add(match.span(part))
 
 
+def _opens_line(text: str, match: re.Match, part: str) -> bool:
+    """Whether the part is a word that opens the next line instead of a name."""
+    return match[part] in _OPENERS and text[: match.start(part)].rstrip(" \t").endswith("\n")
+
+
+def _find_mentions(text: str, out: list[Found]) -> None:
+    """Further mentions of the names found, as words, in their spelling or in capitals."""
+    spans = {(f.start, f.end) for f in out}
+    kinds: dict[str, tuple[str, str]] = {}
+    for f in sorted((f for f in out if "-" in f.kind), key=lambda f: f.start):
+        name = text[f.start : f.end]
+        if name not in _OPENERS:
+            kinds.setdefault(name, (f.kind, f.value))
+            kinds.setdefault(name.upper(), (f.kind, f.value))
+    for name, (kind, value) in kinds.items():
+        start = text.find(name)
+        while start >= 0:
+            end = start + len(name)
+            bounded = not _WORD.match(text[start - 1 : start]) and not _WORD.match(text[end : end + 1])
+            if bounded and (start, end) not in spans:
+                out.append(Found(start, end, kind, value))
+            start = text.find(name, end)
+
+
+def _is_ipv6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text)
+
+
 # --- keyed permutations -----------------------------------------------------------
 
 
@@ -304,6 +358,8 @@ def shape(kind: str, value: str) -> str:
         return f"hex{re.sub('[0-9a-fA-F]', '0', value)}{value == value.lower()}"
     if kind == "iban":
         return value[:2] + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", value[4:]))
+    if kind == "ipv6":
+        return re.sub("[0-9a-f]", "0", value)
     return re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", value)))
 
 
@@ -362,7 +418,7 @@ def _name(kind: str, value: str, key: bytes, attempt: int) -> str:
 def spelled(kind: str, original: str, value: str) -> str:
     """The surrogate in the original's punctuation and case."""
     if "-" in kind:
-        return value.capitalize()
+        return value.upper() if original.isupper() else value.capitalize()
     if kind in ("phone", "card", "iban"):
         made, out = iter(value.replace("+", "") if kind == "phone" else value), []
         for c in original:

@@ -102,6 +102,30 @@ def test_a_full_shape_stays_with_its_permutation(spark):
     assert surrogates.later_attempts(known, KEY, small).count() == 0
 
 
+def test_names_found_once_are_replaced_at_every_mention():
+    text = "Maria Lopez arrived. Lopez said LOPEZ. Mr Alex Kim sat, and Alex Kim's dog; Alexander did not. Mrs.\nAnna\n Weber left.\nWeber, Dr Wu\nThe end. The rest."
+    made, counts = surrogates.rewrite(text, KEY, {})
+    assert counts == {"given": 4, "family": 8}
+    for name in ("Maria", "Lopez", "LOPEZ", "Kim", "Anna", "Weber", "Wu"):
+        assert name not in made
+    lopez = re.match(r"\w+ (\w+) arrived\. (\w+) said (\w+)\.", made).groups()
+    assert lopez[0] == lopez[1] and lopez[0].upper() == lopez[2]
+    assert re.search(r"Mr (\w+ \w+) sat, and \1's dog; Alexander did not", made)
+    assert re.search(r"Mrs\.\n\w+\n (\w+) left\.\n\1, Dr \w+\nThe end\. The rest\.", made)
+    assert surrogates.find("Anna\nThe house. The garden.") == []
+
+
+def test_compressed_addresses_are_found():
+    wanted = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:DB8::", "2001:db8:0:0:0:0:2:1"]
+    for address in wanted:
+        assert [(f.kind, f.value) for f in surrogates.find(f"host {address}, up.")] == [("ipv6", address.lower())]
+        made = surrogates.rewrite(f"host {address}/64", KEY, {})[0]
+        assert re.sub("[0-9a-fA-F]", "0", made) == re.sub("[0-9a-fA-F]", "0", f"host {address}/64")
+    assert [f.kind for f in surrogates.find("::ffff:10.1.2.3")] == ["ipv4"]
+    for other in ("std::vector2", "at 10:30:15", "a::b", "x ::2y", "1:2:3:4:5:6:7:8::9"):
+        assert surrogates.find(other) == []
+
+
 # --- pages -----------------------------------------------------------------------------
 
 
