@@ -14,12 +14,14 @@ from strata.llm import block_naming, chosen_path, language, mixing, templates
 from strata.llm.tables import table, written
 
 NEAR_PERCENT = 80
+#: The cosine of unrelated vectors has this inverse square root as its deviation; five of them are not chance.
+LEAST_COSINE = 5 / language.DIMS**0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that resemble no language of the labelled ones, or have no letter."""
+    """Without the documents that resemble no language of the labelled ones beyond chance, or have no letter."""
     found = language.identify(docs, language.profiles(docs))
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0))
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
     return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
 
 

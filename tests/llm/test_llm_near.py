@@ -164,3 +164,20 @@ def test_stages_against_brute_force(spark):
         start = out
     mixed = stages["mixing"](spark, start, SF)
     assert set(mixed.columns) == {*start.columns, "copy"} and mixed.filter(F.col("copy") > 2).count() == 0
+
+
+def test_texts_in_no_learnt_language_go(spark):
+    rng = random.Random(4)
+    strange = []
+    for low, size in ((0x430, 32), (0x4E00, 8000), (0xE01, 46), (97, 26)):
+        for n in (20, 100, 400):
+            words = ["".join(chr(low + rng.randrange(size)) for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+            strange.append(" ".join(words))
+    start = table(spark, "/root/testdata/sf0.01", "documents")
+    plants = [(-1 - i, text) for i, text in enumerate(strange)]
+    planted = spark.createDataFrame(plants, "doc_id long, text string")
+    out = corpus_pipeline.known_language(spark, start.unionByName(planted, allowMissingColumns=True), SF)
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    lost = [r.text for r in start.collect() if r.doc_id not in kept and any(c.isalpha() for c in r.text or "")]
+    assert len(lost) <= 5 and max(map(len, lost)) < 20
