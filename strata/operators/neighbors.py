@@ -34,6 +34,8 @@ from strata.operators.corpus import check_vector_dims
 from strata.sizing import Size, fits, measure, shuffle_width
 from strata.storage import settle
 
+#: Share of the cells that an approximate search visits: 28 of 45 gave recall 0.93 at ten on sf0.1.
+PROBED = (5, 8)
 MOST_CELLS = 16_384  # centroids a task holds
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
@@ -237,6 +239,11 @@ def kmeans_cells(docs: DataFrame, n_cells: int | None = None, id_col: str = "doc
     return Cells(unit_rows(centers[np.linalg.norm(centers, axis=1) > 0]))
 
 
+def probes(cells: Cells) -> int:
+    """Cells to visit: a share of them, so that recall does not fall as cells grow with the corpus."""
+    return max(1, -(-len(cells.centroids) * PROBED[0] // PROBED[1]))
+
+
 def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataFrame:
     """(id, vector, cell, cos): every vector with its nearest centroid. Stored with
     ``partitionBy("cell")`` this is the index; a search reads only its cells."""

@@ -60,3 +60,8 @@ def test_small_query_tables_do_not_move_documents(spark, name):
     """No exchange by document but the one that spreads the single test file over the cores."""
     moved = [line for line in plan(spark, name).split("\n") if "Exchange hashpartitioning(doc_id" in line]
     assert not [line for line in moved if "ENSURE_REQUIREMENTS" in line]
+
+
+def test_trained_cells_find_nine_in_ten(spark):
+    recalls = [r.recall for r in entry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").collect()]
+    assert sum(recalls) >= 0.9 * len(recalls)

@@ -369,7 +369,8 @@ def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C8 with trained cells: recall against C7 per query."""
     v, q = T.vectors(spark, sf_dir), T.queries(spark, sf_dir)
-    near = N.knn_approx(v, q, 10, nprobe=8, cells=N.kmeans_cells(v))
+    cells = N.kmeans_cells(v)
+    near = N.knn_approx(v, q, 10, nprobe=N.probes(cells), cells=cells)
     return N.recall(near, N.knn_exact(v, q, 10))
 
 
