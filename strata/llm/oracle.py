@@ -104,3 +104,50 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM w
 """
+
+ORACLE["op13_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), fails AS (
+  SELECT doc_id, part,
+         len(w) < 200 AS a,
+         100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM words
+), flagged AS (
+  SELECT f.*, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM fails f LEFT JOIN (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+  ) l USING (doc_id)
+), masks AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                      CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS m,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flagged GROUP BY ALL
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, range(1, 6) r(step)
+), counted AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN len(list_intersect(string_split(m, ''), string_split(concat(earlier, f), ''))) = 0 OR m = '' THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(m, f) AND (earlier = '' OR len(list_intersect(string_split(m, ''), string_split(earlier, ''))) = 0) THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(m, f) AND earlier <> '' AND len(list_intersect(string_split(m, ''), string_split(earlier, ''))) > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN m = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(m, f) AND (earlier = '' OR len(list_intersect(string_split(m, ''), string_split(earlier, ''))) = 0) THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(m, f) AND (earlier = '' OR len(list_intersect(string_split(m, ''), string_split(earlier, ''))) = 0) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
