@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ CAPACITY = 4096
 CLOSING = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of words between blanks that a task remembers; longer words are not remembered.
-MEMO_WORDS, MEMO_BYTES = 300_000, 64
+MEMO_WORDS, MEMO_BYTES = 400_000, 64
 #: Pieces and gaps of one task of a sweep, and the most tasks.
 ROWS, MOST_TASKS = 20_000, 20_000
 #: The last octaves go together.
@@ -53,40 +54,60 @@ PIECES = "uid long, doc_id long, piece int, start long, length int, ids_crc32 lo
 # --- token ids -------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for UTF-8 bytes in a byte-level vocabulary: printable Latin-1 for itself, the other
+    bytes in order from U+0100 on (fixed values)."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class WordIds(dict):
     """Ids, as little-endian bytes, of what stands between blanks. No token reaches over a blank: the tokenizer drops
     them before it looks for pairs, so a text's ids are those of its words in order. Nor does one reach out of a
-    run of letters, a digit or a run of signs, so new words of ASCII are put together from known runs."""
+    run of letters, a digit or a run of signs, so new words of ASCII and Latin-1 letters, which no
+    normalising changes but for their case, are put together from known runs. Of a full memory the words
+    met since the last time it was full stay at hand."""
 
-    #: How the tokenizer cuts a lower-cased text, for ASCII.
-    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    #: How the tokenizer cuts a lower-cased text, for these characters.
+    RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model  # runs of ASCII need no normalising
+        self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.older_runs: dict[str, bytes] = {}
 
     def run(self, text: str) -> bytes:
         value = self.runs.get(text)
         if value is None:
+            value = self.older_runs.get(text)
+            if value is None:
+                letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.LETTERS)
+                value = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             if len(self.runs) >= MEMO_WORDS:
-                self.runs.clear()
-            value = self.runs[text] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+                self.older_runs, self.runs = self.runs, {}
+            self.runs[text] = value
         return value
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if len(word) > MEMO_BYTES:
-            return self.encoded(text)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        plain = word.isascii() and text.isprintable() and "<|" not in text  # special tokens stay whole
-        value = self[word] = b"".join(map(self.run, self.RUNS.findall(text.lower()))) if plain else self.encoded(text)
+        value = self.older.get(word)
+        if value is None:
+            text = word.decode()
+            if len(word) <= MEMO_BYTES and self.PLAIN.fullmatch(text) and "<|" not in text:  # special tokens stay whole
+                value = b"".join(map(self.run, self.RUNS.findall(text.lower())))
+            else:
+                value = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, text: str) -> bytes:
@@ -114,7 +135,7 @@ def _tokenizer_path(path: str | None) -> str:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """A row per piece: a row number ``uid``, ``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32``."""
     bound_batches(docs.sparkSession, 1 << 24)
-    closing = np.array([CLOSING], "<u4").tobytes()
+    closing = array("I", [CLOSING]).tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(_tokenizer_path(tokenizer))
