@@ -1,13 +1,12 @@
-"""Nearest neighbours by cosine.
+"""Nearest neighbours by cosine (C7); within a candidate budget see ``quantized``.
 
 Exact search for queries that fit a broadcast: the vectors stay in their scan
 partitions; each task multiplies its Arrow batches with the query matrix, keeps
 a running top k per query and gives out only that.
 
-Larger query tables, and the approximate search, go through cells: vectors are
+Larger query tables go through cells: vectors are
 grouped around centroids, a query visits only cells that can hold one of its k
-nearest (exact: bounds from the triangle inequality; approximate: the
-``nprobe`` nearest cells), and both sides meet by an equi-join on (cell, shard).
+nearest (bounds from the triangle inequality), and both sides meet by an equi-join on (cell, shard).
 A large cell is cut into shards, so no task holds more than SHARD_ROWS vectors.
 Pairs of query and vector exist only inside the matrix product.
 """
@@ -34,8 +33,6 @@ from strata.operators.corpus import check_vector_dims
 from strata.sizing import Size, fits, measure, shuffle_width
 from strata.storage import settle
 
-#: Share of the cells that an approximate search visits: 28 of 45 gave recall 0.93 at ten on sf0.1.
-PROBED = (5, 8)
 MOST_CELLS = 16_384  # centroids a task holds
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
@@ -225,7 +222,8 @@ def seed_cells(docs: DataFrame, n_cells: int | None = None, id_col: str = "doc_i
     """Centroids picked by hash order of the ids: no training."""
     rows = searchable(docs, id_col, "vector")
     order = F.md5(F.col(id_col).cast("string"))
-    picked = rows.orderBy(order, id_col).limit(n_cells or cell_number(rows)).collect()
+    ids = rows.select(id_col).orderBy(order, id_col).limit(n_cells or cell_number(rows))  # ids alone are sorted
+    picked = sorted(rows.join(F.broadcast(ids), id_col, "left_semi").withColumn("_o", order).collect(), key=lambda r: (r["_o"], r[id_col]))
     return Cells(unit_rows(np.array([r["vector"] for r in picked], dtype=np.float64).reshape(len(picked), -1)))
 
 
@@ -239,11 +237,6 @@ def kmeans_cells(docs: DataFrame, n_cells: int | None = None, id_col: str = "doc
     return Cells(unit_rows(centers[np.linalg.norm(centers, axis=1) > 0]))
 
 
-def probes(cells: Cells) -> int:
-    """Cells to visit: a share of them, so that recall does not fall as cells grow with the corpus."""
-    return max(1, -(-len(cells.centroids) * PROBED[0] // PROBED[1]))
-
-
 def assign_cells(docs: DataFrame, cells: Cells, id_col: str = "doc_id") -> DataFrame:
     """(id, vector, cell, cos): every vector with its nearest centroid. Stored with
     ``partitionBy("cell")`` this is the index; a search reads only its cells."""
@@ -274,11 +267,11 @@ def _angle(cos: np.ndarray) -> np.ndarray:
 
 
 def cells_to_visit(
-    q: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, k: int, nprobe: int | None
+    q: np.ndarray, centroids: np.ndarray, n: np.ndarray, radius: np.ndarray, k: int
 ) -> list[np.ndarray]:
     """Cells each query has to look into.
 
-    Exact (``nprobe`` None): a vector of a cell is at most the cell's radius
+    A vector of a cell is at most the cell's radius
     away from the centroid. The cells whose farthest possible vector is nearest
     and that together hold k vectors give a limit for the k-th best angle;
     cells whose nearest possible vector is beyond it are left out. Cosines are
@@ -287,9 +280,6 @@ def cells_to_visit(
     angle = _angle(q @ centroids.T)
     visits = []
     for row in angle:
-        if nprobe is not None:
-            visits.append(np.argsort(row, kind="stable")[:nprobe])
-            continue
         farthest = np.minimum(np.pi, row + radius)
         order = np.argsort(farthest, kind="stable")
         enough = np.searchsorted(np.cumsum(n[order]), k)
@@ -301,7 +291,7 @@ def cells_to_visit(
 
 
 def _cell_search(
-    placed: DataFrame, queries: DataFrame, cells: Cells, size: Size, k: int, nprobe: int | None,
+    placed: DataFrame, queries: DataFrame, cells: Cells, size: Size, k: int,
     id_col: str, clamped: bool,
 ) -> DataFrame:
     """(query_id, id, cos): k candidates per query, cell and shard."""
@@ -322,7 +312,7 @@ def _cell_search(
         for pdf in batches:
             if len(pdf):
                 q = unit_rows(np.array(pdf["vector"].tolist(), dtype=np.float64))
-                where = cells_to_visit(q, centroids, n_, radius_, k, nprobe)
+                where = cells_to_visit(q, centroids, n_, radius_, k)
                 yield pd.DataFrame({"query_id": pdf["query_id"], "q": pdf["vector"], "cells": [c.tolist() for c in where]})
 
     asked = searchable(queries, "query_id", "query_vector")
@@ -364,7 +354,6 @@ def knn(
     docs: DataFrame,
     queries: DataFrame,
     k: int,
-    nprobe: int | None = None,
     cells: Cells | None = None,
     id_col: str = "doc_id",
     size: Size | None = None,
@@ -377,12 +366,12 @@ def knn(
     """
     if size is None:
         size = measure(queries.select("query_id", "query_vector"))
-    if nprobe is None and cells is None and fits(docs.sparkSession, size):
+    if cells is None and fits(docs.sparkSession, size):
         found = _scan_search(docs, queries, k, id_col, clamped)
     else:
         cells = cells or seed_cells(docs, id_col=id_col)
         placed = settle(assign_cells(docs, cells, id_col))
-        found = _cell_search(placed, queries, cells, size, k, nprobe, id_col, clamped)
+        found = _cell_search(placed, queries, cells, size, k, id_col, clamped)
     best = top_k(found, "query_id", [F.col("cos").desc(), F.col(id_col)], k, id_col)
     return best.withColumn(
         "sim", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cos")))
@@ -391,13 +380,7 @@ def knn(
 
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
     """Exact top k by cosine, over every row that has a vector."""
-    return knn(docs, queries, k, nprobe=None, **options)
-
-
-def knn_approx(docs: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 4, **options) -> DataFrame:
-    """Top k among the ``nprobe`` nearest cells; filter ``docs`` beforehand
-    to restrict the candidates, as a filter inside the candidate search does."""
-    return knn(docs, queries, k, nprobe=nprobe, **options)
+    return knn(docs, queries, k, **options)
 
 
 def recall(approx: DataFrame, exact: DataFrame, id_col: str = "doc_id") -> DataFrame:

