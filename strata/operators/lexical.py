@@ -63,6 +63,8 @@ class Index:
     doc_len: DataFrame  # doc_id, dl
     term_stats: DataFrame  # term, df
     buckets: int = 0  # of the stored postings, 0 when they are not stored
+    lengths: tuple[int, ...] = ()  # runs of tokens that are terms as well
+    totals: DataFrame | None = None  # n_docs, total_dl of documents with tokens, where they are stored
 
 
 def runs_of(toks: Column, length: int) -> Column:
@@ -125,7 +127,7 @@ def build_index(
     postings = build_postings(corpus, field, analyzer, lengths=lengths)
     doc_len = doc_tokens(corpus, field, analyzer).select("doc_id", "dl")
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(postings, doc_len, stats)
+    return Index(postings, doc_len, stats, lengths=lengths)
 
 
 INDEX_BUCKETS = 64
@@ -138,21 +140,26 @@ def _term_bucket(buckets: int) -> Column:
 def write_index(index: Index, path: str, buckets: int = INDEX_BUCKETS) -> None:
     """Store the three tables, postings in folders by a hash of the term: a search reads the
     folders of its terms and no text. Several tasks write a folder, so a frequent term is not
-    one task's work."""
-    spread = max(1, shuffle_width(index.postings.sparkSession) // buckets)
+    one task's work. The texts are tokenised once: lengths and frequencies come from the
+    written postings (a document without tokens has none, and takes no part in a search)."""
+    spark = index.postings.sparkSession
+    spread = max(1, shuffle_width(spark) // buckets)
     placed = index.postings.withColumn("bucket", _term_bucket(buckets))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
     placed.repartition(F.col("bucket"), part).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
-    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    about = index.postings.sparkSession.range(1).select(F.lit(buckets).alias("buckets"))
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/postings")
+    stored.groupBy("doc_id").agg(F.first("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/doc_len")
+    frequencies = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies.write.mode("overwrite").parquet(f"{path}/term_stats")
+    about = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(list(index.lengths)).cast("array<int>").alias("lengths"))
     about.write.mode("overwrite").parquet(f"{path}/about")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """A stored index; the number of folders comes with it."""
+    """A stored index; the number of folders and the lengths of its runs come with it."""
     tables = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_len", "term_stats"))
-    return Index(*tables, buckets=spark.read.parquet(f"{path}/about").first()["buckets"])
+    about = spark.read.parquet(f"{path}/about").first()
+    return Index(*tables, buckets=about["buckets"], lengths=tuple(about["lengths"]))
 
 
 # --- query side -------------------------------------------------------------
@@ -339,14 +346,22 @@ def query_side(
 
 
 def indexed_side(index: Index, queries: DataFrame, analyzer: str = "standard", synonyms: DataFrame | None = None) -> QuerySide:
-    """The query side with the statistics of a stored index: no text is read."""
+    """The query side with the statistics of a stored index: no text is read. Synonym terms of
+    several tokens must be among the runs that the index holds."""
     spark = queries.sparkSession
     rules = None if synonyms is None else synonym_lookup(synonyms, analyzer)
+    missing = [] if rules is None else [n for n in rules.lengths if n > 1 and n not in index.lengths]
+    if missing:
+        raise ValueError(f"the rules have terms of {missing} tokens, which the index does not hold: build it with lengths={missing}")
     terms = query_terms(queries, analyzer, rules)
     slots = terms.select("slot").distinct()
     members = slots.withColumn("term", F.col("slot")) if rules is None else expand_synonyms(slots, rules)
     small = fits(spark, measure(members), copies=4)
-    docs, length = index.doc_len.filter("dl > 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    if index.totals is None:
+        docs, length = index.doc_len.filter("dl > 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    else:
+        docs, tokens_in_all = index.totals.first()
+        length = tokens_in_all / docs if docs else None
     found = index.term_stats.join(hint_if(members, small), "term").groupBy("slot").agg(F.max("df").alias("df"))
     stats = found.select("slot", "df", F.lit(docs).alias("n_docs"), F.lit(length or 1.0).alias("avgdl"))
     weighed = terms.join(stats, "slot").select(

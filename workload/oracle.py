@@ -602,3 +602,5 @@ SELECT * FROM (SELECT query_id, character, row_number() OVER (PARTITION BY query
 ORACLE["knn_approx"] = ORACLE["knn_cells"]
 ORACLE["knn_approx_filtered"] = ORACLE["knn_filtered"]
 ORACLE["hybrid_rrf_approx"] = ORACLE["hybrid_rrf"]
+ORACLE["bm25_indexed_synonyms"] = ORACLE["bm25_synonyms"]
+ORACLE["bm25_upserted"] = f"WITH corpus AS ({UPSERT}), {QUERIES}, {BM} {BM_TOP}"

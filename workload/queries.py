@@ -15,6 +15,7 @@ from strata.operators import context as C
 from strata.operators import corpus as A
 from strata.operators import entities as EN
 from strata.operators import hits as H
+from strata.operators import index_batches as IB
 from strata.operators import lexical as L
 from strata.operators import neighbors as N
 from strata.operators import prepare as B
@@ -456,6 +457,28 @@ def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
 
 
+@query
+def bm25_indexed_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 from stored postings that hold the runs of tokens which the rules name."""
+    path, rules = fresh_dir(spark, "index"), term_files.parse_synonym_rules(T.synonym_lines(spark, sf_dir))
+    lengths = tuple(n for n in L.synonym_lookup(rules).lengths if n > 1)
+    L.write_index(L.build_index(L.by_document(T.corpus(spark, sf_dir).select("doc_id", "text")), lengths=lengths), path)
+    matches = L.bm25_match(None, T.queries(spark, sf_dir), synonyms=rules, index=L.read_index(spark, path))
+    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
+
+
+@query
+def bm25_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with A6: three batches of upserts, then D2 from the sums of their postings."""
+    path, log = fresh_dir(spark, "index"), _ingest_log(spark, sf_dir)
+    for no in range(3):
+        IB.add_batch(log.filter(F.col("batch") == no), path, no)
+    matches = L.bm25_match(None, T.queries(spark, sf_dir), index=IB.open_index(spark, path))
+    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
+
+
 @query
 def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10 with the stored index, weighted."""
