@@ -17,6 +17,7 @@ from strata.operators import entities as EN
 from strata.operators import hits as H
 from strata.operators import index_batches as IB
 from strata.operators import lexical as L
+from strata.operators import lsa as LS
 from strata.operators import neighbors as N
 from strata.operators import prepare as B
 from strata.operators import quantized as PQ
@@ -251,6 +252,23 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims(V.hashing_embed(T.documents(spark, sf_dir), "doc_id"), "doc_id")
 
 
+@query
+def embed_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 with an encoder trained on the corpus."""
+    docs = T.documents(spark, sf_dir).select("doc_id", "text")
+    return LS.embed_lsa(docs, LS.fit_lsa(docs))
+
+
+@query
+def knn_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items folded into the space of the documents, and the documents next to them."""
+    docs = T.documents(spark, sf_dir).select("doc_id", "text")
+    model = LS.fit_lsa(docs)
+    asked = LS.embed_lsa(T.queries(spark, sf_dir).select("query_id", "query_text"), model, "query_id", "query_text", "query_vector")
+    found = N.knn_exact(LS.embed_lsa(docs, model), asked, 10)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query
 def l2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 on vectors stretched by their id (id 0: the zero vector)."""
