@@ -145,14 +145,12 @@ def corpus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 at rest: batches written one after the other, by callers that compact at different
-    shares; the last one brings a new column."""
-    path = fresh_dir(spark, "corpus")
-    log = _ingest_log(spark, sf_dir)
-    for no, share in enumerate((0.5, 100.0, 0.9)):
+    """A6 at rest: batches written one after the other; the last one brings a new column."""
+    path, log = fresh_dir(spark, "corpus"), _ingest_log(spark, sf_dir)
+    for no in range(3):
         rows = log.filter(F.col("batch") == no)
         rows = rows.withColumn("chapter_id", F.lit("late")) if no == 2 else rows
-        sinks.write_corpus_table(rows, path, recreate=no == 0, compact_share=share)
+        sinks.write_corpus_table(rows, path, recreate=no == 0, parts=16)
     return sinks.read_corpus_table(spark, path).select("doc_id", "text", "chapter_id")
 
 
