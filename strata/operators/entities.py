@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,33 +15,57 @@ from strata.operators.neighbors import knn_exact, top_k
 from strata.operators.vectors import hashing_embed
 from strata.sizing import fits, hint_if, measure, shuffle_width
 
-# Up to this many names every text is tested for each name in place.
-_SCAN_NAMES = 500
+#: Bytes of an automaton for each byte of its names, about.
+_NODE_BYTES = 4
+
+
+class NameAutomaton:
+    """A trie of names with failure links: one pass over a text finds all names in it, however many there are and
+    however they overlap."""
+
+    def __init__(self, names: list[str]):
+        self.empty = "" in names  # is in every text
+        self.machine = ahocorasick.Automaton()
+        for name in names:
+            if name:
+                self.machine.add_word(name, name)
+        self.any = len(self.machine) > 0
+        if self.any:
+            self.machine.make_automaton()
+
+    def names_in(self, text: str) -> list[str]:
+        found = {name for _, name in self.machine.iter(text)} if self.any else set()
+        return sorted(found | {""} if self.empty else found)
 
 
-def mentions(docs: DataFrame, names: DataFrame, scan_names: int = _SCAN_NAMES) -> DataFrame:
+def mentions(docs: DataFrame, names: DataFrame, small: bool | None = None) -> DataFrame:
     """``docs`` columns but the text, plus ``character``, for every text that contains the name.
 
-    A short list is tested row by row (the list is one scalar subquery). A long
-    one meets by an equi-join the distinct runs of characters of its names' lengths;
+    A list that fits a broadcast (measured) goes to the tasks as an automaton; a text is read once, in
+    Arrow batches. A longer one meets by an equi-join the distinct runs of characters of its names' lengths;
     the texts themselves are not in these rows.
     """
     size = measure(names)
-    if size.rows <= scan_names and fits(docs.sparkSession, size):
-        listed = docs.withColumn("_names", names.agg(F.collect_set("character")).scalar())
-        found = F.filter("_names", lambda n: F.contains(F.col("text"), n))
-        listed = listed.withColumn("_found", found).drop("_names", "text")
-        return (
-            listed.withColumn("character", F.explode_outer("_found"))
-            .drop("_found")
-            .filter("character is not null")
-        )
+    if small is None:
+        small = fits(docs.sparkSession, size, _NODE_BYTES)
+    if small:
+        listed = sorted(r["character"] for r in names.select("character").distinct().collect() if r["character"] is not None)
+        shared = docs.sparkSession.sparkContext.broadcast(listed)
+
+        @F.arrow_udf("array<string>")
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            machine = NameAutomaton(shared.value)
+            for texts in batches:
+                yield pa.array([None if t is None else machine.names_in(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+        rows = docs.withColumn("_found", found(F.col("text"))).drop("text")
+        return rows.withColumn("character", F.explode_outer("_found")).drop("_found").filter("character is not null")
     lengths = [r[0] for r in names.select(F.length("character")).distinct().collect()]  # a few small numbers
     grams = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths if n]
     if not grams:
         return docs.drop("text").withColumn("character", F.lit("")).limit(0)
     rows = docs.withColumn("character", F.explode(F.array_distinct(F.concat(*grams)))).drop("text")
-    return rows.join(hint_if(names.select("character").distinct(), fits(docs.sparkSession, size, 2)), "character")
+    return rows.join(names.select("character").distinct(), "character")
 
 
 def entity_profiles(corpus: DataFrame, names: DataFrame, max_chars: int = K.PROFILE_CHARS) -> DataFrame:

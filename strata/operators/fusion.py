@@ -111,13 +111,13 @@ def fuse_weighted_scan(
     asked = query_matrix(queries)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast((*asked, vars(matrix.for_queries(asked[0]))))
+    shared = docs.sparkSession.sparkContext.broadcast((*asked, matrix.for_queries(asked[0]).shared()))
     scale = {
         "raw": lambda kw: kw,
         "saturation": lambda kw: kw / (kw + kw_sat),
         "log1p": lambda kw: np.minimum(1.0, rounded(np.log1p(kw)) / kw_log_cap),
     }[mode]
-    found = doc_tokens(of_width(docs, "vector", asked[1].shape[1]), field, analyzer, matrix.lengths, "vector")
+    found = doc_tokens(of_width(docs, "vector", asked[1].shape[1]), field, analyzer, (), "vector")
     rows = found.filter(F.exists("vector", lambda x: x != 0)).select(
         "doc_id", "vector", "toks", F.greatest("dl", F.lit(0)).alias("dl")
     )

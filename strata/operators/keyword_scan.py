@@ -9,12 +9,12 @@ document) is ever made, and only the top k per task and query leaves a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from strata import constants as K
 from strata.operators.lexical import QuerySide, bm25_match, doc_tokens, query_side
 from strata.operators.neighbors import Running, found_schema, rounded, slices, top_k
+from strata.operators.term_scan import TermScan
 
 # Largest (slot x query) matrix a task holds; beyond it rows are joined instead.
 SIDE_CELLS = 8_000_000
@@ -39,7 +40,14 @@ class KeywordMatrix:
     avgdl: float
     k1: float
     b: float
-    lengths: tuple[int, ...] = ()  # runs of tokens among the terms
+
+    @cached_property
+    def scan(self) -> TermScan:
+        return TermScan(self.terms)
+
+    def shared(self) -> dict:
+        """Plain fields for a broadcast: executors need not have this package to read them."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     def for_queries(self, query_ids: list) -> KeywordMatrix:
         """The same slots with one column per given query (0 for unknown ones)."""
@@ -52,10 +60,7 @@ class KeywordMatrix:
         """BM25 of every list of terms (row) for every query (column), with the documents' lengths;
         0 where nothing matches."""
         n, n_slots = len(tokens), len(self.weights)
-        size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        found = pa.compute.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string()))
-        term = found.fill_null(-1).to_numpy(zero_copy_only=False)
-        row, term = np.repeat(np.arange(n), size)[term >= 0], term[term >= 0]
+        row, term = self.scan.occurrences(tokens)
         copies = self.count[term]
         inside = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
         slot = self.slots[np.repeat(self.first[term], copies) + inside]
@@ -85,8 +90,7 @@ def keyword_matrix(side: QuerySide, k1: float = K.BM25_K1, b: float = K.BM25_B)
         pairs = sorted((r["term"], slots[r["slot"]]) for r in side.members.collect() if r["slot"] in slots)
     terms, first, count = np.unique([t for t, _ in pairs], return_index=True, return_counts=True)
     return KeywordMatrix(
-        list(ids), weights, terms.tolist(), first, count, np.array([i for _, i in pairs]), rows[0]["avgdl"], k1, b,
-        side.lengths,
+        list(ids), weights, terms.tolist(), first, count, np.array([i for _, i in pairs]), rows[0]["avgdl"], k1, b
     )
 
 
@@ -114,8 +118,7 @@ def bm25_top(
     else:
         schema = found_schema(queries, docs, "doc_id", "kw")
         arrow = to_arrow_schema(schema)
-        # Plain fields: executors need not have this package to read them.
-        shared = docs.sparkSession.sparkContext.broadcast(vars(matrix))
+        shared = docs.sparkSession.sparkContext.broadcast(matrix.shared())
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = KeywordMatrix(**shared.value)
@@ -128,7 +131,7 @@ def bm25_top(
                     best.add(kept, ids.to_numpy(zero_copy_only=False))
             yield from best.batches(arrow)
 
-        scored = doc_tokens(docs if among is None else among, field, analyzer, side.lengths)
+        scored = doc_tokens(docs if among is None else among, field, analyzer)
         found = scored.select("doc_id", "toks", F.greatest("dl", F.lit(0)).alias("dl")).mapInArrow(search, schema)
     return top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], k, "doc_id")
 
@@ -152,7 +155,7 @@ def match_totals(
     if matrix is None:
         found = bm25_match(docs, queries, field=field, analyzer=analyzer, synonyms=synonyms, among=among, side=side)
         return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    shared = docs.sparkSession.sparkContext.broadcast(vars(matrix))
+    shared = docs.sparkSession.sparkContext.broadcast(matrix.shared())
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("total", T.LongType())])
     arrow = to_arrow_schema(schema)
 
@@ -165,6 +168,6 @@ def match_totals(
                 total += (m.scores(toks, dl.to_numpy()) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(m.query_ids, arrow[0].type), pa.array(total, arrow[1].type)], schema=arrow)
 
-    scored = doc_tokens(docs if among is None else among, field, analyzer, side.lengths)
+    scored = doc_tokens(docs if among is None else among, field, analyzer)
     counted = scored.select("toks", F.greatest("dl", F.lit(0)).alias("dl")).mapInArrow(count, schema)
     return counted.groupBy("query_id").agg(F.sum("total").alias("total"))

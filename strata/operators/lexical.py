@@ -9,8 +9,11 @@ all; otherwise :func:`by_document` shuffles it once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,11 @@ from strata import constants as K
 from strata.functions import score as S
 from strata.functions.text import tokens
 from strata.functions.vector import keep
+from strata.operators.term_scan import GAP, TermScan
 from strata.sizing import fits, hint_if, measure, shuffle_width
+from strata.storage import settle
 
 _ALL_DOCS = ""  # pseudo-term that every document has once; tokens are never empty
-GAP = "\x1f"  # between the tokens of a sequence that counts as one term; white space, so in no token
 
 
 def by_document(corpus: DataFrame) -> DataFrame:
@@ -226,7 +230,7 @@ def synonym_members(rules: DataFrame, analyzer: str = "standard") -> DataFrame:
 
 def synonym_lookup(rules: DataFrame, analyzer: str = "standard") -> Rules:
     """The rules with the lengths of their terms (a few small numbers)."""
-    members = synonym_members(rules, analyzer)
+    members = settle(synonym_members(rules, analyzer))  # read by several steps
     both = members.select(F.explode(F.array("term", "member")).alias("t"))
     lengths = both.select(F.size(F.split("t", GAP)).alias("n")).distinct().collect()
     return Rules(members, tuple(sorted(r["n"] for r in lengths)))
@@ -246,6 +250,30 @@ def expand_synonyms(slots: DataFrame, rules: Rules) -> DataFrame:
 # --- BM25 -------------------------------------------------------------------
 
 
+def term_counts(docs: DataFrame, terms: list[str], field: str = "text", analyzer: str = "standard") -> DataFrame:
+    """(term, df, total_dl) of the given terms, and of the pseudo-term of all documents with tokens.
+    A task looks them up in its batches and gives out a row per term."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = shared.value
+        scan = TermScan(named)
+        df, docs_seen, tokens_seen = np.zeros(len(named), np.int64), 0, 0
+        for batch in batches:
+            row, term = scan.occurrences(batch.column(0))
+            df += np.bincount(np.unique(row * len(named) + term) % len(named), minlength=len(named)) if len(row) else 0
+            sizes = batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            docs_seen, tokens_seen = docs_seen + int((sizes > 0).sum()), tokens_seen + int(sizes.sum())
+        seen = np.flatnonzero(df)
+        columns = [[named[i] for i in seen] + [_ALL_DOCS], [*df[seen].tolist(), docs_seen], [0] * len(seen) + [tokens_seen]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "df", "total_dl"]
+        )
+
+    found = doc_tokens(docs, field, analyzer).select("toks").mapInArrow(count, "term string, df long, total_dl long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_dl").alias("total_dl")).filter("df > 0")
+
+
 def slot_stats(
     docs: DataFrame,
     members: DataFrame,
@@ -260,12 +288,13 @@ def slot_stats(
     documents and their total length come in the same pass as one pseudo-term.
     """
     looked_up = members.withColumn("term", F.explode(F.array("term", F.lit(_ALL_DOCS))))
-    once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
-    seen = doc_tokens(docs, field, analyzer, lengths).select("dl", F.explode_outer(once).alias("term"))
-    sums = [F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl")]
     if small:
-        stats = seen.join(F.broadcast(looked_up.select("term")), "term", "left_semi").groupBy("term").agg(*sums)
+        terms = sorted(r["term"] for r in members.select("term").distinct().collect())  # measured
+        stats = term_counts(docs, terms, field, analyzer)
     else:  # first the sums, so that a term of all documents meets the query terms as one row
+        once = F.when(F.col("dl") > 0, F.array_append(F.array_distinct("toks"), F.lit(_ALL_DOCS)))
+        seen = doc_tokens(docs, field, analyzer, lengths).select("dl", F.explode_outer(once).alias("term"))
+        sums = [F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_dl")]
         stats = seen.filter("term is not null").groupBy("term").agg(*sums)
     word = F.col("term") != _ALL_DOCS
     by_slot = (
@@ -332,7 +361,9 @@ def query_side(
     if rules is None:
         members, lengths = slots.withColumn("term", F.col("slot")), ()
     else:
-        members, lengths = expand_synonyms(slots, rules), tuple(n for n in rules.lengths if n > 1)
+        terms = settle(terms)
+        members = settle(expand_synonyms(terms.select("slot").distinct(), rules))
+        lengths = tuple(n for n in rules.lengths if n > 1)
     if small is None:
         # Raw tokens bound the terms and need no shuffle to measure.
         small = fits(docs.sparkSession, measure(query_tokens(queries, analyzer)), copies=4)
@@ -354,8 +385,9 @@ def indexed_side(index: Index, queries: DataFrame, analyzer: str = "standard", s
     if missing:
         raise ValueError(f"the rules have terms of {missing} tokens, which the index does not hold: build it with lengths={missing}")
     terms = query_terms(queries, analyzer, rules)
+    terms = terms if rules is None else settle(terms)
     slots = terms.select("slot").distinct()
-    members = slots.withColumn("term", F.col("slot")) if rules is None else expand_synonyms(slots, rules)
+    members = slots.withColumn("term", F.col("slot")) if rules is None else settle(expand_synonyms(slots, rules))
     small = fits(spark, measure(members), copies=4)
     if index.totals is None:
         docs, length = index.doc_len.filter("dl > 0").agg(F.count(F.lit(1)), F.avg("dl")).first()

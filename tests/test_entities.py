@@ -35,13 +35,31 @@ def test_profiles_both_ways(spark, monkeypatch):
     names = spark.createDataFrame([(n,) for n in NAMES], "character string")
     for limit in (90, 100_000):
         want = loop_profiles(rows, limit)
-        for scan in (500, 0):
-            monkeypatch.setattr(EN, "_SCAN_NAMES", scan)
-            monkeypatch.setattr(EN.mentions, "__defaults__", (scan,))
+        for small in (True, False):
+            monkeypatch.setattr(EN.mentions, "__defaults__", (small,))
             got = {r.character: r.profile_text for r in EN.entity_profiles(docs, names, limit).collect()}
             assert got == want
 
 
+def test_names_in_texts_for_short_and_long_lists(spark):
+    """Ten, five hundred and fifty thousand names; many overlap, some lie inside others."""
+    rows, docs = corpus(spark)
+    rng = random.Random(8)
+    for n in (10, 500, 50_000):
+        names = {"".join(rng.choice("刘备张飞关ab,xyz") for _ in range(rng.randint(1, 6))) for _ in range(n)}
+        table = spark.createDataFrame([(x,) for x in [*names, None]], "character string")
+        got = {(r.doc_id, r.character) for r in EN.mentions(docs, table).collect()}
+        texts = [(d, t) for d, t, *_ in rows]
+        pieces = {d: {t[i : i + k] for k in range(1, 7) for i in range(len(t) - k + 1)} for d, t in texts}
+        assert got == {(d, x) for d in pieces for x in pieces[d] & names}
+
+
+def test_automaton_cases():
+    found = EN.NameAutomaton(["he", "she", "hers", "a b", "é", ""]).names_in
+    assert found("ushers a b") == ["", "a b", "he", "hers", "she"] and found("") == [""]
+    assert EN.NameAutomaton([]).names_in("text") == []
+
+
 def test_cooccurring_names(spark):
     hits = spark.createDataFrame(
         [(1, "ab q", 1, "Ab cd ef ef x"), (1, "ab q", 2, "ef cd zz"), (1, "ab q", 13, "cd")],
