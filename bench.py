@@ -41,6 +41,8 @@ HEADLINE = [
     "hit_counts",
     "knn_approx",
     "corpus_table",
+    "bm25_upserted",
+    "embed_lsa",
     "ingest_stream",
 ]
 
