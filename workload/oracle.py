@@ -604,3 +604,21 @@ ORACLE["knn_approx_filtered"] = ORACLE["knn_filtered"]
 ORACLE["hybrid_rrf_approx"] = ORACLE["hybrid_rrf"]
 ORACLE["bm25_indexed_synonyms"] = ORACLE["bm25_synonyms"]
 ORACLE["bm25_upserted"] = f"WITH corpus AS ({UPSERT}), {QUERIES}, {BM} {BM_TOP}"
+ORACLE["discovered_terms"] = f"""WITH t AS (SELECT {tok("coalesce(text, '')")} AS w FROM documents),
+g AS (
+  SELECT n, array_to_string(w[i : i + n - 1], ' ') AS run, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS l,
+    CASE WHEN i + n <= len(w) THEN w[i + n] ELSE '' END AS r
+  FROM (SELECT w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM t, (VALUES (1), (2), (3)) ns(n) WHERE len(w) >= n)),
+c AS (SELECT n, run, count(*) AS c, ln(count(*) / sum(count(*)) OVER (PARTITION BY n)) AS p FROM g GROUP BY n, run),
+f AS (SELECT n, run, c, p, string_split(run, ' ') AS w FROM c WHERE n > 1 AND c >= 10),
+cuts AS (SELECT *, unnest(generate_series(1, n - 1)) AS k FROM f),
+coh AS (
+  SELECT cuts.n, cuts.run, cuts.c, round(min(cuts.p - a.p - b.p), 6) AS cohesion FROM cuts
+  JOIN c a ON a.run = array_to_string(w[1 : k], ' ') JOIN c b ON b.run = array_to_string(w[k + 1 : cuts.n], ' ')
+  GROUP BY 1, 2, 3 HAVING cohesion >= 1.0),
+le AS (SELECT run, round(greatest(0.0, ln(sum(c)) - sum(c * ln(c)) / sum(c)), 6) AS e
+  FROM (SELECT run, l, count(*) AS c FROM g WHERE n > 1 GROUP BY run, l) GROUP BY run),
+re AS (SELECT run, round(greatest(0.0, ln(sum(c)) - sum(c * ln(c)) / sum(c)), 6) AS e
+  FROM (SELECT run, r, count(*) AS c FROM g WHERE n > 1 GROUP BY run, r) GROUP BY run)
+SELECT run AS term, n AS n_tokens, c AS count, cohesion, le.e AS left_entropy, re.e AS right_entropy
+FROM coh JOIN le USING (run) JOIN re USING (run) WHERE le.e >= 1.0 AND re.e >= 1.0"""

@@ -13,6 +13,7 @@ from strata.functions.score import auto_rerank
 from strata.functions.vector import l2_normalize
 from strata.operators import context as C
 from strata.operators import corpus as A
+from strata.operators import discovery as DI
 from strata.operators import entities as EN
 from strata.operators import hits as H
 from strata.operators import index_batches as IB
@@ -772,6 +773,12 @@ def _model(spark: SparkSession, sf_dir: str):
     return WD.train_word2vec(docs)
 
 
+@query
+def discovered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 without a list: terms of two and three tokens that the documents propose."""
+    return DI.discover_terms(T.table(spark, sf_dir, "documents"))
+
+
 @query
 def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the vocabulary and the width of its vectors, stored and loaded."""
