@@ -622,3 +622,4 @@ re AS (SELECT run, round(greatest(0.0, ln(sum(c)) - sum(c * ln(c)) / sum(c)), 6)
   FROM (SELECT run, r, count(*) AS c FROM g WHERE n > 1 GROUP BY run, r) GROUP BY run)
 SELECT run AS term, n AS n_tokens, c AS count, cohesion, le.e AS left_entropy, re.e AS right_entropy
 FROM coh JOIN le USING (run) JOIN re USING (run) WHERE le.e >= 1.0 AND re.e >= 1.0"""
+ORACLE["ingest_indexed"] = ORACLE["bm25_upserted"]

@@ -811,3 +811,19 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = G.ingest_stream(spark, f"{base}/in", f"{base}/log", f"{base}/state", available_now=True)
         stream.awaitTermination()
     return G.read_latest(spark, f"{base}/log").select("doc_id", "text")
+
+
+@query
+def ingest_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 with D1: the index follows the stream, batch by batch, and is searched."""
+    base = fresh_dir(spark, "stream")
+    log = _ingest_log(spark, sf_dir)
+    for no in range(3):
+        sinks.write_jsonl(log.filter(F.col("batch") == no).select("doc_id", "text"), f"{base}/in", mode="append")
+        stream = G.ingest_stream(
+            spark, f"{base}/in", f"{base}/log", f"{base}/state", available_now=True, index=f"{base}/index"
+        )
+        stream.awaitTermination()
+    matches = L.bm25_match(None, T.queries(spark, sf_dir), index=IB.open_index(spark, f"{base}/index"))
+    best = N.top_k(matches, "query_id", [F.col("kw").desc(), F.col("doc_id")], 10, "doc_id")
+    return best.select("query_id", "doc_id", "rank", F.col("kw").alias("score"))
