@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from strata.llm.arrow_groups import runs
 from strata.llm.components import roots
 from strata.llm.shingles import WordHashes, mixed, shingle_set, words_of
-from strata.llm.tables import bound_batches, column, growing, remove, sized, written
+from strata.llm.tables import bound_batches, column, free_names, growing, remove, sized, written
 
 COORDS = 64
 SHINGLE = 5
@@ -324,7 +324,24 @@ def near_groups(
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that name their component, all columns kept."""
-    groups = near_groups(docs, percent, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"))
-    groups = written(groups.distinct(), "near-kept")
-    return docs.join(growing(groups), column(docs, id_col).eqNullSafe(groups["_id"]), "left_semi")
+    """One row of each component, that of the smallest id, all columns kept.
+
+    Rows are told apart by id and text, so near copies that repeat an id leave one row as well, and of rows
+    with the same id and text one stays. Rows without words are linked with nothing: all of them stay.
+    """
+    code = F.xxhash64(column(docs, text_col).cast("string"))
+    name = F.struct(column(docs, id_col).isNull().alias("none"), column(docs, id_col).alias("id"), code.alias("hash"))
+    keyed = docs.select(name.alias("key"), column(docs, text_col).cast("string").alias("text"))
+    kept = near_groups(keyed, percent, "key", "text", **options).filter("kept").groupBy("doc_id")
+    kept = kept.agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    kept = written(kept.select(F.col("doc_id.id").alias("id"), F.col("doc_id.hash").alias("hash"), "n", "n_shingles"), "near-kept")
+
+    def rows_of(groups: DataFrame) -> DataFrame:
+        return docs.join(growing(groups), column(docs, id_col).eqNullSafe(groups["id"]) & (code == groups["hash"]), "left_semi")
+
+    repeated = (F.col("n") > 1) & (F.col("n_shingles") > 0)
+    if not kept.filter(repeated).limit(1).count():
+        return rows_of(kept)
+    (hashed,) = free_names(docs, "hash")
+    one = rows_of(kept.filter(repeated)).withColumn(hashed, code).dropDuplicates([id_col, hashed]).drop(hashed)
+    return rows_of(kept.filter(~repeated)).unionByName(one)

@@ -8,7 +8,8 @@ tasks need no common table and every script is covered.
 
 Bundling is linear: training adds up trigram counts in each task and binds them once; only one
 vector per language and task is aggregated. Texts are multiplied in batches of bounded size; a
-longer text goes in pieces cut at white space, whose vectors add up to that of the whole.
+longer text goes in pieces cut at white space, whose vectors add up to that of the whole. Trigrams
+are bound `SLICE` at a time, so memory does not grow with the number of distinct ones.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without any training text all
 are; languages that tie are taken in code point order; a null language is not learnt from; repeated
@@ -32,6 +33,7 @@ SEED = 7
 PIECE_CHARS = 1 << 19
 BATCH_CHARS = 1 << 20
 BATCH_TEXTS = 512
+SLICE = 1 << 14
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 
@@ -61,12 +63,12 @@ def pieces(text: str) -> list[str]:
     return out + [text[start:]]
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams (rows of three code points) and their counts, a row per text."""
+def trigrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams (rows of three code points), and the text and the trigram's number of every place."""
     low = [t.lower() for t in texts]
     codes = np.frombuffer("\0".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
-        return np.zeros((0, 3), np.uint32), np.zeros((len(texts), 0))
+        return np.zeros((0, 3), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     present = np.flatnonzero(np.bincount(codes))
     letters = np.array([c for c in present.tolist() if chr(c).isalpha()], np.int64)
     number = np.zeros(int(present[-1]) + 1, np.int64)
@@ -85,10 +87,9 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         distinct = distinct if len(at) else distinct[:0]
     else:
         distinct, place = np.unique(trigrams, return_inverse=True)
-    counts = np.bincount(owner * len(distinct) + place, minlength=len(texts) * len(distinct))
     parts = np.concatenate([[0], letters])
     triples = np.stack([parts[distinct // (base * base)], parts[distinct // base % base], parts[distinct % base]], axis=1)
-    return triples, counts.reshape(len(texts), len(distinct))
+    return triples, owner, place
 
 
 def bound(triples: np.ndarray, letters: Letters) -> np.ndarray:
@@ -96,8 +97,24 @@ def bound(triples: np.ndarray, letters: Letters) -> np.ndarray:
     out = np.ones((len(triples), letters.dims), np.int8)
     for place in range(3):
         codes, which = np.unique(triples[:, place], return_inverse=True)
-        vectors = np.stack([np.roll(letters[int(c)], 2 - place) for c in codes]) if len(codes) else out
-        out *= vectors[which]
+        vectors = np.stack([letters[int(c)] for c in codes]) if len(codes) else out
+        out *= np.roll(vectors, 2 - place, axis=1)[which]
+    return out
+
+
+def bundles(texts: list[str], rows: np.ndarray, n_rows: int, letters: Letters, kind: type) -> np.ndarray:
+    """The sum of the trigrams' vectors over the texts of each row."""
+    triples, owner, place = trigrams_of(texts)
+    owner = rows[owner]
+    out = np.zeros((n_rows, letters.dims), kind)
+    if len(triples) > SLICE:
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+    for start in range(0, len(triples), SLICE):
+        size = min(SLICE, len(triples) - start)
+        low, high = (0, len(place)) if size == len(triples) else np.searchsorted(place, [start, start + size])
+        counts = np.bincount(owner[low:high] * size + place[low:high] - start, minlength=n_rows * size)
+        out += counts.reshape(n_rows, size).astype(kind) @ bound(triples[start : start + size], letters).astype(kind)
     return out
 
 
@@ -128,11 +145,9 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", di
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lines, parts in _batches(batch.column("text").to_pylist()):
-                triples, counts = trigram_counts(parts)
                 names = sorted({langs[i] for i in lines})
-                member = np.array([[langs[i] == name for i in lines] for name in names], float)
-                vectors = (member @ counts) @ bound(triples, letters).astype(np.float64)
-                for name, vector in zip(names, vectors):
+                rows = np.array([names.index(langs[i]) for i in lines])
+                for name, vector in zip(names, bundles(parts, rows, len(names), letters, np.float64)):
                     sums[name] = sums.get(name, 0) + vector
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
@@ -175,8 +190,7 @@ def identify(
                         best[line], scores[line] = names[first], min(max(float(cosines[first]), 0.0), 1.0)
 
             for lines, parts in _batches(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
-                triples, counts = trigram_counts(parts)
-                made = counts.astype(np.float32) @ bound(triples, letters).astype(np.float32)
+                made = bundles(parts, np.arange(len(parts)), len(parts), letters, np.float32)
                 settle([line for line in vectors if line < lines[0]])
                 for line, vector in zip(lines, made):
                     vectors[line] = vectors[line] + vector if line in vectors else vector.astype(np.float64)

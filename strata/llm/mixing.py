@@ -12,7 +12,7 @@ many tasks, and only (partition, source) counts meet.
 
 Cases: null and empty texts have size 0 and take 0 words; a null source is the last source; a
 source of size 0 has target 0 and no copies; repeated rows are documents of their own; an empty
-table gives an empty result. Added columns replace columns of the same name.
+table gives an empty result; `copy` replaces a column of that name, all other columns are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strata.llm.tables import WORD, column, text_of, written
+from strata.llm.tables import WORD, column, free_names, text_of, written
 from strata.sizing import shuffle_width
 
 CYCLE = 3
@@ -115,22 +115,22 @@ def mixed_words(docs: DataFrame, **columns: str) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document once per integer crossed, numbered by ``copy`` from 0."""
     found = systematic_copies(docs, id_col, text_col, source_col)
-    plan = found.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")
+    own = free_names(docs, "id", "size", "source", "rows", "copies", "share")
+    name, size, source, rows, copies, shared = own
+    plan = found.groupBy(F.col("doc_id").alias(name), F.col("size").alias(size), F.col("source").alias(source)).agg(
+        F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)
     )
-    plan = written(plan.filter("_copies > 0"), "mix-copies")
+    plan = written(plan.filter(F.col(copies) > 0), "mix-copies")
     same = (
-        column(docs, id_col).eqNullSafe(plan["_id"])
-        & (n_words(text_of(docs, text_col)) == plan["_size"])
-        & column(docs, source_col).cast("string").eqNullSafe(plan["_source"])
+        column(docs, id_col).eqNullSafe(plan[name])
+        & (n_words(text_of(docs, text_col)) == plan[size])
+        & column(docs, source_col).cast("string").eqNullSafe(plan[source])
     )
     joined = docs.drop("copy").join(plan, same)
     turn = F.lit(1)
-    if plan.filter("_rows > 1").limit(1).count():  # rows that repeat id, size and source share the copies
-        order = W.partitionBy("_id", "_size", "_source").orderBy(F.xxhash64(text_of(docs, text_col)))
+    if plan.filter(F.col(rows) > 1).limit(1).count():  # rows that repeat id, size and source share the copies
+        order = W.partitionBy(name, size, source).orderBy(F.xxhash64(text_of(docs, text_col)))
         turn = F.row_number().over(order)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    kept = joined.withColumn("_share", share.cast("int")).filter("_share > 0")
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_share") - 1))).drop(
-        "_id", "_size", "_source", "_rows", "_copies", "_share"
-    )
+    share = F.floor(F.col(copies) / F.col(rows)) + F.when(turn <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    kept = joined.withColumn(shared, share.cast("int")).filter(F.col(shared) > 0)
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(shared) - 1))).drop(*own)

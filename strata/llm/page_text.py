@@ -39,15 +39,20 @@ SIBLING = 0.7
 CONTAINER = 0.35
 MOST_COST = 8.0
 
+#: An attribute by the states of the HTML standard: name, value in either quotes or none. A quote that is never closed
+#: belongs to an unquoted value.
+_VALUE = r"\s*+=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>]*+)"
+_ATTRS = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|button|option|audio|video|canvas)\b"
-    r"[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|button|option|audio|video|canvas)"
+    rf"(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>]){_ATTRS}>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)({_VALUE})?+")
+_NAMING = frozenset(["class", "id", "role"])
 _PARTS = re.compile(r"[a-z]+")
 
 INLINE = frozenset(
@@ -91,8 +96,10 @@ def _declared(tag: str, attrs: str, outer: int) -> int:
     if tag == "header" and outer & 1:  # an article's own heading is part of it
         state = outer
     if attrs and "=" in attrs:
-        for match in _NAMES.finditer(attrs):
-            names = set(_PARTS.findall((match[1] or match[2] or match[3] or "").lower()))
+        for name, value in _ATTR.findall(attrs):
+            if name.lower().rpartition("-")[2] not in _NAMING:
+                continue
+            names = set(_PARTS.findall(value.lower()))
             if names & AGAINST and tag not in ("body", "html"):
                 state |= 64
             if names & FOR:

@@ -7,14 +7,16 @@ Entities found in a text are replaced by keyed surrogates of their own kind:
   form. Check digits stay right (or wrong) as they were, country codes and the fictional exchange
   555 stay, domains move under a reserved one. Punctuation, grouping and case are the original's.
 * a name keeps its script, length class and case; a given name keeps its gender (by title, or by a
-  list of given names). Given name and family name are entities of their own, so "Ms Lopez" stays
+  list of given names; where a mention tells no gender, the one that the name has elsewhere in the corpus, if
+  it is only one). Given name and family name are entities of their own, so "Ms Lopez" stays
   the person that "Maria Lopez" is. One line end may stand inside a name. A name that was found
   is replaced wherever its text has it as a word, title or not.
 
 Equal entities have equal surrogates in all documents (coreference). For distinctness the distinct
 entities are gathered by an aggregate and checked: a surrogate that two entities share, or that is
 itself an entity of the corpus, goes to the entity with the lowest hash only (or to none), and the
-others try again with the next attempt number, until none is left. A permutation has no two equal
+others try again with the next attempt number, until none is left (after `MAX_ATTEMPTS` rounds the job fails, no
+colliding surrogate is given out). Given and family names of a script draw from one set. A permutation has no two equal
 results in the same attempt, so retries are few; a shape whose entities fill a sixteenth of all
 strings of it stays with the first attempt, which is free of collisions.
 
@@ -36,11 +38,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.tables import bound_batches, column, map_arrow, remove, written
+from strata.llm.tables import bound_batches, column, free_names, map_arrow, remove, written
 from strata.sizing import fits, measure
 
 ROUNDS = 8
@@ -429,11 +431,13 @@ def spelled(kind: str, original: str, value: str) -> str:
     return value
 
 
-def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, dict[str, int]]:
-    """The text with surrogates, and the number of entities by kind."""
+def rewrite(text: str, key: bytes, settled: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, dict[str, int]]:
+    """The text with surrogates, and the number of entities by kind. `settled` tells the kind and attempt of those
+    entities that take another kind than the mention's, or not the first attempt."""
     out, at, counts = [], 0, {}
     for f in find(text):
-        made = surrogate(f.kind, f.value, key, attempts.get((f.kind, f.value), 0))
+        kind, attempt = settled.get((f.kind, f.value), (f.kind, 0))
+        made = surrogate(kind, f.value, key, attempt)
         out += [text[at : f.start], spelled(f.kind, text[f.start : f.end], made)]
         at = f.end
         name = f.kind.partition("-")[0]
@@ -477,31 +481,47 @@ def _tried(todo: DataFrame, key: bytes, attempt: int) -> DataFrame:
     return todo.select("kind", "value").mapInArrow(make, schema)
 
 
+def told_genders(known: DataFrame) -> DataFrame:
+    """(``kind``, ``value``, ``used``): given names of a mention without gender, and the kind of the one gender that
+    the name has elsewhere."""
+    parts = F.split("kind", "-")
+    given = known.filter(F.col("kind").startswith("given-")).select("value", parts[1].alias("gender"), parts[2].alias("script"))
+    by_name = given.groupBy("value", "script").agg(*[F.max(F.col("gender") == g).alias(g) for g in "fmu"])
+    told = by_name.filter(F.col("u") & (F.col("f") != F.col("m")))
+    used = F.concat(F.when(F.col("f"), "given-f-").otherwise("given-m-"), "script")
+    return told.select(F.concat(F.lit("given-u-"), "script").alias("kind"), "value", used.alias("used"))
+
+
+def _drawn_from() -> Column:
+    """The set that an entity's surrogate must be distinct in: its kind, or all names of its script."""
+    return F.when(F.col("kind").contains("-"), F.concat(F.lit("name-"), F.substring_index("kind", "-", -1))).otherwise(F.col("kind"))
+
+
 def later_attempts(known: DataFrame, key: bytes, make=_tried) -> DataFrame:
     """(``kind``, ``value``, ``attempt``) of the entities whose first surrogate is not theirs alone."""
-    taken = written(make(known, key, 0), "pii-taken")
+    taken = written(make(known, key, 0).withColumn("pool", _drawn_from()), "pii-taken")
+    real = known.select(_drawn_from().alias("pool"), F.col("value").alias("made"))
     crowd = taken.groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("room").alias("room"))
     full = written(crowd.filter(F.col("n") * FULL > F.col("room")).select("kind", "shape"), "pii-full")
     free = taken.join(full, ["kind", "shape"], "left_anti")
     fixed = taken.join(full, ["kind", "shape"], "left_semi")
     settled_parts = [written(fixed, "pii-settled")]
     todo, attempt = written(free, "pii-todo"), 0
-    while attempt < MAX_ATTEMPTS:
-        real = known.select("kind", F.col("value").alias("made"))
-        fresh = todo.join(real, ["kind", "made"], "left_anti")
+    while True:
+        fresh = todo.join(real, ["pool", "made"], "left_anti")
         for part in settled_parts:
-            fresh = fresh.join(part.select("kind", "made"), ["kind", "made"], "left_anti")
-        first = fresh.groupBy("kind", "made").agg(F.min(F.struct(F.xxhash64("value").alias("h"), "value")).alias("first"))
-        winners = written(
-            first.select("kind", F.col("first.value").alias("value"), "made").withColumn("attempt", F.lit(attempt)), "pii-settled"
-        )
+            fresh = fresh.join(part.select("pool", "made"), ["pool", "made"], "left_anti")
+        first = fresh.groupBy("pool", "made").agg(F.min(F.struct(F.xxhash64("value").alias("h"), "value", "kind")).alias("first"))
+        winners = written(first.select("pool", "first.kind", "first.value", "made").withColumn("attempt", F.lit(attempt)), "pii-settled")
         settled_parts.append(winners)
         losers = written(todo.join(winners, ["kind", "value"], "left_anti").select("kind", "value"), "pii-losers")
         remove(todo)
         if not losers.limit(1).count():
             break
         attempt += 1
-        todo = written(make(losers, key, attempt), "pii-todo")
+        if attempt >= MAX_ATTEMPTS:
+            raise RuntimeError(f"entities without a surrogate of their own after {attempt} attempts: {losers.take(5)}")
+        todo = written(make(losers, key, attempt).withColumn("pool", _drawn_from()), "pii-todo")
     late = settled_parts[1].select("kind", "value", "attempt")
     for part in settled_parts[2:]:
         late = late.unionByName(part.select("kind", "value", "attempt"))
@@ -516,8 +536,12 @@ def with_surrogates(
     `broadcast` says how the later attempts come to the texts; by default their size decides.
     """
     known = written(entities(docs, text_col), "pii-entities")
-    late = later_attempts(known, key, make)
-    remove(known)
+    told = written(told_genders(known), "pii-told")
+    settled = written(known.join(told.select("kind", "value"), ["kind", "value"], "left_anti"), "pii-own")
+    attempts = later_attempts(settled, key, make).select(F.col("kind").alias("used"), "value", "attempt")
+    others = told.join(attempts, ["used", "value"], "left").select("kind", "value", "used", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    late = written(attempts.select(F.col("used").alias("kind"), "value", "used", "attempt").unionByName(others), "pii-late")
+    remove(known, settled)
     kept = docs.drop("entities")
     schema = T.StructType([*kept.schema.fields, T.StructField("entities", T.MapType(T.StringType(), T.LongType()))])
     if broadcast is None:
@@ -537,8 +561,7 @@ def with_surrogates(
         return pa.RecordBatch.from_arrays([*columns, made], [f.name for f in schema.fields])
 
     if broadcast:
-        attempts = {(r["kind"], r["value"]): r["attempt"] for r in late.collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(attempts)
+        shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): (r["used"], r["attempt"]) for r in late.collect()})
 
         def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -546,7 +569,7 @@ def with_surrogates(
 
         return map_arrow(kept, replace, schema)
 
-    hashed = "_text_hash"
+    hashed, looked_up = free_names(kept, "hash", "late")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -560,13 +583,14 @@ def with_surrogates(
 
     text = column(kept, text_col).cast("string")
     places = kept.select(F.xxhash64(text).alias("h"), text.alias("t")).filter("t is not null").mapInArrow(gather, "h long, kind string, value string")
-    needed = places.join(late, ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_late"))
+    needed = places.join(late, ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "used", "attempt")).alias(looked_up))
     needed = written(needed.withColumnRenamed("h", hashed), "pii-needed")
     joined = kept.join(needed, F.xxhash64(text) == needed[hashed], "left").drop(hashed)
 
     def replace_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [{(e["kind"], e["value"]): e["attempt"] for e in found or []} for found in batch.column("_late").to_pylist()]
+            found = batch.column(batch.num_columns - 1).to_pylist()
+            tables = [{(e["kind"], e["value"]): (e["used"], e["attempt"]) for e in row or []} for row in found]
             yield renew(batch, tables)
 
     return map_arrow(joined, replace_joined, schema)

@@ -166,6 +166,30 @@ def test_stages_against_brute_force(spark):
     assert set(mixed.columns) == {*start.columns, "copy"} and mixed.filter(F.col("copy") > 2).count() == 0
 
 
+CLASHES = "_id _sha _hash _size _source _rows _copies _share _late _text_hash lang_pred score key hash rep cls comp copies none".split()
+
+
+def test_stages_keep_extra_columns(spark):
+    start = docs(spark, EDGE).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, start, SF), "test-stage")
+        assert set(out.columns) == {*start.columns, *(["copy"] if name == "mixing" else [])}
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            of = "-" if r.doc_id is None else str(r.doc_id)
+            assert [r[c] for c in CLASHES] == [f"{c} of {of}" for c in CLASHES], name
+        start = out
+
+
+def test_near_copies_that_repeat_an_id_leave_one_row(spark):
+    rows = [(1, PASSAGE, "en", "a"), (1, PASSAGE + " and then", "en", "a"), (1, PASSAGE, "en", "b"), (1, "quite another text about the sea and boats", "en", "a")]
+    rows += [(2, PASSAGE + " and", "en", "a"), (3, None, "en", "a"), (3, None, "en", "a"), (3, "", "en", "a")]
+    kept = chosen_path.one_of_each(docs(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 1, 3, 3, 3]
+    assert sum((r.text or "").startswith("quite") for r in kept) == 1
+
+
 def test_texts_in_no_learnt_language_go(spark):
     rng = random.Random(4)
     strange = []

@@ -106,12 +106,14 @@ def test_targets_and_copies(spark):
 
 
 def test_mix_emits_a_row_per_copy(spark):
-    table = docs(spark, EDGE)
+    own = ["_id", "_share", "_size", "_source", "_copies", "_rows", "id", "rows", "share", "copies"]
+    table = docs(spark, EDGE).withColumns({c: F.lit(c) for c in own})
     plan = Counter()
     for r in mixing.systematic_copies(table).collect():
         plan[r.doc_id, r.size] += r.copies
     mixed = mixing.mix(table)
     assert mixed.columns == [*table.columns, "copy"]
+    assert {tuple(r) for r in mixed.select(own).collect()} == {tuple(own)}
     assert Counter((r.doc_id, size_of(r.text)) for r in mixed.collect()) == Counter({k: v for k, v in plan.items() if v})
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed_words(docs(spark, [])).count() == 0
 

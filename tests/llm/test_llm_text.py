@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -74,7 +75,7 @@ def narrow(todo, key, attempt):
 
 def test_collisions_are_settled_and_both_ways_agree(spark):
     rows = EDGE + [(100 + i, f"host 10.0.{i % 60}.7 and 10.0.3.7", "en", "a") for i in range(200)]
-    frame = docs(spark, rows).withColumn("entities", F.lit("clash"))
+    frame = docs(spark, rows).withColumn("entities", F.lit("clash")).withColumns({c: F.lit(c) for c in ("hash", "late", "_late", "_text_hash")})
     known = surrogates.entities(frame)
     late = surrogates.later_attempts(known, KEY, narrow)
     given_to = {(r.kind, r.value): r.attempt for r in late.collect()}
@@ -84,7 +85,9 @@ def test_collisions_are_settled_and_both_ways_agree(spark):
         made[attempt, spark.range(1).select(F.pmod(F.xxhash64(F.lit(r.value)), F.lit(8))).first()[0]] += 1
     assert len(made) == 60 and max(made.values()) == 1 and given_to
     one, other = (surrogates.with_surrogates(frame, KEY, broadcast=b, make=narrow) for b in (True, False))
-    assert one.columns == other.columns == [*docs(spark, []).columns, "entities"]
+    extra = ["hash", "late", "_late", "_text_hash"]
+    assert one.columns == other.columns == [*docs(spark, []).columns, *extra, "entities"]
+    assert {tuple(r) for x in (one, other) for r in x.select(extra).collect()} == {tuple(extra)}
     texts = [Counter((r.doc_id, r.text) for r in x.collect()) for x in (one, other)]
     assert texts[0] == texts[1]
     unchanged = {(i, t) for i, t, *_ in EDGE}
@@ -92,6 +95,47 @@ def test_collisions_are_settled_and_both_ways_agree(spark):
     assert surrogates.with_surrogates(docs(spark, []), KEY).count() == 0
 
 
+def test_a_name_has_one_surrogate_whatever_its_title_tells(spark):
+    rows = [(1, "Dr Alex Kim spoke.", "en", "a"), (2, "Mr Alex Kim spoke.", "en", "a"), (3, "Dr Robin Kim spoke.", "en", "a")]
+    rows += [(4, "Ms Robin Fox spoke.", "en", "a"), (5, "Mr Robin Fox spoke.", "en", "a")]
+    for way in (True, False):
+        made = {r.doc_id: r.text.split() for r in surrogates.with_surrogates(docs(spark, rows), KEY, broadcast=way).collect()}
+        assert made[1][1:] == made[2][1:] and made[1][1] != "Alex" and made[1][2] == made[3][2]
+        assert len({made[i][1] for i in (3, 4, 5)}) == 3  # two persons of that name: a mention without gender is neither
+
+
+def test_surrogates_of_a_table_are_distinct_and_none_is_real(spark):
+    words = table(spark, SF, "documents").select("doc_id", "text")
+    known = surrogates.entities(words)
+    told = {(r.kind, r.value): r.used for r in surrogates.told_genders(known).collect()}
+    real = {(r.kind, r.value) for r in known.collect()}
+    own = known.join(surrogates.told_genders(known).select("kind", "value"), ["kind", "value"], "left_anti")
+    late = {(r.kind, r.value): r.attempt for r in surrogates.later_attempts(own, KEY).collect()}
+    pool = lambda kind: "name-" + kind.split("-")[-1] if "-" in kind else kind
+    made = {}
+    for kind, value in real - set(told):
+        made.setdefault((pool(kind), surrogates.surrogate(kind, value, KEY, late.get((kind, value), 0))), []).append((kind, value))
+    assert len(made) > 10 and all(len(v) == 1 for v in made.values())
+    crowds = Counter((k, surrogates.shape(k, v)) for k, v in real)
+    roomy = {k for (k, v) in made for kind, value in made[k, v] if crowds[kind, surrogates.shape(kind, value)] * 16 <= surrogates.domain_size(kind, value)}
+    assert not {m for m in made if m[0] in roomy} & {(pool(k), v) for k, v in real}
+    settled = {e: (e[0], n) for e, n in late.items()} | {(k, v): (used, late.get((used, v), 0)) for (k, v), used in told.items()}
+    found = {(r.doc_id, r.text) for r in surrogates.with_surrogates(words, KEY).collect()}
+    assert found == {(r.doc_id, surrogates.rewrite(r.text, KEY, settled)[0] if r.text else r.text) for r in words.collect()}
+
+
+def test_no_colliding_surrogate_is_given_out(spark):
+    known = spark.createDataFrame([("ipv4", f"10.0.0.{i}") for i in range(3)], "kind string, value string")
+
+    def same(todo, key, attempt):
+        return surrogates._tried(todo, key, attempt).withColumn("made", F.lit("1.1.1.1"))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(surrogates, "MAX_ATTEMPTS", 3)
+        with pytest.raises(RuntimeError, match="without a surrogate"):
+            surrogates.later_attempts(known, KEY, same)
+
+
 def test_a_full_shape_stays_with_its_permutation(spark):
     values = [("ssn", f"00{i}-00-000{j}") for i in range(10) for j in range(10)] + [("phone", "+15550001234")]
     known = spark.createDataFrame(values, "kind string, value string")
@@ -164,6 +208,17 @@ def test_main_text_of_a_page():
         assert page_text.main_text(none, page_text.PRIOR) == ""
 
 
+def test_attributes_end_as_the_standard_says():
+    text = "It is a fine day in the old town, and the boats go out to sea again, one after the other."
+    for tag in ("data-x=don't", "title='a > b'", 'class="a', "a=1/b='", 'x = "y>z" checked', '"', "==", "class=\n'text' id=a>"):
+        page = f"<article><p {tag}>{text}</p><p>Don't go there, they said; it is a long way, and the weather will not hold.</p></article>"
+        made = page_text.main_text(page, page_text.PRIOR)
+        assert "Don't go" in made and "<" not in made and text[10:] in made, (tag, made)
+    page = f"<article><script data-x='a>b'>no</script x='>'><p>{text}</p></article>"
+    assert page_text.main_text(page, page_text.PRIOR) == text
+    assert page_text.blocks("<div title='class=nav'><p>one</p></div>")[1][0] == page_text.blocks("<div><p>one</p></div>")[1][0]
+
+
 def test_extract_on_tables(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "u", "", "x"), (3, "u", "<article><p>" + LONG + "</article>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -209,13 +264,31 @@ def test_language_cases(spark):
 def test_pieces_add_up_to_the_text(monkeypatch):
     text = "Größe über alles, мир и 漢字 test " * 40
     letters = language.Letters(64)
-    triples, counts = language.trigram_counts([text])
-    whole = counts @ language.bound(triples, letters)
+    whole = language.bundles([text], np.zeros(1, int), 1, letters, float)
+    low = text.lower()
+    naive = np.zeros(64)
+    for i, c in enumerate(low):
+        if c.isalpha():
+            left, right = ((ord(low[j]) if 0 <= j < len(low) and low[j].isalpha() else 0) for j in (i - 1, i + 1))
+            naive += np.roll(letters[left], 2).astype(int) * np.roll(letters[ord(c)], 1) * letters[right]
+    assert np.array_equal(naive, whole[0])
     monkeypatch.setattr(language, "PIECE_CHARS", 37)
     parts = language.pieces(text)
     assert "".join(parts) == text and len(parts) > 10
-    triples, counts = language.trigram_counts(parts)
-    assert np.array_equal((counts @ language.bound(triples, letters)).sum(0), whole[0])
+    for size in (7, 1 << 14):
+        monkeypatch.setattr(language, "SLICE", size)
+        made = language.bundles(parts, np.arange(len(parts)), len(parts), letters, float)
+        assert np.array_equal(made.sum(0), whole[0])
+
+
+def test_memory_does_not_grow_with_distinct_trigrams():
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 200_000)))
+    tracemalloc.start()
+    language.bundles([text], np.zeros(1, int), 1, language.Letters(language.DIMS), np.float64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
 
 
 # --- language model ----------------------------------------------------------------------------
