@@ -20,9 +20,10 @@ LEAST_COSINE = 5 / language.DIMS**0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that resemble no language of the labelled ones beyond chance, or have no letter."""
-    found = language.identify(docs, language.profiles(docs))
+    places = [f"c{i}" for i in range(len(docs.columns))]  # no column of the documents has the name of an added one
+    found = language.identify(docs.toDF(*places), language.profiles(docs), places[docs.columns.index("text")])
     kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+    return kept.select(*places).toDF(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
