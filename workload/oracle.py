@@ -623,3 +623,6 @@ re AS (SELECT run, round(greatest(0.0, ln(sum(c)) - sum(c * ln(c)) / sum(c)), 6)
 SELECT run AS term, n AS n_tokens, c AS count, cohesion, le.e AS left_entropy, re.e AS right_entropy
 FROM coh JOIN le USING (run) JOIN re USING (run) WHERE le.e >= 1.0 AND re.e >= 1.0"""
 ORACLE["ingest_indexed"] = ORACLE["bm25_upserted"]
+ORACLE["word_model"] = f"""SELECT word, count(*) AS n, {K.W2V_SIZE} AS dims, true AS is_trained
+FROM (SELECT unnest({tok('text')}) AS word FROM documents)
+WHERE length(word) >= 2 GROUP BY word HAVING count(*) >= {K.W2V_MIN_COUNT}"""

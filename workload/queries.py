@@ -24,6 +24,7 @@ from strata.operators import prepare as B
 from strata.operators import quantized as PQ
 from strata.operators import summaries as SU
 from strata.operators import vectors as V
+from strata.operators import word_model as WM
 from strata.operators import words as WD
 from strata.operators.keyword_scan import bm25_top, match_totals
 from strata.operators.chapters import assemble_chapters, lookup_summaries, whole_chapters
@@ -788,13 +789,32 @@ def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def word_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """for every benchmark item, first token + second token - third token, over given vectors."""
+def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 with words in blocks: skip-gram; every word's count and the width of its trained vector."""
+    docs = B.tokenize(T.documents(spark, sf_dir)).select("text_tokens")
+    trained = WM.train_word_model(docs).withColumn("is_trained", F.exists("vector", lambda x: (x != 0) & ~F.isnan(x)))
+    return trained.select("word", "n", F.size("vector").alias("dims"), "is_trained")
+
+
+@query
+def word_model_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 with F5: the analogies of the benchmark items over vectors trained by CBOW."""
+    docs = B.tokenize(T.documents(spark, sf_dir)).select("text_tokens")
+    found, _ = WD.word_analogy(WM.train_word_model(docs, method="cbow"), _item_terms(spark, sf_dir))
+    return found
+
+
+def _item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = T.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("expr_id"), F.posexplode(X.tokens(F.col("text"))).alias("pos", "word")
     )
-    terms = b.filter("pos < 3").select("expr_id", "word", F.when(F.col("pos") == 2, -1).otherwise(1).alias("sign"))
-    found, _ = WD.word_analogy(T.word_table(spark, sf_dir), terms)
+    return b.filter("pos < 3").select("expr_id", "word", F.when(F.col("pos") == 2, -1).otherwise(1).alias("sign"))
+
+
+@query
+def word_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """for every benchmark item, first token + second token - third token, over given vectors."""
+    found, _ = WD.word_analogy(T.word_table(spark, sf_dir), _item_terms(spark, sf_dir))
     return found
 
 
