@@ -790,17 +790,17 @@ def word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 with words in blocks: skip-gram; every word's count and the width of its trained vector."""
+    """F4 with words in blocks: skip-gram, two epochs; every word's count and the width of its trained vector."""
     docs = B.tokenize(T.documents(spark, sf_dir)).select("text_tokens")
-    trained = WM.train_word_model(docs).withColumn("is_trained", F.exists("vector", lambda x: (x != 0) & ~F.isnan(x)))
+    trained = WM.train_word_model(docs, epochs=2).withColumn("is_trained", F.exists("vector", lambda x: (x != 0) & ~F.isnan(x)))
     return trained.select("word", "n", F.size("vector").alias("dims"), "is_trained")
 
 
 @query
 def word_model_analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 with F5: the analogies of the benchmark items over vectors trained by CBOW."""
+    """F4 with F5: the analogies of the benchmark items over vectors trained by CBOW in two epochs."""
     docs = B.tokenize(T.documents(spark, sf_dir)).select("text_tokens")
-    found, _ = WD.word_analogy(WM.train_word_model(docs, method="cbow"), _item_terms(spark, sf_dir))
+    found, _ = WD.word_analogy(WM.train_word_model(docs, method="cbow", epochs=2), _item_terms(spark, sf_dir))
     return found
 
 
