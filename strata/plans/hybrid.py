@@ -125,8 +125,7 @@ def hybrid_hits(
     else:
         window = max(o.rrf_window, most)
         if index is not None:
-            found = bm25_match(None, queries, analyzer=o.analyzer, synonyms=synonyms, index=index)
-            found = found.join(chunks.select("doc_id"), "doc_id", "left_semi")
+            found = bm25_match(None, queries, analyzer=o.analyzer, synonyms=synonyms, among=chunks, index=index, best=window)
             keyword = top_k(found, "query_id", [F.col("kw").desc(), F.col("doc_id")], window, "doc_id")
         else:
             keyword = bm25_top(
