@@ -22,11 +22,11 @@ from strata.operators.neighbors import (
     of_width,
     query_matrix,
     rounded,
-    slices,
     stack,
     top_k,
     unit_rows,
 )
+from strata.operators.term_scan import token_slices
 from strata.sizing import hint_if
 
 
@@ -127,7 +127,7 @@ def fuse_weighted_scan(
         m = KeywordMatrix(**fields)
         best = Running(query_ids, k)
         for batch in batches:
-            for part in slices(batch, max(m.weights.shape)):
+            for part in token_slices(batch, "toks", m.most_rows):
                 ids, vectors, toks, dl = part.columns
                 kw = np.maximum(0.0, rounded(m.scores(toks, dl.to_numpy())))
                 sim = cosines(unit_rows(stack(vectors)), q, True)

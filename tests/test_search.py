@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from strata.functions.score import auto_rerank, normalize_keyword, term_density
 from strata.operators import lexical as L
 from strata.operators import neighbors as N
+from strata.operators import posting_scan as PS
 from strata.operators.fusion import fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.keyword_scan import bm25_top, keyword_matrix, match_totals
 from strata.operators.hits import collapse_by_chapter, format_hits
 from strata.plans.hybrid import SearchOptions, hybrid_search
 from strata.sources.term_files import parse_synonym_rules
+from workload.queries import REGISTRY
 
 RNG = np.random.default_rng(7)
 
@@ -131,6 +133,54 @@ def test_top_keyword_hits_both_ways(spark, texts, small):
         assert rows_of(got, "query_id", "rank", "doc_id") == want
 
 
+@pytest.mark.parametrize("groups, block", [(400_000, 256), (3, 2)])
+def test_best_matches_are_the_first_of_all_matches(spark, texts, monkeypatch, groups, block):
+    """Postings meet the queries in blocks and groups, without a row per (query, document); a missing id is one document."""
+    monkeypatch.setattr(PS, "GROUP_ROWS", groups)
+    monkeypatch.setattr(PS, "BLOCK_QUERIES", block)
+    docs, queries, raw, asked = texts
+    docs = docs.unionByName(spark.createDataFrame([(None, "the moon dog dog"), ("d001", "cat dog")], "doc_id string, text string"))
+    rules = parse_synonym_rules(spark.createDataFrame([(1, "cat, sun"), (2, "moon => the, x1")], "rule_id int, line string"))
+    order = [F.col("kw").desc(), F.col("doc_id")]
+    for options in ({}, {"synonyms": rules}):
+        for small in (None, False):
+            every = N.top_k(L.bm25_match(docs, queries, small=small, **options), "query_id", order, 5, "doc_id")
+            best = L.bm25_match(docs, queries, small=small, best=5, **options)
+            got = N.top_k(best, "query_id", order, 5, "doc_id")
+            key = lambda df: sorted((r.query_id, r["rank"], str(r.doc_id), r.kw) for r in df.collect())
+            assert key(got) == key(every) and len(key(got)) == 15
+            assert best.count() <= 5 * 3 * 8  # of each query and task, not of each document
+
+
+def test_searches_by_index_give_the_best_only(spark, texts, tmp_path):
+    docs, queries, raw, asked = texts
+    L.write_index(L.build_index(docs), str(tmp_path / "index"))
+    among = docs.filter("doc_id < 'd050'")
+    index = L.read_index(spark, str(tmp_path / "index"))
+    best = L.bm25_match(None, queries, index=index, among=among, best=4)
+    got = N.top_k(best, "query_id", [F.col("kw").desc(), F.col("doc_id")], 4, "doc_id")
+    scores = loop_bm25(raw, asked)
+    want = []
+    for q in (1, 2, 3, 4):
+        first = sorted((-v, d) for (j, d), v in scores.items() if j == q and d < "d050")[:4]
+        want += [(q, r + 1, d) for r, (_, d) in enumerate(first)]
+    assert rows_of(got, "query_id", "rank", "doc_id") == want
+
+
+def test_chat_search_asks_every_fiftieth_conversation(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {r.query_id for r in REGISTRY["bm25_chat"](spark, sf).select("query_id").distinct().collect()}
+    users = spark.read.parquet(f"{sf}/conversations.parquet").filter("role = 'user' and conv_id % 50 = 0")
+    assert found == {r.conv_id for r in users.select("conv_id").distinct().collect()} and found
+
+
+def test_counts_and_hits_share_a_query_side(texts):
+    docs, queries, *_ = texts
+    side = L.query_side(docs, queries)
+    for run in (lambda **o: match_totals(docs, queries, **o), lambda **o: bm25_top(docs, queries, 3, **o)):
+        assert sorted(map(tuple, run(side=side).collect())) == sorted(map(tuple, run().collect()))
+
+
 def test_totals_both_ways(texts):
     docs, queries, raw, asked = texts
     want = {}

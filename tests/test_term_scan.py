@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strata.operators import lexical as L
+from strata.operators import term_scan as TS
 from strata.operators.term_scan import GAP, TermScan
 
 
@@ -42,6 +43,19 @@ def test_sliced_batches_and_no_terms():
     assert len(TermScan(["z"]).occurrences(rows)[0]) == 0
 
 
+def test_batches_are_cut_by_their_tokens(monkeypatch):
+    """A task looks up a bounded number of tokens at once, however long the texts of a batch are."""
+    monkeypatch.setattr(TS, "SCAN_TOKENS", 5)
+    rows = [["a"] * n for n in (2, 3, 1, 9, 0, 1)] + [None, [], ["a"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(rows, pa.list_(pa.string()))], ["id", "toks"])
+    for most in (None, 2):
+        parts = list(TS.token_slices(batch, "toks", most))
+        assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(9))
+        assert all(p.num_rows == 1 or sum(len(t or []) for t in p.column("toks").to_pylist()) <= 5 for p in parts)
+        assert most is None or max(p.num_rows for p in parts) == 2
+    assert list(TS.token_slices(batch.slice(0, 0), "toks")) == []
+
+
 def test_counts_of_terms_are_those_of_the_documents(spark):
     rows = [("a", "red fox red fox"), ("b", "fox red"), ("c", None), ("d", ""), ("e", "red fox")]
     docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
