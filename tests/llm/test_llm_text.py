@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from llm_cases import EDGE, LONG, docs
 from pyspark.sql import functions as F
 
 from strata.llm import attention_lm, language, page_text, surrogates
+from strata.llm.shingles import words_of
 from strata.llm.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -338,6 +340,48 @@ def test_later_ids_do_not_change_earlier_probabilities():
     assert np.allclose(before[:, :20], attention_lm.forward(model, w, 1e-5)[0][:, :20])
 
 
+def test_probabilities_position_by_position_and_only_halves_that_count():
+    """Every target against loops over what it sees; no weight is computed for a half whose positions do not count."""
+    lengths, even = [1, 47, 48, 49, 96, 97, 250], 1e-5
+    rng = np.random.default_rng(3)
+    n = sum(lengths)
+    ids, levels = rng.integers(0, 40, n), rng.integers(0, 9, n)
+    by_word, by_pair = (rng.random(n).astype(np.float32) * 0.1 for _ in range(2))
+    w, _ = attention_lm.views(ids, by_word, by_pair, levels, np.array(lengths), 999)
+    model, half = attention_lm.Attention.start(), attention_lm.STRIDE
+    model.gate += rng.standard_normal(model.gate.shape).astype(np.float32)
+    model.distance += rng.standard_normal(model.distance.shape).astype(np.float32)
+    p, seen = attention_lm.forward(model, w, even)
+    found, expected, begun = iter(p[w.counted]), [], 0
+    for length in lengths:
+        text = [999, 999, *ids[begun : begun + length].tolist()]  # the input of place i is text[i + 1], the id before it text[i]
+        for i in range(length):
+            sees = range(max(0, (i // half - 1) * half), i + 1)
+            query = model.query[text[i + 1]].astype(float)
+            weight = [math.exp(query @ model.key[text[j]] / math.sqrt(attention_lm.DIM) + model.distance[i - j]) for j in sees]
+            total = sum(weight) + math.exp(model.empty[0])
+            context = sum(x * model.value[text[j + 1]].astype(float) for x, j in zip(weight, sees)) / total
+            copied = sum(x for x, j in zip(weight, sees) if text[j + 1] == text[i + 2]) / total
+            level = levels[begun + i - 1] if i else attention_lm.LEVELS - 1
+            gates = np.exp(context @ model.mix + model.gate[text[i + 1]] + model.level[level])
+            expected.append(gates @ [by_word[begun + i], by_pair[begun + i], copied, even] / gates.sum())
+        begun += length
+    assert np.allclose(list(found), expected, rtol=1e-4)
+    assert sum(s.weights.size for s in seen) <= sum(-(-n // half) for n in lengths) * half * attention_lm.WINDOW
+
+
+def test_words_of_a_column_are_those_of_its_texts(monkeypatch):
+    texts = [None, "", " \n", "Ab\x0bÄB  c\u00a0d\x1ce ", "x", *(t for _, t, *_ in EDGE), "\ty z\r"]
+    texts = [*texts, *(f"{i} b " * 9 for i in range(40))]
+    expected = [[*words_of(t), attention_lm.END] for t in texts]
+    for rows, words in ((500, 100_000), (7, 60), (1, 1)):
+        monkeypatch.setattr(attention_lm, "CUT_TEXTS", rows)
+        monkeypatch.setattr(attention_lm, "BATCH_WORDS", words)
+        parts = [[[w.encode() for w in found] for found in part.to_pylist()] for part in attention_lm._cut(pa.array(texts, pa.string()))]
+        assert [found for part in parts for found in part] == expected
+        assert all(sum(map(len, part)) >= words > sum(map(len, part[:-1])) for part in parts[:-1])
+
+
 def test_scores_against_brute_force(spark):
     """Base scores and counts exactly; on held-out texts the model beats single subword ids by far."""
     documents = table(spark, "/root/testdata/sf0.01", "documents")
