@@ -370,6 +370,57 @@ def test_probabilities_position_by_position_and_only_halves_that_count():
     assert sum(s.weights.size for s in seen) <= sum(-(-n // half) for n in lengths) * half * attention_lm.WINDOW
 
 
+def test_blocks_hold_each_id_once_and_windows_are_as_before():
+    """Blocks are filled up to their width only; the first two blocks of a text are one window, each later one adds one."""
+    lengths, half = [1, 48, 49, 96, 97, 250], attention_lm.STRIDE
+    _, w = random_views(lengths)
+    assert w.inputs.size == w.targets.size == w.by_word.size == sum(-(-n // half) for n in lengths) * half
+    assert w.window.tolist() == [0, 1, 2, 2, 3, 3, 4, 4, 5, 6, 6, 7, 8, 9, 10]
+    steps = list(attention_lm._steps(w))
+    assert sum(len(s.counted) for s in steps) == len(w.text) and sum(s.counted.sum() for s in steps) == sum(lengths)
+
+
+def test_a_step_moves_what_it_met_by_the_scaled_slopes():
+    _, w = random_views([90, 1, 33, 300])
+    model = attention_lm.Attention.start()
+    slopes, moved = attention_lm.gradient(model, w, 1e-5)[1], attention_lm.local_steps(model, w, 1e-5)
+    assert len(list(attention_lm._steps(w))) == 1
+    for name in model.names:
+        by = getattr(slopes, name)
+        assert np.allclose(getattr(moved, name), getattr(model, name) - 0.3 * by / np.sqrt(1e-8 + by**2), atol=1e-4), name
+
+
+def some_tables():
+    """Tables with the words a0 to a299 as top words and even chances for ids."""
+    with open(attention_lm.TOKENIZER, "rb") as source:
+        file = source.read()
+    size = attention_lm.Vocabulary(file).size
+    top = {f"a{i}".encode(): 1 << max(0, 12 - i) for i in range(300)}
+    words = pa.table({"word": pa.array(list(top), pa.binary()), "c": list(top.values())})
+    none, flat = np.zeros(0), np.full(size, 1 / size)
+    nodes = np.zeros(0, np.uint64), none, none, none
+    return attention_lm.Tables(file, sum(top.values()), 300, words, *nodes, flat, flat, flat * 0 + 0.1, flat, np.zeros(0, np.int64), none, flat * 0 + 1)
+
+
+def test_frequent_words_stay_looked_up_and_streams_do_not_change():
+    """Past the bound only words of one batch go; a worker's next task finds what the one before looked up."""
+    held = some_tables()
+    words, plain = held.words(left_out=1), attention_lm.Words(held, 1)
+    words.shrink_at, learned, learn = 200, [], words._learn
+    words._learn = lambda fresh: (learned.extend(fresh), learn(fresh))
+    often = [f"a{i}".encode() for i in range(20)]
+    for part in range(30):
+        batch = [*often, *(f"b{part}x{i}".encode() for i in range(20)), b""]
+        opens = np.array([0, 7])
+        for a, b in zip(words.stream(words.of(batch), opens), plain.stream(plain.of(batch), opens)):
+            assert np.array_equal(a, b)
+    assert all(learned.count(w) == 1 for w in often) and len(words.codes) < len(plain.codes) == 621
+    assert held.words(left_out=1) is words and held.words() is not words and held.words() is held.words()
+    codes = held.words().of([b"a3", b"b"])
+    base = held.words().base[codes]
+    assert base[0] == math.log10((512 + 0.1) / held.room) and math.isnan(base[1])
+
+
 def test_words_of_a_column_are_those_of_its_texts(monkeypatch):
     texts = [None, "", " \n", "Ab\x0bÄB  c\u00a0d\x1ce ", "x", *(t for _, t, *_ in EDGE), "\ty z\r"]
     texts = [*texts, *(f"{i} b " * 9 for i in range(40))]
