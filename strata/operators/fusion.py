@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +85,32 @@ def fuse_weighted(
     return top_k(both, "query_id", order, k, "doc_id")
 
 
+def fuse_best(
+    best: DataFrame,
+    nearest: DataFrame,
+    k: int,
+    vector_weight: float = K.CLI_DEFAULTS["vector_weight"],
+) -> DataFrame:
+    """`fuse_weighted` where tasks have scored the keyword hits: ``best`` (query_id, doc_id, score) holds the ``k`` first at least."""
+    order = [F.col("score").desc(), F.col("doc_id")]
+    scored = top_k(best, "query_id", order, k, "doc_id").drop("rank")
+    alone = nearest.select("query_id", "doc_id", (vector_weight * F.col("sim")).alias("score"))
+    both = scored.unionByName(alone).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return top_k(both, "query_id", order, k, "doc_id")
+
+
+def blend_of(vector_weight: float, keyword_weight: float, mode: str, kw_sat: float, kw_log_cap: float) -> Callable:
+    """The weighted score of arrays of cosines and keyword scores, as tasks compute it."""
+    check_weights(vector_weight, keyword_weight)
+    normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
+    scale = {
+        "raw": lambda kw: kw,
+        "saturation": lambda kw: kw / (kw + kw_sat),
+        "log1p": lambda kw: np.minimum(1.0, rounded(np.log1p(kw)) / kw_log_cap),
+    }[mode]
+    return lambda sim, kw: vector_weight * sim + keyword_weight * scale(kw)
+
+
 def fuse_weighted_scan(
     matrix: KeywordMatrix,
     docs: DataFrame,
@@ -104,19 +130,13 @@ def fuse_weighted_scan(
     A task turns a batch of vectors and token lists into two matrices of scores and
     keeps a running top ``k`` per query; the documents are not shuffled.
     """
-    check_weights(vector_weight, keyword_weight)
-    normalize_keyword(F.lit(0.0), mode, kw_sat, kw_log_cap)  # checks the parameters
+    blend = blend_of(vector_weight, keyword_weight, mode, kw_sat, kw_log_cap)
     schema = found_schema(queries, docs, "doc_id", "score")
     arrow = to_arrow_schema(schema)
     asked = query_matrix(queries)
     if asked is None:
         return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast((*asked, matrix.for_queries(asked[0]).shared()))
-    scale = {
-        "raw": lambda kw: kw,
-        "saturation": lambda kw: kw / (kw + kw_sat),
-        "log1p": lambda kw: np.minimum(1.0, rounded(np.log1p(kw)) / kw_log_cap),
-    }[mode]
     found = doc_tokens(of_width(docs, "vector", asked[1].shape[1]), field, analyzer, (), "vector")
     rows = found.filter(F.exists("vector", lambda x: x != 0)).select(
         "doc_id", "vector", "toks", F.greatest("dl", F.lit(0)).alias("dl")
@@ -131,8 +151,7 @@ def fuse_weighted_scan(
                 ids, vectors, toks, dl = part.columns
                 kw = np.maximum(0.0, rounded(m.scores(toks, dl.to_numpy())))
                 sim = cosines(unit_rows(stack(vectors)), q, True)
-                score = vector_weight * sim + keyword_weight * scale(kw)
-                best.add(score, ids.to_numpy(zero_copy_only=False))
+                best.add(blend(sim, kw), ids.to_numpy(zero_copy_only=False))
         yield from best.batches(arrow)
 
     found = rows.mapInArrow(search, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata import constants as K
 from strata.functions.text import strip
-from strata.operators.fusion import check_weights, fuse_rrf, fuse_weighted, fuse_weighted_scan
+from strata.operators.fusion import blend_of, check_weights, fuse_best, fuse_rrf, fuse_weighted, fuse_weighted_scan
 from strata.operators.hits import attach_documents, format_hits
 from strata.operators.keyword_scan import bm25_top, keyword_matrix
 from strata.operators.lexical import Index, bm25_match, by_document, chunks_only, has_vector, indexed_side, query_side
@@ -117,10 +117,14 @@ def hybrid_hits(
             matrix = keyword_matrix(side) if small and o.num_candidates is None else None
         if matrix is not None:
             fused = fuse_weighted_scan(matrix, has_vector(chunks), queries, most, *blend, **text)
+        elif index is not None:
+            scored = (has_vector(chunks), queries, blend_of(*blend))
+            best = bm25_match(None, queries, side=side, index=index, best=most, blended=scored)
+            fused = fuse_best(best, nearest_chunks(), most, o.vector_weight)
         else:
-            docs = corpus if partitioned or index is not None else by_document(corpus)
+            docs = corpus if partitioned else by_document(corpus)
             eligible = has_vector(chunks_only(docs))
-            matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side, index=index)
+            matches = bm25_match(docs, queries, **text, synonyms=synonyms, among=eligible, side=side)
             fused = fuse_weighted(matches, nearest_chunks(), eligible, queries, most, small, *blend)
     else:
         window = max(o.rrf_window, most)
